@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._spark import table
 from .decontaminate import decontamination_digest
 from .dedup_exact import exact_dedup
+from .langid import language_report
 from .mixing import mix_report
 from .sharding import place
 
@@ -25,6 +26,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language_id": op9_language_id,
     "op10_shard_lookup": op10_shard_lookup,
 }
 
