@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._spark import table
 from .decontaminate import decontamination_digest
 from .dedup_exact import exact_dedup
+from .dedup_suffix import repeats_digest
 from .langid import language_report
 from .mixing import mix_report
 from .sharding import place
@@ -22,6 +23,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +42,7 @@ def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_shard_lookup": op10_shard_lookup,
