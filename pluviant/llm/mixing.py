@@ -66,13 +66,15 @@ def permuted(index: Column, n: Column, key: Column, rounds: int) -> Column:
 
 
 def _overlaps(a: DataFrame, b: DataFrame, total: str) -> DataFrame:
-    """Pairs of intervals [alo, ahi) and [blo, bhi) of 0 .. total that overlap, joined by cells of a grid."""
+    """Pairs of intervals [alo, ahi) and [blo, bhi) of 0 .. total that overlap, joined by cells of a grid.
+
+    The hint keeps Spark from broadcasting `a`, whose rows it can't foresee."""
     cell = lambda x: (x * GRID / F.col(total)).cast("long")
     cells = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi) - 1)))
     a = a.filter("ahi > alo").withColumn("cell", cells("alo", "ahi"))
     b = b.filter("bhi > blo").withColumn("cell", cells("blo", "bhi")).drop(total)
     lo = F.greatest("alo", "blo")
-    return a.join(b, "cell").filter((F.least("ahi", "bhi") > lo) & (cell(lo) == F.col("cell")))
+    return a.join(b.hint("shuffle_hash"), "cell").filter((F.least("ahi", "bhi") > lo) & (cell(lo) == F.col("cell")))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_len: int = 64, n_shards: int = 256, rounds: int = 12, seed: int = 20) -> Mix:
@@ -114,13 +116,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = extra.select("shard", "sid", (F.col("got") + F.greatest("alo", "blo") - F.col("blo")).alias("first"), (F.least("ahi", "bhi") - F.greatest("alo", "blo")).alias("n"))
     dealt = counts.select("shard", "sid", "first", "n").unionByName(extra)
 
-    slots = expand(dealt, "n", "j").select("shard", "sid", (F.col("first") + F.col("j")).alias("k"))
     plan = targets.select("sid", "n_full", "tail", "blocks", "rest", F.col("quota").alias("q"))
+    dealt = dealt.join(plan, "sid").repartition(max(8, n_shards // 8), "shard")
+    slots = expand(dealt, "n", "j").withColumn("k", F.col("first") + F.col("j"))
     at = F.col("k") % F.col("blocks")
     epoch = F.floor(F.col("k") / F.col("blocks"))
     block = F.when(at < F.col("n_full"), permuted(at, F.greatest(_long(1), F.col("n_full")), F.xxhash64(_long(seed), "sid", epoch), rounds)).otherwise(F.col("n_full"))
     length = F.when((F.col("k") == F.col("q") - 1) & (F.col("rest") > 0), F.col("rest")).when(at < F.col("n_full"), b).otherwise(F.col("tail"))
-    picks = slots.join(plan, "sid").select("shard", "sid", "k", block.alias("block"), length.alias("len"), (length < F.when(at < F.col("n_full"), b).otherwise(F.col("tail"))).alias("cut"))
+    picks = slots.select("shard", "sid", "k", block.alias("block"), length.alias("len"), (length < F.when(at < F.col("n_full"), b).otherwise(F.col("tail"))).alias("cut"))
 
     # Where each document lies in its source: sums of id buckets, then sums inside a bucket.
     placed = base.join(targets.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
@@ -133,7 +136,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = sized.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / b).cast("long"), F.floor((F.col("lo") + F.col("size") - 1) / b).cast("long"))))
     left, right = F.greatest("lo", F.col("block") * b), F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * b)
     part = F.greatest(_long(0), F.least(right, F.col("block") * b + F.col("part")) - left)
-    spans = pieces.join(taken, ["sid", "block"]).select("id", "sid", "lo", "size", "block", (left - F.col("lo")).alias("from_word"), (right - left).alias("n_words"), "full", part.alias("part"))
+    spans = pieces.join(taken.hint("merge"), ["sid", "block"]).select("id", "sid", "lo", "size", "block", (left - F.col("lo")).alias("from_word"), (right - left).alias("n_words"), "full", part.alias("part"))
     return Mix(sized, targets.select("sid", "source", "source_size", "target", "quota", "n_full", "tail", "rest"), picks.drop("cut"), spans)
 
 
