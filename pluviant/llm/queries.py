@@ -10,6 +10,7 @@ from ._spark import table
 from .decontaminate import decontamination_digest
 from .dedup_exact import exact_dedup
 from .dedup_suffix import repeats_digest
+from .jaccard import jaccard_components
 from .langid import language_report
 from .mixing import mix_report
 from .sharding import place
@@ -19,6 +20,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_jaccard_join": op2_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op8_decontaminate": op8_decontaminate,
