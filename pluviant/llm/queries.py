@@ -14,6 +14,7 @@ from .jaccard import jaccard_components
 from .langid import language_report
 from .mixing import mix_report
 from .sharding import place
+from .toxicity import toxicity_report
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op8_decontaminate": op8_decontaminate,
