@@ -12,23 +12,24 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
-
-    A folder of our own is set only where the session has none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder; one of our own only where it has none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pluviant-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pluviant-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def size_estimate(df: DataFrame, least: int = 1, most: int = 1 << 46) -> int:
-    """Bytes of the input as Catalyst estimates them; no job runs."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(min(max(int(stats.sizeInBytes().toString()), least), most))
+def size_estimate(df: DataFrame, unknown: int = 256 << 20) -> int:
+    """Bytes of the input as Catalyst estimates them; no job runs. Spark's huge default means that it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return unknown if size >= 1 << 60 else size
 
 
 def expand(df: DataFrame, count: str, out: str, chunk: int = 4096) -> DataFrame:

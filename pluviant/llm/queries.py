@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from ._spark import table
 from .decontaminate import decontamination_digest
 from .dedup_exact import exact_dedup
 from .dedup_suffix import repeats_digest
 from .jaccard import jaccard_components
 from .langid import language_report
+from .licenses import scan_licenses, scan_sql
+from .lm_score import lm_report
 from .mixing import mix_report
 from .sharding import place
 from .toxicity import toxicity_report
@@ -25,10 +29,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,15 +64,34 @@ def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_score": op5_lm_score,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_shard_lookup": op10_shard_lookup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": scan_sql(),
+    "op5_lm_score": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), t AS (SELECT doc_id, k, ws[k] AS w, ws[k - 1] AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d)
+), one AS (SELECT w, count(*) AS c FROM t GROUP BY w
+), two AS (SELECT v, w, count(*) AS c FROM t WHERE k > 1 GROUP BY v, w
+), n AS (SELECT count(*) AS total FROM t
+), s AS (
+  SELECT t.doc_id, t.k > 1 AND two.c < 2 AS backoff,
+         CASE WHEN t.k > 1 AND two.c >= 2 THEN ln(two.c) - ln(b.c) ELSE ln(a.c) - ln(n.total) + CASE WHEN t.k > 1 THEN ln(0.4) ELSE 0 END END AS p
+  FROM t CROSS JOIN n JOIN one a ON a.w = t.w LEFT JOIN one b ON b.w = t.v AND t.k > 1 LEFT JOIN two ON two.v = t.v AND two.w = t.w AND t.k > 1
+), g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE backoff) AS n_backoff, sum(p) AS log_prob FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(log_prob, 0), 4) AS log_prob,
+       round(log_prob / n_tokens, 6) AS mean_log_prob
+FROM d LEFT JOIN g USING (doc_id)""",
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
