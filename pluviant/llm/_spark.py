@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like `durable`, for wide rows: a compressed table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def size_estimate(df: DataFrame, unknown: int = 256 << 20) -> int:
     """Bytes of the input as Catalyst estimates them; no job runs. Spark's huge default means that it can't tell."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

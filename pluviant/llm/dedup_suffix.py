@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, mix, text_chunks
+from ._spark import stored
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
@@ -86,23 +87,46 @@ def _runs(docs: DataFrame, length: int, id_type: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, k long, h long, at int, n int, places int")
 
 
+def _packed(docs: DataFrame, id_type: str) -> DataFrame:
+    """id, k, text -> id, k, size, packed: texts compressed for the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            texts = [t.as_buffer() if t.is_valid else pa.py_buffer(b"") for t in batch.column(2)]
+            packed = pa.array([press.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.size for t in texts], pa.int64()), packed], ["id", "k", "size", "packed"])
+
+    return docs.mapInArrow(run, f"id {id_type}, k long, size long, packed binary")
+
+
+def _unpacked(size: int, packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed, size, asbytes=True) if size else b""
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """id, k, text, runs -> one row for each run with its bytes."""
+    """id, k, size, packed, runs -> one row for each run with its bytes."""
+    names = ["id", "k", "h", "at", "seg"]
     for batch in batches:
-        runs = batch.column(3)
-        if not len(batch):
-            continue
-        flat, owner = runs.flatten(), np.repeat(np.arange(len(batch)), runs.value_lengths().to_numpy(zero_copy_only=False))
-        h, at, n = (flat.field(x) for x in ("h", "at", "n"))
-        a, size = at.to_numpy(zero_copy_only=False).astype(np.int64), n.to_numpy(zero_copy_only=False).astype(np.int64) + length - 1
-        for chunk in text_chunks(batch.column(2)):
-            lo, hi = np.searchsorted(owner, [chunk.first, chunk.first + len(chunk.offsets) - 1])
-            data, base = chunk.data.tobytes(), chunk.offsets[owner[lo:hi] - chunk.first] + a[lo:hi]
-            for x in range(lo, hi, 20_000):
-                y = min(hi, x + 20_000)
-                segments = pa.array([data[p : p + m] for p, m in zip((base[x - lo : y - lo]).tolist(), size[x:y].tolist(), strict=True)], pa.binary())
-                rows = pa.array(owner[x:y])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), h.slice(x, y - x), at.slice(x, y - x), segments], ["id", "k", "h", "at", "seg"])
+        owner: list[int] = []
+        h: list[int] = []
+        at: list[int] = []
+        segments: list[bytes] = []
+        held = 0
+        for row, (size, packed, runs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            data = _unpacked(size, packed)
+            for r in runs:
+                owner.append(row)
+                h.append(r["h"])
+                at.append(r["at"])
+                segments.append(data[r["at"] : r["at"] + r["n"] + length - 1])
+                held += r["n"] + length
+            if held > 8 << 20:
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(segments, pa.binary())], names)
+                owner, h, at, segments, held = [], [], [], [], 0
+        rows = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(segments, pa.binary())], names)
 
 
 def shard_repeats(segments: list[bytes], counts: list[int], length: int) -> list[list[tuple[int, int]]]:
@@ -165,22 +189,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """`docs` (id, k, text) with one more column, windows: runs (lo, hi) of first bytes of repeated windows, by text."""
+    """`docs` (id, k, text) -> id, k, size, packed and windows: runs (lo, hi) of first bytes of repeated windows, by text."""
     kind = docs.schema["id"].dataType.simpleString()
     runs = _runs(docs, length, kind)
     twice = runs.groupBy("h").agg(F.sum("places").alias("w")).filter("w > 1").select("h")
     wanted = runs.join(twice, "h").groupBy("id", "k").agg(F.collect_list(F.struct("h", "at", "n")).alias("runs"))
     wanted = wanted.select(F.col("id").alias("wid"), F.col("k").alias("wk"), "runs")
     same = lambda i, k: F.col("k").eqNullSafe(F.col(k)) & F.col("id").eqNullSafe(F.col(i))
-    cut = docs.join(wanted.hint("shuffle_hash"), same("wid", "wk")).select("id", "k", "text", "runs")
-    segments = cut.mapInArrow(lambda b: _cut_out(b, length), f"id {kind}, k long, h long, at int, seg binary")
-    distinct = segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"))
-    hot = distinct.groupBy("h").agg(F.sum(F.length("seg")).alias("bytes")).filter(F.col("bytes") > hot_bytes).select(F.col("h").alias("hh"))
-    marked = distinct.join(hot, F.col("h") == F.col("hh"), "left")
-    cold = marked.filter("hh is null").select("h", "seg", "n").repartition("h").sortWithinPartitions("h", "seg")
+    packed = _packed(docs, kind)
+    cut = packed.join(wanted.hint("shuffle_hash"), same("wid", "wk")).select("id", "k", "size", "packed", "runs")
+    segments = stored(cut.mapInArrow(lambda b: _cut_out(b, length), f"id {kind}, k long, h long, at int, seg binary"))
+    distinct = stored(segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n")))
+    hot = distinct.groupBy("h").agg(F.sum(F.length("seg")).alias("bytes")).filter(F.col("bytes") > hot_bytes).select("h")
+    cold = distinct.join(hot, "h", "left_anti").select("h", "seg", "n").repartition("h").sortWithinPartitions("h", "seg")
     found = cold.mapInArrow(lambda b: _shards(b, length), RESULT)
     # Windows of hot groups, by their bytes.
-    places = marked.filter("hh is not null").select(F.unhex(F.md5("seg")).alias("sid"), "n", "seg", F.explode(F.sequence(F.lit(0), F.length("seg") - length)).alias("lo"))
+    places = distinct.join(hot, "h", "left_semi").select(F.unhex(F.md5("seg")).alias("sid"), "n", "seg", F.explode(F.sequence(F.lit(0), F.length("seg") - length)).alias("lo"))
     places = places.select("sid", "n", "lo", F.expr(f"substring(seg, lo + 1, {length})").alias("window"))
     more = places.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window")
     split = places.join(more, "window", "left_semi").select("sid", F.array(F.struct("lo", F.col("lo").alias("hi"))).alias("ranges"))
@@ -188,7 +212,7 @@ def repeated_windows(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BY
     moved = F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("at")).alias("lo"), (r["hi"] + F.col("at")).alias("hi")))
     spans = placed.select("id", "k", moved.alias("r")).groupBy("id", "k").agg(F.flatten(F.collect_list("r")).alias("windows"))
     spans = spans.select(F.col("id").alias("wid"), F.col("k").alias("wk"), "windows")
-    return docs.join(spans.hint("shuffle_hash"), same("wid", "wk"), "left").select("id", "k", "text", "windows")
+    return packed.join(spans.hint("shuffle_hash"), same("wid", "wk"), "left").select("id", "k", "size", "packed", "windows")
 
 
 def removed_spans(windows: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -216,8 +240,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[], [], [], [], []]
-            for text, windows in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+            for size, packed, windows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                data = _unpacked(size, packed)
                 spans = removed_spans(windows, length)
                 kept, at = [], 0
                 for a, b in spans:
@@ -229,7 +253,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             types = (pa.int64(), pa.int64(), spans_type, pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, t) for r, t in zip(rows, types, strict=True))], ["id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
 
-    found = repeated_windows(_keyed(docs, id_col, text_col), length, hot_bytes).select("id", "text", "windows")
+    found = repeated_windows(_keyed(docs, id_col, text_col), length, hot_bytes).select("id", "size", "packed", "windows")
     out = found.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, spans array<struct<first:int,stop:int>>, kept_sha256 string, kept binary")
     out = out.withColumnRenamed("id", id_col)
     return out if with_text else out.drop("kept")
