@@ -34,6 +34,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """id, k, text (k may be missing) -> id, k, size, packed: texts compressed, as a shuffle compresses them less well."""
+    import pyarrow as pa
+
+    keys = [c for c in docs.columns if c != "text"]
+    docs = docs.select(*keys, "text")
+
+    def run(batches):
+        press = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            texts = [t.as_buffer() if t.is_valid else pa.py_buffer(b"") for t in batch.column(len(keys))]
+            packed = pa.array([press.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array([t.size for t in texts], pa.int64()), packed], [*keys, "size", "packed"])
+
+    head = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.mapInArrow(run, f"{head}, size long, packed binary")
+
+
 def size_estimate(df: DataFrame, unknown: int = 256 << 20) -> int:
     """Bytes of the input as Catalyst estimates them; no job runs. Spark's huge default means that it can't tell."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

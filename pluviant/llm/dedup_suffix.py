@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, mix, text_chunks
-from ._spark import stored
+from ._spark import packed_texts, stored
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
@@ -87,19 +87,6 @@ def _runs(docs: DataFrame, length: int, id_type: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, k long, h long, at int, n int, places int")
 
 
-def _packed(docs: DataFrame, id_type: str) -> DataFrame:
-    """id, k, text -> id, k, size, packed: texts compressed for the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = pa.Codec("zstd", compression_level=1)
-        for batch in batches:
-            texts = [t.as_buffer() if t.is_valid else pa.py_buffer(b"") for t in batch.column(2)]
-            packed = pa.array([press.compress(t, asbytes=True) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.size for t in texts], pa.int64()), packed], ["id", "k", "size", "packed"])
-
-    return docs.mapInArrow(run, f"id {id_type}, k long, size long, packed binary")
-
-
 def _unpacked(size: int, packed: bytes) -> bytes:
     return pa.Codec("zstd").decompress(packed, size, asbytes=True) if size else b""
 
@@ -196,7 +183,7 @@ def repeated_windows(docs: DataFrame, length: int = 200, hot_bytes: int = HOT_BY
     wanted = runs.join(twice, "h").groupBy("id", "k").agg(F.collect_list(F.struct("h", "at", "n")).alias("runs"))
     wanted = wanted.select(F.col("id").alias("wid"), F.col("k").alias("wk"), "runs")
     same = lambda i, k: F.col("k").eqNullSafe(F.col(k)) & F.col("id").eqNullSafe(F.col(i))
-    packed = _packed(docs, kind)
+    packed = packed_texts(docs)
     cut = packed.join(wanted.hint("shuffle_hash"), same("wid", "wk")).select("id", "k", "size", "packed", "runs")
     segments = stored(cut.mapInArrow(lambda b: _cut_out(b, length), f"id {kind}, k long, h long, at int, seg binary"))
     distinct = stored(segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NON_SPACE, U, Chunk, mix, text_chunks, words
-from ._spark import durable
+from ._spark import durable, packed_texts
 from .components import components
 
 #: Classes of a token, and tokens of a cluster, that a block holds.
@@ -56,7 +56,7 @@ def shingle_sets(chunk: Chunk, size: int) -> Iterator[np.ndarray]:
 
 def bitmap(tokens: np.ndarray) -> bytes:
     """Parities of the tokens by their low bits; two of them differ in no more places than the sets have tokens apart."""
-    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = max(64, 1 << (max(1, len(tokens) // 2) - 1).bit_length())  # unrelated sets still differ in a quarter of n places
     odd = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -224,10 +224,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[lis
         yield last, pa.Table.from_batches(held)
 
 
-def _stars(pairs: Iterator[tuple[list[bytes], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _stars(pairs: Iterator[tuple[list[int], np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Edges from each set to the first of its component, in batches."""
-    u: list[bytes] = []
-    v: list[bytes] = []
+    u: list[int] = []
+    v: list[int] = []
     for keys, root in pairs:
         if len(keys) > 1:
             for k, r in enumerate(root.tolist()):
@@ -235,14 +235,14 @@ def _stars(pairs: Iterator[tuple[list[bytes], np.ndarray]]) -> Iterator[pa.Recor
                     u.append(keys[k])
                     v.append(keys[r])
         if len(u) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
             u, v = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
     """Each row once for every pair of blocks (cell) that its own block is part of; one cell where one block suffices."""
-    df = df.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    df = df.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return df.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")
 
@@ -268,57 +268,60 @@ def text_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, text -> key, tokens (packed) of the whole set."""
+    """id, packed texts -> key, tokens (packed) of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = pa.Codec("zstd")
         for batch in batches:
-            for chunk in text_chunks(batch.column(1)):
+            texts = [press.decompress(p, n, asbytes=True) if n else b"" for n, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            for chunk in text_chunks(pa.array(texts, pa.binary()).cast(pa.string())):
                 sets = [s.tobytes() for s in shingle_sets(chunk, size)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "tokens"])
 
-    return docs.select("id", "text").mapInArrow(run, "key binary, tokens binary")
+    return docs.select("id", "size", "packed").mapInArrow(run, "key binary, tokens binary")
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Classes (key, rep, n, map, first; no empty set) -> node, component: keys of classes with a link to another one."""
-    tokens = classes.select("key", F.explode("first").alias("t"))
-    lists = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b")).filter("c > 1")
+    """Classes (cid, key, rep, n, map, first; no empty set) -> node, component: cids of classes with a link to another one."""
+    tokens = classes.select("cid", F.explode("first").alias("t"))
+    lists = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("b")).filter("c > 1")
     once = lists.groupBy("c", "a", "b").agg(F.min("t").alias("t")).select("t", "c")
-    met = tokens.join(once, "t").join(classes.select("key", "n", "map"), "key")
-    met = _in_blocks(met, F.ceil(F.col("c") / block_sets).cast("long")).select("t", "cell", "n", "key", "map")
+    met = tokens.join(once, "t").join(classes.select("cid", "n", "map"), "cid")
+    met = _in_blocks(met, F.ceil(F.col("c") / block_sets).cast("long")).select("t", "cell", "n", "cid", "map")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[list[bytes], np.ndarray]]:
+        def each() -> Iterator[tuple[list[int], np.ndarray]]:
             for _, rows in _grouped(batches, 2):
                 if len(rows) > 1:
                     yield rows.column(3).to_pylist(), near_by_bitmap(rows.column(2).to_numpy().astype(np.int64), rows.column(4).to_pylist(), percent).root
 
         yield from _stars(each())
 
-    edges = met.repartition("t", "cell").sortWithinPartitions("t", "cell", "n").mapInArrow(meet, "u binary, v binary")
-    clusters = components(edges).select(F.col("node").alias("key"), "component")
-    sized = clusters.join(classes.select("key", "rep", "n"), "key")
+    edges = met.repartition("t", "cell").sortWithinPartitions("t", "cell", "n").mapInArrow(meet, "u long, v long")
+    clusters = components(edges).select(F.col("node").alias("cid"), "component")
+    sized = clusters.join(classes.select("cid", "key", "rep", "n"), "cid")
     total = sized.groupBy("component").agg(F.sum("n").alias("total"))
-    sized = durable(sized.join(total, "component").select("component", "key", "rep", "total"))
-    wanted = docs.join(sized.select(F.col("rep").alias("wanted")).distinct().hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted"))).select("id", "text")
-    whole = _whole_sets(wanted, size).join(sized.drop("rep"), "key")
-    whole = _in_blocks(whole, F.ceil(F.col("total") / block_tokens).cast("long")).select("component", "cell", "key", "tokens")
-    links = _link_clusters(whole.repartition("component", "cell").sortWithinPartitions("component", "cell", "key"), percent)
+    sized = durable(sized.join(total, "component").select("component", "cid", "key", "rep", "total"))
+    wanted = sized.select(F.col("rep").alias("wanted")).distinct()
+    packed = packed_texts(docs).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")))
+    whole = _whole_sets(packed, size).join(sized.drop("rep"), "key")
+    whole = _in_blocks(whole, F.ceil(F.col("total") / block_tokens).cast("long")).select("component", "cell", "cid", "tokens")
+    links = _link_clusters(whole.repartition("component", "cell").sortWithinPartitions("component", "cell", "cid"), percent)
     return components(links)
 
 
 def _link_clusters(whole: DataFrame, percent: int) -> DataFrame:
-    """component, cell, key, tokens sorted by the first three -> verified links as stars."""
+    """component, cell, cid, tokens sorted by the first three -> verified links as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[list[bytes], np.ndarray]]:
+        def each() -> Iterator[tuple[list[int], np.ndarray]]:
             for _, rows in _grouped(batches, 2):
                 sets = dict(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True))
                 yield list(sets), link([np.frombuffer(s, U) for s in sets.values()], percent)
 
         yield from _stars(each())
 
-    return whole.mapInArrow(run, "u binary, v binary")
+    return whole.mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -330,13 +333,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest; rows that repeat an id are members of their own texts' components. An empty table gives none.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = durable(text_sets(rows, size, percent))
-    classes = sets.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("first").alias("first"))
+    every = text_sets(rows, size, percent)
+    sets = durable(every.select("id", "n", "key"))
+    rest = F.struct("id", "n", "map", "first")
+    classes = every.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first(rest).alias("r"))
+    # Numbers of classes are fixed by the checkpoint.
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "r.n", "r.map", "r.first"))
     found = similar_classes(rows, classes, size, percent, block_sets, block_tokens)
-    smallest = classes.select("key", "rep").join(found, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    smallest = classes.select("cid", "key", "rep").join(found, F.col("cid") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "cid").alias("component"))
     named = smallest.groupBy("component").agg(F.min("rep").alias("least"))
     by_key = smallest.join(named, "component").select(F.col("key").alias("k"), "least")
-    return sets.select("id", "n", "key").join(by_key, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return sets.join(by_key, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
