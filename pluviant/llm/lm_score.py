@@ -24,7 +24,7 @@ from ._spark import durable, size_estimate
 
 BACKOFF = 0.4
 #: Bytes of stored input that a bucket, and of packed hashes that a table, should have about.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 2 << 20
 
 
 def ngrams(hashes: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
