@@ -135,7 +135,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         log_p += np.log(BACKOFF) * (could - used)
         n_docs = len(starts) - 1
         sums = lambda x: np.bincount(owner, x, minlength=n_docs)
-        columns = [table.column("row"), pa.array(np.diff(starts)), pa.array(sums(used < could).astype(np.int64)), pa.array(sums(rest).astype(np.int64)), pa.array(sums(log_p))]
+        columns = [table.column("row"), pa.array(np.diff(starts)), pa.array(sums(used < could).astype(np.int64)), pa.array(sums(rest).astype(np.int64)), pa.array(sums(log_p).astype(np.float64))]
         return pa.table(columns, ["row", "n_tokens", "n_backoff", "n_share", "log_p"])
 
     groups = dealt.groupBy("bucket")
