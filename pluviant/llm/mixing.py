@@ -161,7 +161,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     times = F.col("full") + (F.col("part") > 0).cast("long")
     span = F.struct("from_word", "n_words", "full", "part")
     got = mix.spans.groupBy("id", "sid", "lo", "size").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.max(times).alias("times"))
-    got = got.dropDuplicates(["id"]).withColumn("turn", F.explode(F.sequence(_long(1), F.col("times"))))
+    got = got.filter("times > 0").dropDuplicates(["id"]).withColumn("turn", F.explode(F.sequence(_long(1), F.col("times"))))
     take = lambda s: F.when(s["full"] >= F.col("turn"), s["n_words"]).when(s["full"] + 1 == F.col("turn"), s["part"]).otherwise(_long(0))
     got = got.withColumn("cuts", F.filter(F.transform("spans", lambda s: F.struct(s["from_word"].alias("at"), take(s).alias("n"))), lambda c: c["n"] > 0)).filter(F.size("cuts") > 0)
     got = got.withColumn("n", F.aggregate("cuts", _long(0), lambda a, c: a + c["n"])).select(F.col("id").alias("mix_id"), "cuts", "n", F.col("size").alias("mix_size"))
