@@ -4,7 +4,8 @@
    smallest hashes, so shards by that hash hold all places of a window. Runs of windows with one hash are segments.
 2. Hashes met once can't repeat; only segments of the others are cut out of the texts, and equal ones are counted.
 3. Shards of whole hash groups get a suffix array by induced sorting and its permuted common prefixes; a place repeats
-   if it shares `length` bytes with a neighbour in the array, or if its segment was counted twice.
+   if it shares `length` bytes with a neighbour in the array, or if its segment was counted twice. A hash group of one
+   segment that was counted twice is left out of the arrays, since all of it repeats.
 4. Hash groups too large for a task (a passage in a large part of all documents, in ever new surroundings) are split
    further, into single windows, and grouped by those.
 5. Each text's repeated windows are merged to spans and cut.
@@ -26,7 +27,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
 #: Bytes of segments that a suffix array takes at once (a hash group is never split among arrays).
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 320 << 10
 #: Bytes of distinct segments beyond which a hash group is split into windows.
 HOT_BYTES = 6 << 20
 
@@ -147,27 +148,44 @@ RESULT = "sid binary, ranges array<struct<lo:int,hi:int>>"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """h, seg, n sorted by h -> RESULT; an array is built when enough whole hash groups have come."""
+    """h, seg, n sorted by h -> RESULT; an array is built when enough whole hash groups have come.
+
+    A group of one segment that was counted twice has nothing to sort: its places agree from end to end.
+    """
     segments: list[bytes] = []
     counts: list[int] = []
+    done: list[tuple[bytes, list[tuple[int, int]]]] = []
+    group: list[tuple[bytes, int]] = []
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        found = shard_repeats(segments, counts, length)
-        rows = [(hashlib.md5(s).digest(), [{"lo": a, "hi": b} for a, b in r]) for s, r in zip(segments, found, strict=True) if r]
+        nonlocal segments, counts, done, size
+        found = shard_repeats(segments, counts, length) if segments else []
+        rows = [(hashlib.md5(s).digest(), [{"lo": a, "hi": b} for a, b in r]) for s, r in [*zip(segments, found, strict=True), *done] if r]
+        segments, counts, done, size = [], [], [], 0
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], _RANGES)], ["sid", "ranges"])
 
+    def close() -> None:
+        nonlocal group, size
+        if len(group) == 1 and group[0][1] > 1:
+            done.append((group[0][0], [(0, len(group[0][0]) - length)]))
+        else:
+            for seg, n in group:
+                segments.append(seg)
+                counts.append(n)
+                size += len(seg)
+        group = []
+
     for batch in batches:
         for h, seg, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if h != last and size >= SHARD_BYTES:
-                yield flush()
-                segments, counts, size = [], [], 0
+            if h != last:
+                close()
+                if size >= SHARD_BYTES or len(done) > 20_000:
+                    yield flush()
             last = h
-            segments.append(seg)
-            counts.append(n)
-            size += len(seg)
-    if segments:
-        yield flush()
+            group.append((seg, n))
+    close()
+    yield flush()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -23,6 +23,13 @@ def suffix_types(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stable_order(c: np.ndarray) -> np.ndarray:
+    """Order of at most RUN symbols, equal ones as they stand: by radix if they are short, else by symbol and place."""
+    if c.dtype.itemsize <= 2:
+        return np.argsort(c, kind="stable")
+    return np.sort(c.astype(np.int64) << 16 | np.arange(len(c))) & 0xFFFF
+
+
 def _induce(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, free: np.ndarray, up: bool) -> None:
     """Put before each entry's suffix the one that begins one symbol earlier, if it is wanted, at its symbol's next free
     place: ascending from bucket heads (up), or descending from the last places of buckets."""
@@ -47,13 +54,15 @@ def _induce(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, free: np.ndarray,
                 sa[free[c[0]]] = j[0]
                 free[c[0]] += 1 if up else -1
             elif len(j):
-                order = np.argsort(c, kind="stable")
+                order = _stable_order(c)
                 c, j = c[order], j[order]
                 head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
                 count = np.diff(np.append(head, len(c)))
-                nth = np.arange(len(c)) - np.repeat(head, count)
-                sa[free[c] + nth if up else free[c] - nth] = j
-                free[c[head]] += count if up else -count
+                own = c[head]
+                start = free[own]
+                at = np.arange(len(c))
+                sa[np.repeat(start - head, count) + at if up else np.repeat(start + head, count) - at] = j
+                free[own] = start + count if up else start - count
         run = min(RUN, run * 2) if cut == stop else max(64, 2 * (cut - done))
         done = cut
 
@@ -78,7 +87,7 @@ def _sorted_by(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, counts: np
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes of `s` in order. Its last symbol must be 0 and the only 0."""
-    s = np.asarray(s, np.int32)
+    s = s if s.dtype == np.uint16 else np.asarray(s, np.int32)
     n = len(s)
     if n < 3:
         return np.arange(n, dtype=np.int32)[::-1].copy()
@@ -106,7 +115,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         same[k] = np.array_equal(s[a : a + m], s[b : b + m])
     name = np.concatenate([[0], np.cumsum(~same)]).astype(np.int32)
     if name[-1] + 1 < len(sub):
-        reduced = np.empty(len(sub), np.int32)
+        reduced = np.empty(len(sub), np.int32 if name[-1] >= 1 << 16 else np.uint16)
         reduced[nth[sub]] = name
         sub = leftmost[suffix_array(reduced)]
     return _sorted_by(s, smaller, sub, counts)
