@@ -30,10 +30,10 @@ def month_start(ts: Column | str) -> Column:
 
 
 def haversine(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str) -> Column:
-    """Great-circle distance in km."""
+    """Great-circle distance in km; null if a coordinate is."""
     p1, p2 = F.radians(col(lat1)), F.radians(col(lat2))
     a = F.pow(F.sin((p2 - p1) / 2), F.lit(2)) + F.cos(p1) * F.cos(p2) * F.pow(F.sin((F.radians(col(lon2)) - F.radians(col(lon1))) / 2), F.lit(2))
-    return F.lit(EARTH_KM) * 2 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(EARTH_KM) * 2 * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def bearing(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str) -> Column:

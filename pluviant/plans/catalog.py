@@ -401,7 +401,7 @@ def region_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.region_series(A.grid_month(spark, sf_dir), F.abs("lat") <= 23.5, "clu_values", "mean")
 
 
-@query("fam_size_duration", "SELECT lat, lon, sum(fam_size) / sum(fam_density) / 0.01 AS mean_size, sum(fam_duration) / sum(fam_density) / 60 AS mean_duration FROM grid_month GROUP BY 1, 2", ("mean_size", "mean_duration"), ("grid_month",), 2)
+@query("fam_size_duration", "SELECT lat, lon, sum(fam_size) / sum(fam_density) / 0.01 AS mean_size, sum(fam_duration) / sum(fam_density) / 60 AS mean_duration FROM grid_month GROUP BY 1, 2", ("mean_size", "mean_duration"), ("grid_month",), 3)
 def fam_size_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.family_means(A.grid_month(spark, sf_dir), "fam_size", "fam_duration", "fam_density")
 
