@@ -56,7 +56,7 @@ def shingle_sets(chunk: Chunk, size: int) -> Iterator[np.ndarray]:
 
 def bitmap(tokens: np.ndarray) -> bytes:
     """Parities of the tokens by their low bits; two of them differ in no more places than the sets have tokens apart."""
-    bits = max(64, 1 << (max(1, len(tokens) // 2) - 1).bit_length())  # unrelated sets still differ in a quarter of n places
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())  # with fewer, texts that are somewhat alike pass by chance
     odd = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
