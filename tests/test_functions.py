@@ -46,7 +46,7 @@ def test_quadrants_seasons_and_days(spark):
 
 def test_names_and_numbers(spark):
     r = one(
-        spark, a=X.file_time(F.lit("/x/20240131_2330.parquet")), b=X.file_time(F.lit("gsmap_mvk.20200101.0700.v8.nc")), c=X.file_time(F.lit("3B-HHR.MS.20200101-S013000-E015959.nc")), d=X.file_time(F.lit("notes.txt")),
+        spark, a=X.file_time(F.lit("/x/20240131_2330.parquet")), b=X.file_time(F.lit("rain_mvk.20200101.0700.v8.nc")), c=X.file_time(F.lit("3B-HHR.MS.20200101-S013000-E015959.nc")), d=X.file_time(F.lit("notes.txt")),
         m=X.human_number(F.lit(1234567)), k=X.human_number(F.lit(3400)), n=X.human_number(F.lit(12)), up=F.transform(F.array(*lit(1.0, 1.2, 2.3, 2.6, 7.0, 30.0)), X.round_up_nicely),
         ok=F.transform(F.array(*lit(1.0, float("nan"), float("inf"), None)), X.finite),
     )
