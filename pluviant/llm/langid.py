@@ -186,7 +186,7 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return identify(docs, net, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """`docs` without those of no language: `und`, or no language that has the score `least`."""
     net = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
     no = identify(docs, net, id_col, text_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
