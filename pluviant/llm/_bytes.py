@@ -12,7 +12,7 @@ U = np.uint64
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _spaces = np.zeros(256, bool)
 _spaces[[0x20, *range(0x09, 0x0E)]] = True
