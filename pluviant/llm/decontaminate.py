@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import ALNUM, U, text_chunks, words
+from ._bytes import ALNUM, U, Words, text_chunks, words
 
 #: Words of test items that one block of queries may hold; more items are searched in several blocks.
 BLOCK_WORDS = 200_000
@@ -75,28 +75,31 @@ def query_blocks(items: DataFrame, id_col: str, text_col: str, n: int) -> list[Q
     return [make_queries([tuple(r) for r in rows.filter(of == k).collect()], n) for k in range(blocks)]
 
 
+def segment(w: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each term (term_at) the words' places, ascending."""
+    if len(terms):
+        number = np.searchsorted(terms, w.hash)
+        number[number == len(terms)] = 0
+        place = np.flatnonzero(terms[number] == w.hash).astype(np.int32)
+        number = number[place].astype(np.uint16 if len(terms) < 1 << 16 else np.int32)
+    else:
+        place = number = np.zeros(0, np.int32)
+    order = np.argsort(number, kind="stable")
+    return np.searchsorted(number[order], np.arange(len(terms) + 1)).astype(np.int32), place[order]
+
+
 def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments: document ids, the first word of each, and for each term (term_at) the words' places, ascending."""
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = known.value
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
                 w = words(chunk, ALNUM)
                 n = len(chunk.offsets) - 1
                 word_at = np.searchsorted(w.doc, np.arange(n + 1)).astype(np.int32)
-                if len(terms):
-                    number = np.searchsorted(terms, w.hash)
-                    number[number == len(terms)] = 0
-                    place = np.flatnonzero(terms[number] == w.hash).astype(np.int32)
-                    number = number[place].astype(np.uint16 if len(terms) < 1 << 16 else np.int32)
-                else:
-                    place = number = np.zeros(0, np.int32)
-                order = np.argsort(number, kind="stable")
-                term_at = np.searchsorted(number[order], np.arange(len(terms) + 1)).astype(np.int32)
-                lists = [pa.array(word_at), pa.array(term_at), pa.array(place[order])]
+                lists = [pa.array(x) for x in (word_at, *segment(w, known.value))]
                 ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(0).slice(chunk.first, n))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], ["ids", "word_at", "term_at", "places"])
 
@@ -138,46 +141,69 @@ def phrases(windows: np.ndarray, term_at: np.ndarray, places: np.ndarray, n_word
     return some[row], start
 
 
+def count_hits(groups: list, word_at: np.ndarray, term_at: np.ndarray, places: np.ndarray, hit: np.ndarray, items: list[set[str]]) -> None:
+    """Add a block's occurrences in a segment: to `hit` one where each begins and minus one where it ends, to `items` whose they are."""
+    for windows, names in groups:
+        length = windows.shape[1]
+        row, start = phrases(windows, term_at, places, int(word_at[-1]))
+        doc = np.searchsorted(word_at, start, "right") - 1
+        ok = start + length <= word_at[doc + 1]
+        row, start, doc = row[ok], start[ok], doc[ok]
+        np.add.at(hit, start, 1)
+        np.add.at(hit, start + length, -1)
+        for d, k in set(zip(doc.tolist(), row.tolist(), strict=True)):
+            items[d].update(names[k])
+
+
+def spans_of(word_at: np.ndarray, hit: np.ndarray) -> list[list[dict]]:
+    """Of each document in a segment: merged spans of its hit words."""
+    spans: list[list[dict]] = [[] for _ in word_at[1:]]
+    on = np.cumsum(hit)[:-1] > 0
+    edge = np.zeros(len(on), bool)
+    edge[word_at[:-1][word_at[:-1] < len(on)]] = True
+    before = np.concatenate([[False], on[:-1]])
+    first = np.flatnonzero(on & (~before | edge))
+    after, edge_next = np.concatenate([on[1:], [False]]), np.concatenate([edge[1:], [True]])
+    stop = np.flatnonzero(on & (~after | edge_next)) + 1
+    doc = np.searchsorted(word_at, first, "right") - 1
+    for d, a, b in zip(doc.tolist(), first.tolist(), stop.tolist(), strict=True):
+        spans[d].append({"first": a - int(word_at[d]), "stop": b - int(word_at[d])})
+    return spans
+
+
+def _found(ids: pa.Array, word_at: np.ndarray, hit: np.ndarray, items: list[set[str]]) -> pa.RecordBatch:
+    spans = pa.array(spans_of(word_at, hit), pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())])))
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(word_at)), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "n_words", "hits", "items"])
+
+
 def search(index: DataFrame, queries: Queries) -> DataFrame:
     """FOUND rows, one a document: number of words, merged spans of hit words, items with an occurring window."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = shared.value.groups
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, word_at, term_at, places = _lists(batch, r)
-                spans: list[list[dict]] = [[] for _ in ids]
                 items: list[set[str]] = [set() for _ in ids]
                 hit = np.zeros(word_at[-1] + 1, np.int32)
-                for windows, names in groups:
-                    length = windows.shape[1]
-                    row, start = phrases(windows, term_at, places, int(word_at[-1]))
-                    doc = np.searchsorted(word_at, start, "right") - 1
-                    ok = start + length <= word_at[doc + 1]
-                    row, start, doc = row[ok], start[ok], doc[ok]
-                    np.add.at(hit, start, 1)
-                    np.add.at(hit, start + length, -1)
-                    for d, k in set(zip(doc.tolist(), row.tolist(), strict=True)):
-                        items[d].update(names[k])
-                on = np.cumsum(hit)[:-1] > 0
-                edge = np.zeros(len(on), bool)
-                edge[word_at[:-1][word_at[:-1] < len(on)]] = True
-                before = np.concatenate([[False], on[:-1]])
-                first = np.flatnonzero(on & (~before | edge))
-                after, edge_next = np.concatenate([on[1:], [False]]), np.concatenate([edge[1:], [True]])
-                stop = np.flatnonzero(on & (~after | edge_next)) + 1
-                doc = np.searchsorted(word_at, first, "right") - 1
-                for d, a, b in zip(doc.tolist(), first.tolist(), stop.tolist(), strict=True):
-                    spans[d].append({"first": a - int(word_at[d]), "stop": b - int(word_at[d])})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.string()), pa.array(np.diff(word_at)), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    ["id", "n_words", "hits", "items"],
-                )
+                count_hits(shared.value.groups, word_at, term_at, places, hit, items)
+                yield _found(pa.array(ids, pa.string()), word_at, hit, items)
 
     return index.mapInArrow(run, FOUND)
 
 
+def search_texts(column: pa.Array, blocks: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[set[str]]]]:
+    """Of each run of texts, by the broadcast blocks of queries: its first row, word_at, `hit` and `items` of all blocks."""
+    for chunk in text_chunks(column):
+        w = words(chunk, ALNUM)
+        word_at = np.searchsorted(w.doc, np.arange(len(chunk.offsets))).astype(np.int64)
+        hit, items = np.zeros(word_at[-1] + 1, np.int32), [set() for _ in word_at[1:]]
+        for shared in blocks:
+            term_at, places = segment(w, shared.value.terms)
+            count_hits(shared.value.groups, word_at, term_at.astype(np.int64), places.astype(np.int64), hit, items)
+        yield chunk.first, word_at, hit, items
+
+
 def near(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
     """id, item, place: occurrences of a window's rarest term that have all its other terms at most length - 1 + slop
     words away in the same document, in any order."""
@@ -212,22 +238,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. Null and empty texts have no
     words and no hits; items without words or id have no window; without items nothing is hit. Rows that repeat an id
-    are documents of their own while one block of queries suffices; with more blocks rows that repeat an id and its
-    number of words are merged. An empty table gives none.
+    are documents of their own, however many blocks of queries there are. An empty table gives none.
     """
     kind = docs.schema[id_col].dataType
-    found = [search(build_index(docs, q.terms, id_col, text_col), q) for q in query_blocks(items, item_col, item_text, n)]
-    if len(found) == 1:
-        return found[0].withColumn("id", F.col("id").cast(kind))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("hits"))),
-        F.expr("cast(array() as array<struct<first:int,stop:int>>)"),
-        lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= s["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(s))),
-    )
-    return every.groupBy("id", "n_words").agg(merged.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("id", F.col("id").cast(kind))
+    blocks = [docs.sparkSession.sparkContext.broadcast(q) for q in query_blocks(items, item_col, item_text, n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, word_at, hit, names in search_texts(batch.column(1), blocks):
+                yield _found(batch.column(0).slice(first, len(names)), word_at, hit, names)
+
+    return docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, FOUND).withColumn("id", F.col("id").cast(kind))
 
 
 def decontamination_digest(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -310,6 +310,15 @@ def test_contamination(spark, docs, clashing, corpus, items, none, monkeypatch):
     assert bag(dicts(D.decontamination_digest(unique, frame))) == bag([by[r.doc_id] for r in unique.select("doc_id").collect()])
 
 
+def test_contamination_in_blocks_keeps_rows(spark, docs, corpus, items, monkeypatch):
+    more = [(None, "be " * 12 + "a b", None, None, 0), (None, "c d " * 7, None, None, 0), (0, "be " * 14, None, None, 0)]
+    every = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "BLOCK_WORDS", 30)
+    assert len(D.query_blocks(frame, "item_id", "text", 10)) > 1
+    assert bag(dicts(D.decontamination_digest(every, frame))) == bag(contamination_by_hand(corpus + more, items))
+
+
 def test_near_matches(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha beta " + "z " * 30 + "gamma")], "doc_id long, text string")
     q = D.make_queries([(r.item, r.terms) for r in D.item_words(spark.createDataFrame([(9, "alpha beta gamma")], "i long, text string"), "i", "text").collect()], 10)
