@@ -59,8 +59,23 @@ RULES = [
     ("LGPL-3.0", ["NamesLgpl3"]),
     ("MIT", ["NamesMit"]),
 ]
-#: Ends of sentences; a newline ends one too, unless the line before it is a wrapped part of a known sentence.
+#: Further wordings, as licence texts and file headers have them; the SQL does not know these.
+WORDINGS = {
+    "IscGrant": ["permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "ApacheObtain": [
+        f"you may obtain a copy of the license at {scheme} www.apache.org licenses license 2.0{rest}"
+        for scheme in ("http", "https")
+        for rest in ("", " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied")
+    ],
+    "NamesApache2": ["licensed under the apache license version 2.0 the license", "the asf licenses this file to you under the apache license version 2.0 the license"],
+    "Gpl2Free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+}
+WORDING_RULES = [("GPL-2.0-or-later", ["Gpl2Free", "GplHope", "GplDetails"])]
+#: Ends of sentences. The scan also finds known sentences across them, as wrapped lines and abbreviations have them inside.
 BREAKS = r"[.!?;:]+[\x20\t\r\n]+|[\r\n]+"
+#: An end of a sentence and a comment marker of letters after it.
+MARKER = r"[\x20\t]*(?:dnl|rem)\b"
+BREAK = rf"(?:{BREAKS})(?:{MARKER})?|^{MARKER}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,11 +89,22 @@ def _openings() -> dict[str, str]:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of a text's known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for pair in _openings().items() for x in pair])
-    clean = lambda s: F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS)
-    return F.filter(F.transform(parts, lambda s: F.element_at(known, clean(s))), lambda k: k.isNotNull())
+    """Identifiers of a text's known sentences, in order.
+
+    A known sentence begins and ends where a sentence does. Breaks between its words (wrapped lines, comment markers, a
+    semicolon, the dot of an abbreviation) don't count.
+    """
+    every = _openings() | {s: k for k, many in WORDINGS.items() for s in many}
+    every = {s.replace(". ", " "): k for s, k in every.items()}
+    known = F.create_map(*[F.lit(x) for pair in every.items() for x in pair])
+    t = F.translate(F.coalesce(text, F.lit("")), UPPER + "|", LOWER + "-")
+    # Breaks become bars without spaces and dots around them, other symbols single spaces.
+    for old, new in ((BREAK, "|"), (r"[^a-z0-9.|]+", " "), (r"(?<![ .|])(?=[ .]*+\|)[ .|]++", "|")):
+        t = F.regexp_replace(t, old, new)
+    # Of sentences that begin alike, the longest one is tried first.
+    one = "|".join("(?:[| ]|[.] )".join(w.replace(".", "[.]") for w in s.split()) for s in sorted(every, key=len, reverse=True))
+    found = F.regexp_extract_all(t, F.lit(rf"(?:^[ .]*|\|)({one})(?=\||[ .]*$)"), F.lit(1))
+    return F.filter(F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, r"\||[.] ", " "))), lambda k: k.isNotNull())
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +118,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col), sentence_ids(F.col(text_col)).alias("ids"))
     sequence = F.array_join(F.transform("ids", lambda k: F.concat(F.lit("<"), k, F.lit(">"))), "")
     left = sequence
-    for name, ids in RULES:
+    for name, ids in [*RULES, *WORDING_RULES]:
         left = F.replace(left, F.lit(_tag(ids)), F.lit(f"[{name}]"))
     rows = rows.select(id_col, F.size("ids").cast("long").alias("n_sentences"), sequence.alias("sentences"), left.alias("left"))
     names = F.array_sort(F.array_distinct(F.regexp_extract_all("left", F.lit(r"\[([^\]]+)\]"))))
@@ -100,7 +126,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def scan_sql() -> str:
-    """DuckDB SQL of the same scan over the table documents."""
+    """DuckDB SQL of the scan over the table documents, for known sentences without a break inside and without WORDINGS."""
     known = ", ".join(f"'{s}': '{k}'" for s, k in _openings().items())
     left = "sentences"
     for name, ids in RULES:

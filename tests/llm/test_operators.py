@@ -406,6 +406,86 @@ def test_licenses(spark, none):
     assert LI.scan_licenses(none).count() == 0
 
 
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2020 Example Inc.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_licenses_of_wrapped_texts(spark):
+    want = {"MIT": (MIT_TEXT, 4), "BSD-2-Clause": (BSD_TEXT, 3), "BSD-3-Clause": (BSD_TEXT + BSD_ENDORSE, 4), "GPL-3.0-or-later": (GPL_TEXT, 3), "Apache-2.0": (APACHE_TEXT, 3), "MPL-2.0": (MPL_TEXT, 1), "ISC": (ISC_TEXT, 1)}
+    want["GPL-2.0-or-later"] = (GPL_TEXT.replace("software: you", "software; you").replace("version 3", "version 2"), 3)
+    marks = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split()), *(lambda t, m=m: "".join(f"{m}{line}\n" for line in t.splitlines()) for m in ("# ", " * ", "// ", "dnl "))]
+    rows = [(f"{name} {k}", mark(text)) for name, (text, _) in want.items() for k, mark in enumerate(marks)]
+    # Sentences that only begin or end like known ones are not known; runs of breaks and bars take no time.
+    odd = [("odd 0", "I was told that permission to use, copy\n" + ISC_TEXT[25:]), ("odd 1", APACHE_TEXT.splitlines()[1].rstrip(".") + " or not"), ("odd 2", ". " * 50_000 + "|" * 50_000 + "." * 50_000)]
+    got = {r.doc_id: (r.licenses, r.n_sentences, r.n_unmatched) for r in LI.scan_licenses(spark.createDataFrame(rows + odd, "doc_id string, text string")).collect()}
+    assert got == {f"{name} {k}": (name, n, 0) for name, (_, n) in want.items() for k in range(len(marks))} | {f"odd {k}": ("", 0, 0) for k in range(3)}
+
+
 def lm_by_hand(corpus, order, least):
     texts = [WORD.findall(lower(t)) for _, t, *_ in corpus]
     c = Counter(tuple(w[k : k + n]) for w in texts for n in range(1, order + 1) for k in range(len(w) - n + 1))
