@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whitespace of the contracts, as a Java regular expression class.
@@ -52,6 +52,12 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"{head}, size long, packed binary")
 
 
+def row_key(docs: DataFrame, id_col: str) -> Column:
+    """A key that only rows equal in all columns share, whether they have an id or not; sorted by id, null ids last."""
+    parts = [x for c in docs.columns for x in (F.isnull(docs[c]), docs[c])]
+    return F.struct(F.isnull(docs[id_col]).alias("lacks"), docs[id_col].alias("id"), F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
+
+
 def size_estimate(df: DataFrame, unknown: int = 256 << 20) -> int:
     """Bytes of the input as Catalyst estimates them; no job runs. Spark's huge default means that it can't tell."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -258,9 +258,17 @@ def decontamination_digest(docs: DataFrame, items: DataFrame, id_col: str = "doc
     return c.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.0, **options) -> DataFrame:
-    """`docs` without those of whose words more than the share `most` is hit."""
-    c = contamination(docs.select(id_col, text_col), items, id_col, text_col, **options)
-    hit = F.aggregate("hits", F.lit(0), lambda a, s: a + s["stop"] - s["first"])
-    dirty = c.filter(hit > F.lit(most) * F.col("n_words")).select(F.col("id").alias("dirty_id")).distinct()
-    return docs.join(dirty, F.col(id_col).eqNullSafe(F.col("dirty_id")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.0, item_col: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
+    """`docs` without those of whose words more than the share `most` is hit, decided for each row by its own text."""
+    blocks = [docs.sparkSession.sparkContext.broadcast(q) for q in query_blocks(items, item_col, item_text, n)]
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(len(batch), bool)
+            for first, word_at, hit, _ in search_texts(batch.column(at), blocks):
+                on = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
+                stays[first : first + len(word_at) - 1] = np.diff(on[word_at]) <= most * np.diff(word_at)
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)

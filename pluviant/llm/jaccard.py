@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NON_SPACE, U, Chunk, mix, text_chunks, words
-from ._spark import durable, packed_texts
+from ._spark import WORD, durable, packed_texts, row_key, stored
 from .components import components
 
 #: Classes of a token, and tokens of a cluster, that a block holds.
@@ -347,7 +347,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each component, the one of the smallest id (one row where rows repeat it)."""
-    parts = jaccard_components(docs, id_col, text_col, **options)
-    kept = parts.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    """`docs` with one document of each component, the one of the smallest id; null ids come last.
+
+    Rows are told apart by all their columns, so rows that repeat an id, or have none, are documents of their own, and of
+    rows that are equal throughout one stays. Texts without words are nobody's copies and all stay.
+    """
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    rows = docs.filter(worded).withColumn("__row", row_key(docs, id_col))
+    parts = jaccard_components(rows.select("__row", text_col), "__row", text_col, **options)
+    # Only texts of rows that equal another throughout are grouped.
+    kept = stored(parts.filter(F.col("__row") == F.col("component_id")).groupBy(F.col("__row").alias("kept_row")).agg(F.count(F.lit(1)).alias("equal")))
+    among = lambda k: rows.join(k, F.col("__row") == F.col("kept_row"), "left_semi")
+    one = among(kept.filter("equal = 1")).unionByName(among(kept.filter("equal > 1")).dropDuplicates(["__row"]))
+    return one.select(docs.columns).unionByName(docs.filter(~worded))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import LOWER, text_chunks
 
+LETTER = r"\p{L}"
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -125,7 +126,7 @@ def probabilities(net: Net, responses: list[list[np.ndarray]], x: np.ndarray) ->
 def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, piece: int) -> tuple[list[bytes], list[str]]:
     """A piece of each of at most `per_label` texts of every label, chosen by a hash of the id."""
     # Only rows with a label, a letter and an id can be learnt from; the piece begins at a place given by the same hash.
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("id", F.lit("sample")))
     spare = F.greatest(F.lit(1), F.length("text") - piece + 1)
     rows = rows.withColumn("text", F.substring(F.col("text"), (F.pmod("h", spare) + 1).cast("int"), F.lit(piece)))
@@ -139,6 +140,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(*training_texts(docs, id_col, text_col, lang_col, per_label, piece))
 
 
+def judge(net: Net | None, own: list[list[np.ndarray]], texts: pa.Array, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; `letters` says which texts have a letter."""
+    letters = letters.astype(bool) & (net is not None)
+    preds, scores = [], []
+    for chunk in text_chunks(texts, BATCH):
+        n = len(chunk.offsets) - 1
+        known = letters[chunk.first : chunk.first + n]
+        total, count = np.zeros((n, len(net.labels) if net else 1)), np.zeros(n)
+        if net and len(chunk.data):
+            x, row = windows_of(chunk.data, chunk.offsets)
+            for k in range(0, len(x), BATCH // WINDOW):
+                q = probabilities(net, own, x[k : k + BATCH // WINDOW])
+                np.add.at(total, row[k : k + BATCH // WINDOW], q)
+            count = np.bincount(row, minlength=n)
+        mean = total / np.maximum(count, 1)[:, None]
+        best = mean.argmax(axis=1)
+        preds += [net.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
+        scores.append(np.where(known, np.minimum(mean[np.arange(n), best], 1), 0.0))
+    return preds, np.concatenate(scores) if scores else np.zeros(0)
+
+
 def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, lang_pred, score (mean probability of that language over all windows of the text).
 
@@ -153,25 +175,10 @@ def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
         net = shared.value
         own = tables(net) if net else []
         for batch in batches:
-            preds, scores = [], []
-            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (net is not None)
-            for chunk in text_chunks(batch.column(1), BATCH):
-                n = len(chunk.offsets) - 1
-                known = letters[chunk.first : chunk.first + n]
-                total, count = np.zeros((n, len(net.labels) if net else 1)), np.zeros(n)
-                if net and len(chunk.data):
-                    x, row = windows_of(chunk.data, chunk.offsets)
-                    for k in range(0, len(x), BATCH // WINDOW):
-                        q = probabilities(net, own, x[k : k + BATCH // WINDOW])
-                        np.add.at(total, row[k : k + BATCH // WINDOW], q)
-                    count = np.bincount(row, minlength=n)
-                mean = total / np.maximum(count, 1)[:, None]
-                best = mean.argmax(axis=1)
-                preds += [net.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                scores.append(np.where(known, np.minimum(mean[np.arange(n), best], 1), 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["id", "lang_pred", "score"])
-
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+            preds, scores = judge(net, own, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+
+    letter = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
     out = docs.select(F.col(id_col).cast("string"), F.col(text_col), letter.alias("letter")).mapInArrow(run, "id string, lang_pred string, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), "lang_pred", "score")
 
@@ -187,7 +194,18 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """`docs` without those of no language: `und`, or no language that has the score `least`."""
+    """`docs` without those of no language, decided for each row by its own text: `und`, or no language that has the score `least`."""
     net = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    no = identify(docs, net, id_col, text_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
-    return docs.join(no.select(F.col(id_col).alias("gone_id")).distinct(), F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at, width = docs.columns.index(text_col), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        own = tables(net) if net else []
+        for batch in batches:
+            preds, scores = judge(net, own, batch.column(at), batch.column(width).to_numpy(zero_copy_only=False))
+            stays = (np.array(preds, object) != "und") & (scores >= least)
+            yield batch.select(range(width)).filter(pa.array(stays, pa.bool_()))
+
+    letter = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
+    return docs.select("*", letter.alias("__letter")).mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import WORD, durable, expand
+from ._spark import WORD, durable, expand, row_key
 
 GRID = 4096
 BUCKETS = 1024
@@ -77,17 +77,19 @@ def _overlaps(a: DataFrame, b: DataFrame, total: str) -> DataFrame:
     return a.join(b.hint("shuffle_hash"), "cell").filter((F.least("ahi", "bhi") > lo) & (cell(lo) == F.col("cell")))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_len: int = 64, n_shards: int = 256, rounds: int = 12, seed: int = 20) -> Mix:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_len: int = 64, n_shards: int = 256, rounds: int = 12, seed: int = 20, row_col: str | None = None) -> Mix:
     """The mix's tables; see `Mix` and the module's text. Only ids, sources and sizes are shuffled, never texts.
 
     A document is a row; null and empty texts have size 0 and are never taken. Null sources form one source, the last.
     Rows that repeat an id count as rows of their own. A hot source spreads over shards, blocks and id buckets. Without
-    any word all targets are 0; without rows all tables are empty. The draw depends on ids, sizes and the seed alone.
+    any word all targets are 0; without rows all tables are empty. The draw depends on ids, sizes and the seed alone, and among rows of the same id and
+    size on `row_col`, if it is given; `sized` and `spans` then have it as `row`.
     """
     if cap < share:
         raise ValueError("a share above the cap can't be reached")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    row = ["row"] if row_col else []
+    base = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *(F.col(row_col).alias(r) for r in row)))
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     n, b = F.col("source_size"), _long(block_len)
     t = targets.withColumn("passes", F.when(n > 0, F.floor(F.col("target") / n)).otherwise(0).cast("long")).withColumn("left", F.when(n > 0, F.least(n, F.round("target").cast("long") - F.col("passes") * n)).otherwise(0))
@@ -129,14 +131,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = base.join(targets.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("base", F.coalesce(F.sum("sum").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), _long(0))).drop("sum")
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("id", "size").rowsBetween(W.unboundedPreceding, -1)), _long(0))
-    sized = placed.withColumn("inside", inside).join(sums, ["sid", "bucket"]).select("id", "source", "size", "sid", (F.col("base") + F.col("inside")).alias("lo"))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("id", "size", *row).rowsBetween(W.unboundedPreceding, -1)), _long(0))
+    sized = placed.withColumn("inside", inside).join(sums, ["sid", "bucket"]).select("id", *row, "source", "size", "sid", (F.col("base") + F.col("inside")).alias("lo"))
 
     taken = picks.groupBy("sid", "block").agg(F.count(F.when(~F.col("cut"), 1)).alias("full"), F.coalesce(F.max(F.when(F.col("cut"), F.col("len"))), _long(0)).alias("part"))
     pieces = sized.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / b).cast("long"), F.floor((F.col("lo") + F.col("size") - 1) / b).cast("long"))))
     left, right = F.greatest("lo", F.col("block") * b), F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * b)
     part = F.greatest(_long(0), F.least(right, F.col("block") * b + F.col("part")) - left)
-    spans = pieces.join(taken.hint("merge"), ["sid", "block"]).select("id", "sid", "lo", "size", "block", (left - F.col("lo")).alias("from_word"), (right - left).alias("n_words"), "full", part.alias("part"))
+    spans = pieces.join(taken.hint("merge"), ["sid", "block"]).select("id", *row, "sid", "lo", "size", "block", (left - F.col("lo")).alias("from_word"), (right - left).alias("n_words"), "full", part.alias("part"))
     return Mix(sized, targets.select("sid", "source", "source_size", "target", "quota", "n_full", "tail", "rest"), picks.drop("cut"), spans)
 
 
@@ -155,17 +157,19 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as documents: `docs`' columns, one row for each time that words of a document are taken.
 
     A row's text holds, in their order, the words taken at least that often; a document taken whole keeps its text as
-    it is. n_chars, where there is such a column, follows the text.
+    it is. n_chars, where there is such a column, follows the text. Rows that repeat an id, or have none, have words of
+    their own taken; of rows equal in all columns any text serves for all.
     """
-    mix = mix_sources(docs, id_col, text_col, source_col, **options)
+    keyed = docs.withColumn("__row", row_key(docs, id_col))
+    mix = mix_sources(keyed, id_col, text_col, source_col, row_col="__row", **options)
     times = F.col("full") + (F.col("part") > 0).cast("long")
     span = F.struct("from_word", "n_words", "full", "part")
-    got = mix.spans.groupBy("id", "sid", "lo", "size").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.max(times).alias("times"))
-    got = got.filter("times > 0").dropDuplicates(["id"]).withColumn("turn", F.explode(F.sequence(_long(1), F.col("times"))))
+    got = mix.spans.groupBy("row", "sid", "lo", "size").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.max(times).alias("times"))
+    got = got.filter("times > 0").withColumn("turn", F.explode(F.sequence(_long(1), F.col("times"))))
     take = lambda s: F.when(s["full"] >= F.col("turn"), s["n_words"]).when(s["full"] + 1 == F.col("turn"), s["part"]).otherwise(_long(0))
     got = got.withColumn("cuts", F.filter(F.transform("spans", lambda s: F.struct(s["from_word"].alias("at"), take(s).alias("n"))), lambda c: c["n"] > 0)).filter(F.size("cuts") > 0)
-    got = got.withColumn("n", F.aggregate("cuts", _long(0), lambda a, c: a + c["n"])).select(F.col("id").alias("mix_id"), "cuts", "n", F.col("size").alias("mix_size"))
-    rows = docs.join(got, F.col(id_col).eqNullSafe(F.col("mix_id")))
+    got = got.withColumn("n", F.aggregate("cuts", _long(0), lambda a, c: a + c["n"])).select(F.col("row").alias("mix_row"), "cuts", "n", F.col("size").alias("mix_size"))
+    rows = keyed.dropDuplicates(["__row"]).join(got, F.col("__row") == F.col("mix_row"))
     all_words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))
     some = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(all_words, (c["at"] + 1).cast("int"), c["n"].cast("int")))), " ")
     text = F.when(F.col("n") == F.col("mix_size"), F.col(text_col)).otherwise(some)

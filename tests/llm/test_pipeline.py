@@ -73,3 +73,33 @@ def test_run_equals_the_stages(spark, sf_dir):
     rows = P.run(spark, sf_dir[0]).collect()
     assert Counter(rows) == Counter(P.run(spark, sf_dir[0]).collect())
     assert {"doc_id", "shard", "slot"} <= set(rows[0].asDict())
+
+
+def test_stages_tell_rows_of_the_same_id_apart(spark):
+    rng = random.Random(9)
+    item = prose(rng, 20)
+    texts = [prose(rng, rng.randint(40, 90), ["en", "fr", "de"][k % 3]) for k in range(60)]
+    key = lambda k: None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k
+    rows = [(key(k), t, ["en", "fr", "de"][k % 3], f"s{k % 4}", len(t)) for k, t in enumerate(texts)]
+    gone = [(None, "12 !!", "en", "s1", 5), (7, None, None, "s1", 0)]
+    dirty = [(None, f"{texts[0]} {item}", "en", "s1", 0), (7, f"{texts[1]} {item}", "fr", "s1", 0)]
+    frame = lambda x: spark.createDataFrame(x, SCHEMA).repartition(3)
+    assert Counter(map(tuple, P.language(spark, frame(rows + gone), "").collect())) == Counter(rows)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert Counter(map(tuple, P.clean(frame(rows + dirty), items).collect())) == Counter(rows)
+    # Copies of rows without an id go, and so does one with the id of another text.
+    copies = [(None, texts[2], "de", "s9", 1), (None, texts[0], "en", "s9", 2), rows[3], (7, texts[5], "fr", "s1", 3)]
+    one = [tuple(r) for r in P.near_duplicates(spark, frame(rows + copies + [(None, "", "en", "s1", 0)] * 2), "").collect()]
+    assert Counter(r[1] for r in one) == Counter(texts + ["", ""])
+    # Each row's words are its own, as often as targets say, and reruns agree; equal rows count each.
+    twice = rows + [rows[0], rows[1]] * 3
+    mixed = P.mix(spark, frame(twice), "")
+    got = [tuple(r) for r in mixed.collect()]
+    assert Counter(got) == Counter(tuple(r) for r in P.mix(spark, frame(twice), "").collect())
+    whole = Counter()
+    for i, t, lang, s, n in got:
+        of = [r for r in rows if (r[0], r[2], r[3]) == (i, lang, s) and Counter(WORD.findall(t)) <= Counter(WORD.findall(r[1]))]
+        assert of and n == len(t)
+        whole[s] += len(WORD.findall(t))
+    total = sum(len(WORD.findall(r[1])) for r in twice)
+    assert abs(sum(whole.values()) - 1.5 * total) <= 5
