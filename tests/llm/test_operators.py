@@ -389,6 +389,22 @@ def test_toxicity_held_out(spark, none):
     assert {r.score for r in X.toxicity_report(docs, marks.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_flipped_labels():
+    from tests.llm.conftest import prose
+
+    rng = random.Random(12)
+    bad = ["idiot", "scumbag", "moron"]
+    texts = [f"{prose(rng, rng.randint(4, 30))} {bad[k // 3 % 3] if k % 3 == 0 else ''} {prose(rng, rng.randint(4, 30))}" for k in range(600)]
+    truth = np.array([k % 3 == 0 for k in range(600)])
+    labels = truth.copy()
+    labels[::25] = ~labels[::25]  # 4 per cent, each insult among them in texts labelled clean
+    assert all(any(w in t.split() for t, y in zip(texts[:400], labels, strict=False) if not y) for w in bad)
+    m = X.train([t.encode() for t in texts[:400]], labels[:400])
+    top = np.array([X.margins(X.strings(np.frombuffer(f" {t} ".encode(), np.uint8)), m.weights).max() + m.bias for t in texts[400:]])
+    found = 1 / (1 + np.exp(-(m.slope * top + m.offset))) >= 0.7
+    assert (found == truth[400:]).mean() >= 0.95
+
+
 def test_string_kernel_tolerates_gaps():
     k = X.kernel([b"idiot"], [b"idiot", b"idi-ot", b"i.d.i.o.t", b"table"])[:, 0]
     assert k[0] > k[1] > k[3] and k[2] > k[3]
