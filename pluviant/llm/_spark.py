@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder; one of our own only where it has none."""
+    """The folder that all executors share: the session's checkpoint folder; one of our own only in local mode without one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pluviant-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pluviant-checkpoint-")  # one machine, as in tests
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,6 +40,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the table that `stored` wrote for `df`, once nothing is read from it any more."""
+    spark = df.sparkSession
+    root = shared_folder(spark)
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("table-") and str(path).endswith(f"{root.rsplit('/', 1)[-1]}/{path.getName()}"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     """id, k, text (k may be missing) -> id, k, size, packed: texts compressed, as a shuffle compresses them less well."""
     import pyarrow as pa

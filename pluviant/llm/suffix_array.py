@@ -10,6 +10,8 @@ import numpy as np
 
 #: Longest run of entries induced at once.
 RUN = 1 << 16
+#: Reduced strings of at most this many symbols end the recursion (17 bits: two ranks and a place fit in 64).
+BASE = 1 << 17
 
 
 def suffix_types(s: np.ndarray) -> np.ndarray:
@@ -85,6 +87,37 @@ def _sorted_by(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, counts: np
     return sa
 
 
+def ordered_names(s: np.ndarray) -> np.ndarray:
+    """The recursion's end: suffixes of a short reduced string, by ranks of 1, 2, 4, ... symbols. Only suffixes whose rank
+    others share are compared again; a rank is the first place that those who share it may take."""
+    n = len(s)
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    rank = np.zeros(n + 1, np.int64)
+    key = np.sort(s.astype(np.int64) << bits | np.arange(n))
+    live, old, reach = key & low, key >> bits, 1
+    first = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+    rank[live] = np.repeat(first, np.diff(np.append(first, n)))
+    size = np.diff(np.append(first, n))
+    live = live[np.repeat(size, size) > 1]
+    while len(live):
+        # Beyond the end lies the least suffix of all; places there are never compared, since the last symbol is unique.
+        key = np.sort((rank[live] << bits | rank[np.minimum(live + reach, n)]) << bits | live)
+        live, pair = key & low, key >> bits
+        head = pair >> bits
+        at = np.arange(len(live))
+        start = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+        start = np.repeat(start, np.diff(np.append(start, len(live))))
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        size = np.diff(np.append(first, len(live)))
+        rank[live] = head + np.repeat(at[first], size) - start
+        live = live[np.repeat(size, size) > 1]
+        reach *= 2
+    sa = np.empty(n, np.int32)
+    sa[rank[:n]] = np.arange(n, dtype=np.int32)
+    return sa
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes of `s` in order. Its last symbol must be 0 and the only 0."""
     s = s if s.dtype == np.uint16 else np.asarray(s, np.int32)
@@ -117,7 +150,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if name[-1] + 1 < len(sub):
         reduced = np.empty(len(sub), np.int32 if name[-1] >= 1 << 16 else np.uint16)
         reduced[nth[sub]] = name
-        sub = leftmost[suffix_array(reduced)]
+        sub = leftmost[ordered_names(reduced) if len(reduced) <= BASE else suffix_array(reduced)]
     return _sorted_by(s, smaller, sub, counts)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pluviant.llm import components as C
 from pluviant.llm import decontaminate as D
 from pluviant.llm import dedup_suffix as S
+from pluviant.llm import suffix_array as suffixes
 from pluviant.llm import jaccard as J
 from pluviant.llm import langid as L
 from pluviant.llm import licenses as LI
@@ -23,6 +24,8 @@ from pluviant.llm.dedup_exact import exact_dedup
 from pluviant.llm.sharding import lookup_table, place
 from pluviant.llm.suffix_array import common_prefixes, suffix_array
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -253,13 +256,40 @@ def repeats_by_hand(corpus, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [S.HOT_BYTES, 300])
-def test_repeats(docs, clashing, corpus, hot):
-    # With the low limit most groups are split into windows.
-    got = dicts(S.repeats_digest(docs if hot > 1000 else clashing, hot_bytes=hot))
+@pytest.mark.parametrize("limit", [S.GROUP_BYTES, 300])
+def test_repeats(docs, clashing, corpus, limit):
+    # With the low limit most groups are dealt anew, twice.
+    got = dicts(S.repeats_digest(docs if limit > 1000 else clashing, group_bytes=limit))
     assert bag(got) == bag(repeats_by_hand(corpus, 200))
 
 
+def test_repeats_of_equal_rows_make_a_segment_each(spark, monkeypatch):
+    rng = random.Random(3)
+    text = prose(rng, 60)
+    docs = spark.createDataFrame([(None, text)] * 150 + [(None, prose(rng, 60)), (1, text)], "doc_id long, text string")
+    kept = []
+    write = S.stored
+    monkeypatch.setattr(S, "stored", lambda df: kept.append(write(df)) or kept[-1])
+    monkeypatch.setattr(S, "dropped", lambda df: None)
+    got = S.repeats_digest(docs).collect()
+    assert sorted(r.n_removed for r in got) == [0] + [len(text.encode())] * 151
+    segments = next(t for t in kept if "seg" in t.columns and "at" in t.columns)
+    assert segments.count() == 151 * segments.select("at").distinct().count()
+
+
+def test_suffix_arrays_agree_whether_the_recursion_goes_on_or_ends():
+    rng = np.random.default_rng(5)
+    for n in (40, 3000):
+        for symbols in (2, 5):
+            s = np.append(np.tile(rng.integers(1, symbols + 1, n), 3), 0).astype(np.uint16)
+            s[n // 2] = symbols + 1
+            want = sorted(range(len(s)), key=lambda k: s[k:].astype(">u2").tobytes())
+            for base in (0, 1 << 17):
+                suffixes.BASE, was = base, suffixes.BASE
+                assert suffix_array(s).tolist() == want
+                suffixes.BASE = was
+
+
 def test_repeats_keep_text(docs, corpus, none):
     for r in S.repeats(docs, length=64).collect():
         assert len(r.kept) == r.n_bytes - r.n_removed
