@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Whitespace of the contracts, as a Java regular expression class.
@@ -74,6 +75,28 @@ def row_key(docs: DataFrame, id_col: str) -> Column:
     return F.struct(F.isnull(docs[id_col]).alias("lacks"), docs[id_col].alias("id"), F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
 
 
+def labelled_texts(ids: DataFrame, texts: DataFrame, per_label: int) -> list[tuple]:
+    """(label, nth, text) of at most `per_label` of each label's ids (id, label), sorted; `texts` has id, text, perhaps label.
+
+    Ids are picked by their hash: with the labels' counts known, only rows below a bound of the hash, somewhat more than
+    are wanted, meet in a label's task. Texts are fetched whole, for picked ids alone; of texts that share an id and label
+    the greatest is taken. Rows without id, label or text are not picked.
+    """
+    ids = ids.filter("id is not null and label is not null").distinct()
+    count = ids.groupBy("label").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("label", "of")
+    h = F.xxhash64("id", F.lit("sample"))
+    bound = (F.lit(1.25 * per_label + 64) / F.col("total") - 0.5) * float(1 << 64)
+    near = ids.join(count, F.col("label") == F.col("of")).filter(h.cast("double") < bound)
+    nth = F.row_number().over(W.partitionBy("label").orderBy(h, "id"))
+    picked = near.select(F.col("id").alias("pid"), F.col("label").alias("plabel"), nth.alias("nth")).filter(F.col("nth") <= per_label)
+    same = F.col("id") == F.col("pid")
+    if "label" in texts.columns:
+        same = same & (F.col("label") == F.col("plabel"))
+    # At most per_label ids of each label are broadcast.
+    got = texts.filter("text is not null").join(F.broadcast(picked), same).groupBy("plabel", "nth").agg(F.max("text"))
+    return sorted(tuple(r) for r in got.collect())
+
+
 def size_estimate(df: DataFrame, unknown: int = 256 << 20) -> int:
     """Bytes of the input as Catalyst estimates them; no job runs. Spark's huge default means that it can't tell."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

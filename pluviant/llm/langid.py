@@ -14,10 +14,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, text_chunks
+from ._spark import labelled_texts
 
 LETTER = r"\p{L}"
 WINDOW = 192
@@ -26,6 +26,8 @@ FILTERS = 8
 EMBED = 8
 #: Bytes of windows scored together.
 BATCH = 192 << 10
+#: Label of made-up texts in no language, for telling whether a text is in any.
+NO_LANGUAGE = "\0none"
 
 
 class Net(NamedTuple):
@@ -56,9 +58,9 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, batch: int =
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    x, row = windows_of(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
-    y = np.searchsorted(names, np.array(labels))[row]
+    blocks = [np.frombuffer(t + bytes(-len(t) % WINDOW), np.uint8).reshape(-1, WINDOW) for t in texts]
+    x = LOWER[np.concatenate(blocks)]
+    y = np.repeat(np.searchsorted(names, np.array(labels)), [len(b) for b in blocks])
     full = (x > 0).sum(axis=1) >= WINDOW // 8
     if full.any() and len(set(y[full])) == len(names):
         x, y = x[full], y[full]
@@ -73,6 +75,9 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, batch: int =
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(b, -(-batch // len(by))) for b in by])
         xb, yb = x[pick].astype(np.int64), y[pick]
+        # Every fourth window is as short as a short text.
+        stop = np.where(rng.random(len(xb)) < 0.25, rng.integers(8, WINDOW + 1, len(xb)), WINDOW)
+        xb[np.arange(WINDOW) >= stop[:, None]] = 0
         emb = p["e"][xb]
         pooled, where = [], []
         for k, w in enumerate(WIDTHS):
@@ -123,42 +128,83 @@ def probabilities(net: Net, responses: list[list[np.ndarray]], x: np.ndarray) ->
     return q / q.sum(axis=1, keepdims=True)
 
 
-def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, piece: int) -> tuple[list[bytes], list[str]]:
-    """A piece of each of at most `per_label` texts of every label, chosen by a hash of the id."""
-    # Only rows with a label, a letter and an id can be learnt from; the piece begins at a place given by the same hash.
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("id", F.lit("sample")))
-    spare = F.greatest(F.lit(1), F.length("text") - piece + 1)
-    rows = rows.withColumn("text", F.substring(F.col("text"), (F.pmod("h", spare) + 1).cast("int"), F.lit(piece)))
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "text"))).filter(F.col("n") <= per_label)
-    got = sorted((r.lang, r.n, r.text) for r in rows.select("lang", "n", "text").collect())
-    return [t.encode() for _, _, t in got], [lang for lang, _, _ in got]
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 500) -> Net | None:
+    """Train on the whole texts of at most `per_label` ids of each label in `docs`; texts without a letter teach nothing."""
+    rows = _labelled(docs, id_col, text_col, lang_col, per_label)
+    return train([t.encode() for _, t in rows], [lang for lang, _ in rows])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 500, piece: int = 1000) -> Net | None:
-    """Train on at most `per_label` texts of each label in `docs`, a piece of at most `piece` characters of each."""
-    return train(*training_texts(docs, id_col, text_col, lang_col, per_label, piece))
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int) -> list[tuple[str, str]]:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
+    return [(lang, text) for lang, _, text in labelled_texts(rows.select("id", "label"), rows, per_label) if any(c.isalpha() for c in text)]
 
 
-def judge(net: Net | None, own: list[list[np.ndarray]], texts: pa.Array, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; `letters` says which texts have a letter."""
-    letters = letters.astype(bool) & (net is not None)
-    preds, scores = [], []
+def no_language(text: bytes, rng: np.random.Generator) -> bytes:
+    """A text like `text` in no known language: its letters exchanged for others throughout, as in a language never learnt;
+    its bytes between spaces in disorder; or a run of codes."""
+    kind = rng.integers(3)
+    data = LOWER[np.frombuffer(text, np.uint8)]
+    if kind == 0:
+        swap = np.arange(256, dtype=np.uint8)
+        swap[0x61:0x7B] = rng.permutation(swap[0x61:0x7B])
+        swap[0x80:0xC0] = rng.permutation(swap[0x80:0xC0])
+        return swap[data].tobytes()
+    if kind == 1:
+        at = np.flatnonzero(data != 0x20)
+        out = data.copy()
+        out[at] = data[rng.permutation(at)]
+        return out.tobytes()
+    signs = (b"0123456789abcdef", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=", b"0123456789.,:;-/ ", b"!#$%&*+-/<=>?@^_|~ x")
+    own = np.frombuffer(signs[rng.integers(4)], np.uint8)
+    return own[rng.integers(len(own), size=min(len(text), 4096))].tobytes()
+
+
+class Gate(NamedTuple):
+    """A network that also knows texts of no language, and the most of those that a text may look like."""
+
+    net: Net
+    limit: float
+
+
+def fit_gate(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int = 500, loss: float = 0.001, seed: int = 5) -> Gate | None:
+    """Learn from labelled rows that are not held out and from made-up texts in no language. The limit is a half, or more
+    if over a share `loss` of the labelled texts that are held out would go by it; it doesn't depend on how many languages
+    there are. None without labels."""
+    rows = _labelled(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, per_label)
+    if not rows:
+        return None
+    rng = np.random.default_rng(seed)
+    texts = [t.encode() for _, t in rows]
+    made = [no_language(t, rng) for t in texts]
+    net = train(texts + made, [lang for lang, _ in rows] + [NO_LANGUAGE] * len(made), steps=800)
+    none = net.labels.index(NO_LANGUAGE)
+    own = tables(net)
+    other = [t for _, t in _labelled(docs.filter(held_out(id_col)), id_col, text_col, lang_col, per_label)]
+    seen = np.sort(np.concatenate([m[:, none] for _, m in means(net, own, pa.array(other, pa.string()))])) if other else np.zeros(0)
+    return Gate(net, float(max(0.5, seen[int(len(seen) * (1 - loss))])) if len(seen) else 0.5)
+
+
+def means(net: Net, own: list[list[np.ndarray]], texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each run of texts: its first row, and each text's mean probabilities over all its windows."""
     for chunk in text_chunks(texts, BATCH):
         n = len(chunk.offsets) - 1
-        known = letters[chunk.first : chunk.first + n]
-        total, count = np.zeros((n, len(net.labels) if net else 1)), np.zeros(n)
-        if net and len(chunk.data):
+        total, count = np.zeros((n, len(net.labels))), np.zeros(n)
+        if len(chunk.data):
             x, row = windows_of(chunk.data, chunk.offsets)
             for k in range(0, len(x), BATCH // WINDOW):
-                q = probabilities(net, own, x[k : k + BATCH // WINDOW])
-                np.add.at(total, row[k : k + BATCH // WINDOW], q)
+                np.add.at(total, row[k : k + BATCH // WINDOW], probabilities(net, own, x[k : k + BATCH // WINDOW]))
             count = np.bincount(row, minlength=n)
-        mean = total / np.maximum(count, 1)[:, None]
+        yield chunk.first, total / np.maximum(count, 1)[:, None]
+
+
+def judge(net: Net | None, own: list[list[np.ndarray]], texts: pa.Array, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; `letters` says which texts have a letter."""
+    preds, scores = ["und"] * len(texts), np.zeros(len(texts))
+    for first, mean in means(net, own, texts) if net else ():
         best = mean.argmax(axis=1)
-        preds += [net.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
-        scores.append(np.where(known, np.minimum(mean[np.arange(n), best], 1), 0.0))
-    return preds, np.concatenate(scores) if scores else np.zeros(0)
+        for k in np.flatnonzero(letters[first : first + len(mean)].astype(bool)).tolist():
+            preds[first + k], scores[first + k] = net.labels[best[k]], min(mean[k, best[k]], 1.0)
+    return preds, scores
 
 
 def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +230,8 @@ def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """Rows not to learn from; a null id has no remainder and is not held out, but can't be learnt from either."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -193,18 +240,23 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return identify(docs, net, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """`docs` without those of no language, decided for each row by its own text: `und`, or no language that has the score `least`."""
-    net = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """`docs` without those of no language, decided for each row by its own text.
+
+    Null texts, texts without a letter and, where labels can be learnt from, texts that look more than the gate's limit
+    like texts of no language go: codes, letters in disorder, and languages never learnt. Rows that repeat an id, or have
+    none, are judged each; all columns stay as they are. An empty table gives none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit_gate(docs, id_col, text_col, lang_col, **options))
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        own = tables(net) if net else []
+        gate = shared.value
+        own = tables(gate.net) if gate else []
         for batch in batches:
-            preds, scores = judge(net, own, batch.column(at), batch.column(width).to_numpy(zero_copy_only=False))
-            stays = (np.array(preds, object) != "und") & (scores >= least)
+            stays = batch.column(width).to_numpy(zero_copy_only=False).astype(bool)
+            for first, mean in means(gate.net, own, batch.column(at)) if gate else ():
+                stays[first : first + len(mean)] &= mean[:, gate.net.labels.index(NO_LANGUAGE)] <= gate.limit
             yield batch.select(range(width)).filter(pa.array(stays, pa.bool_()))
 
     letter = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))

@@ -20,6 +20,7 @@ from pluviant.llm import licenses as LI
 from pluviant.llm import lm_score as LM
 from pluviant.llm import mixing as M
 from pluviant.llm import toxicity as X
+from pluviant.llm._spark import labelled_texts
 from pluviant.llm.dedup_exact import exact_dedup
 from pluviant.llm.sharding import lookup_table, place
 from pluviant.llm.suffix_array import common_prefixes, suffix_array
@@ -361,8 +362,6 @@ def test_near_matches(spark):
 
 
 def test_language_held_out(spark, none):
-    from tests.llm.conftest import prose
-
     rng = random.Random(5)
     rows = [(k, prose(rng, rng.randint(15, 90), lang), lang) for k in range(240) for lang in [("en", "fr", "de")[k % 3]]]
     odd = [(900, None, "en"), (901, "123 ... 456", "fr"), (902, "", None), (903, "the thing wher only", None)]
@@ -379,6 +378,30 @@ def test_language_held_out(spark, none):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_texts_of_no_language_go_and_short_ones_stay(spark):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, rng.choice([3, 20, 60]), lang), lang) for k in range(360) for lang in [("en", "fr", "de")[k % 3]]]
+    other = random.Random(4)
+    foreign = lambda n: " ".join("".join(other.choice(["pyk", "zo", "jux", "vaz", "kkoj"]) for _ in range(3)) for _ in range(n))
+    junk = ["4d5f6a7b8c9d0e1f2a3b4c5d6e7f8091a2b3c4d5e6f70819" * 3, "SGVsbG8gV29ybGQhIFRoaXMgaXMgYSBiYXNlNjQgc3RyaW5nIHdpdGggc29tZQ" * 2, foreign(30), foreign(50), None, "12 !!"]
+    # Ids repeat and extra columns clash with names that the stage uses.
+    frame = spark.createDataFrame(rows + [(5, t, None) for t in junk] + [(None, rows[0][1], None)], "doc_id long, text string, lang string").withColumn("id", F.lit("x")).withColumn("label", F.lit(1))
+    kept = [r.text for r in L.keep_identified(frame).collect()]
+    assert not set(kept) & set(junk)
+    assert len(kept) >= len(rows) - 3 and kept.count(rows[0][1]) == 2
+
+
+@pytest.mark.parametrize("per_label", [5, 1000])
+def test_labelled_texts_are_bounded_and_whole(spark, per_label):
+    rows = [(k % 400, f"text {k % 400} {k % 2}" + " x" * (3000 if k == 7 else 1), "ab"[k % 400 < 300]) for k in range(800)] + [(None, "none", "a"), (1, None, "a"), (2, "t", None)]
+    docs = spark.createDataFrame(rows, "id long, text string, label string")
+    got = labelled_texts(docs.select("id", "label"), docs, per_label)
+    assert Counter(label for label, _, _ in got) == ({"a": 5, "b": 5} if per_label == 5 else {"a": 100, "b": 300})
+    texts = {(i, label): max(t for j, t, x in rows if (j, x) == (i, label) and t) for i, t, label in rows if i is not None and label and t}
+    assert {t for _, _, t in got} <= set(texts.values())
+    assert per_label == 5 or {t for _, _, t in got} == set(texts.values())
+
+
 def test_language_tables_equal_convolution():
     rng = np.random.default_rng(2)
     texts = [bytes(rng.integers(97, 110, 300).astype(np.uint8)) for _ in range(8)] + [bytes(rng.integers(110, 122, 300).astype(np.uint8)) for _ in range(8)]
@@ -394,8 +417,6 @@ def test_language_tables_equal_convolution():
 
 
 def test_toxicity_held_out(spark, none):
-    from tests.llm.conftest import prose
-
     rng = random.Random(11)
     bad = ["idiot", "scumbag", "moron"]
     rows, labels = [], []
@@ -420,8 +441,6 @@ def test_toxicity_held_out(spark, none):
 
 
 def test_toxicity_learns_from_flipped_labels():
-    from tests.llm.conftest import prose
-
     rng = random.Random(12)
     bad = ["idiot", "scumbag", "moron"]
     texts = [f"{prose(rng, rng.randint(4, 30))} {bad[k // 3 % 3] if k % 3 == 0 else ''} {prose(rng, rng.randint(4, 30))}" for k in range(600)]
@@ -435,6 +454,65 @@ def test_toxicity_learns_from_flipped_labels():
     assert (found == truth[400:]).mean() >= 0.95
 
 
+def test_joined_strings():
+    def by_hand(text):
+        words = text.lower().split(" ")
+        letters = [re.sub("[^a-z]", "", w) for w in words]
+        out = [re.sub("[^a-z]", "", w) for w in words if re.search("[a-z][^a-z]+[a-z]", w)]
+        k = 0
+        while k < len(words):
+            m = k
+            while m < len(words) and len(letters[m]) == 1:
+                m += 1
+            if m - k > 2:
+                out.append("".join(letters[k:m]))
+            k = max(m, k + 1)
+        both = zip(words[:-1], letters[:-1], words[1:], letters[1:], strict=True)
+        return Counter(out + [x + y for a, x, b, y in both if a and b and 0 < len(x) <= 3 and 0 < len(y) <= 3 and not len(x) == len(y) == 1])
+
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 5, 30, 30, 30):
+        text = " ".join(rng.choice(["i", "d.", "a", "mo", "ron", "word", "id--i..ot", "--", "", "3", "4x4", "clown"]) for _ in range(n))
+        data = np.frombuffer(f" {text} ".encode(), np.uint8)
+        strings, at = X.joined(data)
+        found = bytes(strings).decode().split()
+        assert Counter(found) == by_hand(text)
+        assert len(at) == len(found) and all(data[k] == 32 for k in at)
+
+
+def test_spelt_and_filled_insults(spark):
+    rng = random.Random(13)
+    rows, labels = [], []
+    for k in range(300):
+        words = prose(rng, rng.randint(8, 40)).split()
+        if k % 3 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "scumbag", "moron"]))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 3 == 0)))
+    clean = prose(rng, 20)
+    bad = ["i d i o t", "i--d--i--o--t", "mo ron", "m.o.r.o.n", "s c u m b a g"]
+    docs = spark.createDataFrame(rows + [(1000 + k, f"{clean} {w} {clean}") for k, w in enumerate(bad)] + [(2000, clean), (2000, clean), (None, bad[0])], "doc_id long, text string").withColumn("label", F.lit(0)).withColumn("id", F.lit(1))
+    got = X.toxicity_report(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    scores = {r.doc_id: r.score for r in got}
+    assert all(scores[1000 + k] > 0.5 for k in range(len(bad))) and scores[2000] < 0.5
+    assert len(got) == docs.count() and all(r.held_out is not None for r in got)
+
+
+def test_kernel_by_hand():
+    def features(word):
+        s, out = f" {word} ", Counter()
+        for k in range(len(s)):
+            for steps in X.STEPS:
+                if k + steps[2] < len(s):
+                    out[s[k] + "".join(s[k + d] for d in steps)] += X.DECAY ** (steps[2] + 1)
+        return out
+
+    words = ["idiot", "id-iot", "idot", "moron", "ab"]
+    norm = lambda w: X.longest_norm(np.array([len(w) + 2]))[0]
+    want = [[sum(v * features(a)[x] for x, v in features(b).items()) / norm(a) / norm(b) for a in words] for b in words]
+    assert np.allclose(X.kernel([w.encode() for w in words], [w.encode() for w in words]), want, rtol=1e-5)
+
+
 def test_string_kernel_tolerates_gaps():
     k = X.kernel([b"idiot"], [b"idiot", b"idi-ot", b"i.d.i.o.t", b"table"])[:, 0]
     assert k[0] > k[1] > k[3] and k[2] > k[3]
