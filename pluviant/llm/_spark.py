@@ -103,12 +103,12 @@ def size_estimate(df: DataFrame, unknown: int = 256 << 20) -> int:
     return unknown if size >= 1 << 60 else size
 
 
-def expand(df: DataFrame, count: str, out: str, chunk: int = 4096) -> DataFrame:
-    """One row for each of 0 .. count-1, in two steps so that no array is long."""
+def expand(df: DataFrame, count: str, out: str, parts: int, chunk: int = 4096) -> DataFrame:
+    """One row for each of 0 .. count-1, in two steps so that no array is long; the chunks of a row go to many tasks."""
     part = f"{out}__part"
     df = df.filter(F.col(count) > 0).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), ((F.col(count) - 1) / chunk).cast("long"))))
     first = F.col(part) * chunk
-    return df.withColumn(out, F.explode(F.sequence(first, F.least(first + chunk, F.col(count)) - 1))).drop(part)
+    return df.repartition(parts, *df.columns).withColumn(out, F.explode(F.sequence(first, F.least(first + chunk, F.col(count)) - 1))).drop(part)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,14 +49,14 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, "item string, terms array<long>")
 
 
-def make_queries(rows: list[tuple[str, list[int]]], n: int) -> Queries:
+def make_queries(rows: list[tuple[str | None, list[int]]], n: int) -> Queries:
     """Windows of n consecutive words; an item of fewer words, but not none, is one window."""
     known: dict[bytes, tuple[np.ndarray, set[str]]] = {}
     for item, terms in rows:
         t = np.array(terms, np.int64).view(U)
         for k in range(max(1, len(t) - n + 1) if len(t) else 0):
             w = t[k : k + n]
-            known.setdefault(w.tobytes(), (w, set()))[1].add(str(item))
+            known.setdefault(w.tobytes(), (w, set()))[1].update(() if item is None else (str(item),))
     terms = np.unique(np.concatenate([w for w, _ in known.values()])) if known else np.zeros(0, U)
     by: dict[int, list] = {}
     for w, items in known.values():
@@ -65,8 +65,8 @@ def make_queries(rows: list[tuple[str, list[int]]], n: int) -> Queries:
 
 
 def query_blocks(items: DataFrame, id_col: str, text_col: str, n: int) -> list[Queries]:
-    """The windows of all items with an id, in blocks of at most about BLOCK_WORDS words (or one longer item)."""
-    rows = item_words(items.filter(F.col(id_col).isNotNull()), id_col, text_col).filter(F.size("terms") > 0)
+    """The windows of all items, in blocks of at most about BLOCK_WORDS words (or one longer item)."""
+    rows = item_words(items, id_col, text_col).filter(F.size("terms") > 0)
     total = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS) or 1
     if blocks == 1:
@@ -237,7 +237,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows, as strings, sorted).
 
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. Null and empty texts have no
-    words and no hits; items without words or id have no window; without items nothing is hit. Rows that repeat an id
+    words and no hits; items without words have no window, and words of those without id are hit but
+    are no item's; without items nothing is hit. Rows that repeat an id
     are documents of their own, however many blocks of queries there are. An empty table gives none.
     """
     kind = docs.schema[id_col].dataType

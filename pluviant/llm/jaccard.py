@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NON_SPACE, U, Chunk, mix, text_chunks, words
-from ._spark import WORD, durable, packed_texts, row_key, stored
+from ._spark import WORD, dropped, durable, packed_texts, row_key, stored
 from .components import components
 
 #: Classes of a token, and tokens of a cluster, that a block holds.
@@ -101,9 +101,10 @@ def near_by_bitmap(sizes: np.ndarray, maps: list[bytes], percent: int) -> Forest
     by = {w: (k := np.flatnonzero(lengths == w), np.frombuffer(b"".join(maps[i] for i in k), np.uint64).reshape(len(k), -1)) for w in np.unique(lengths).tolist()}
     for w, (rows, bits) in by.items():
         more = [(rows, bits)]
-        if 2 * w in by:
-            wide, both = by[2 * w]
-            more.append((wide, both[:, : bits.shape[1]] ^ both[:, bits.shape[1] :]))
+        for wide, both in (by[v] for v in by if v > w):
+            while both.shape[1] > bits.shape[1]:  # the parities of a narrower map
+                both = both[:, : both.shape[1] // 2] ^ both[:, both.shape[1] // 2 :]
+            more.append((wide, both))
         for at, i in enumerate(rows.tolist()):
             for others, own in more:
                 lo = at + 1 if others is rows else 0
@@ -333,12 +334,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest; rows that repeat an id are members of their own texts' components. An empty table gives none.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    every = text_sets(rows, size, percent)
+    every = stored(text_sets(rows, size, percent))
     sets = durable(every.select("id", "n", "key"))
     rest = F.struct("id", "n", "map", "first")
     classes = every.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first(rest).alias("r"))
     # Numbers of classes are fixed by the checkpoint.
     classes = durable(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "r.n", "r.map", "r.first"))
+    dropped(every)
     found = similar_classes(rows, classes, size, percent, block_sets, block_tokens)
     smallest = classes.select("cid", "key", "rep").join(found, F.col("cid") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "cid").alias("component"))
     named = smallest.groupBy("component").agg(F.min("rep").alias("least"))

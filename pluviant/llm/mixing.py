@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from ._spark import WORD, durable, expand, row_key
 
+#: Slots and rows that a task or a window should have about; what there must be at least of grid cells and id buckets.
+TASK_SLOTS = 1 << 15
+TASK_ROWS = 1 << 14
 GRID = 4096
 BUCKETS = 1024
 
@@ -65,11 +68,11 @@ def permuted(index: Column, n: Column, key: Column, rounds: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), lambda x, r: F.when(bit(x, r), swap(x, r)).otherwise(x))
 
 
-def _overlaps(a: DataFrame, b: DataFrame, total: str) -> DataFrame:
+def _overlaps(a: DataFrame, b: DataFrame, total: str, grid: int) -> DataFrame:
     """Pairs of intervals [alo, ahi) and [blo, bhi) of 0 .. total that overlap, joined by cells of a grid.
 
     The hint keeps Spark from broadcasting `a`, whose rows it can't foresee."""
-    cell = lambda x: (x * GRID / F.col(total)).cast("long")
+    cell = lambda x: (x * grid / F.col(total)).cast("long")
     cells = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi) - 1)))
     a = a.filter("ahi > alo").withColumn("cell", cells("alo", "ahi"))
     b = b.filter("bhi > blo").withColumn("cell", cells("blo", "bhi")).drop(total)
@@ -98,13 +101,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = t.withColumn("rest", F.greatest(_long(0), F.col("left") - F.col("whole") * b)).withColumn("quota", F.col("passes") * F.col("blocks") + F.col("whole") + (F.col("rest") > 0).cast("long"))
     targets = durable(t.withColumn("qhi", F.sum("quota").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0))).withColumn("slots", F.sum("quota").over(W.partitionBy())))
 
+    n_slots, n_rows = targets.agg(F.max("slots")).first()[0] or 0, base.count()
+    parts, grid, buckets = max(8, n_slots // TASK_SLOTS), max(GRID, n_slots // TASK_SLOTS), max(BUCKETS, n_rows // TASK_ROWS)
+
     # Multinomial counts: each slot of each shard draws a number below the sum of quotas.
     shards = targets.agg(F.max("slots").alias("slots")).filter("slots > 0").withColumn("shard", F.explode(F.sequence(_long(0), _long(n_shards - 1))))
     room = F.floor((F.col("shard") + 1) * F.col("slots") / n_shards) - F.floor(F.col("shard") * F.col("slots") / n_shards)
-    shards = shards.withColumn("room", room.cast("long")).repartition(max(8, n_shards // 8), "shard")
-    drawn = expand(shards, "room", "slot").withColumn("alo", F.pmod(F.xxhash64(_long(seed), "shard", "slot"), F.col("slots"))).withColumn("ahi", F.col("alo") + 1)
+    shards = shards.withColumn("room", room.cast("long"))
+    drawn = expand(shards, "room", "slot", parts).withColumn("alo", F.pmod(F.xxhash64(_long(seed), "shard", "slot"), F.col("slots"))).withColumn("ahi", F.col("alo") + 1)
     bounds = targets.select("sid", "quota", (F.col("qhi") - F.col("quota")).alias("blo"), F.col("qhi").alias("bhi"), "slots")
-    counts = _overlaps(drawn, bounds, "slots").groupBy("shard", "sid", "quota").agg(F.count(F.lit(1)).alias("drawn"))
+    counts = _overlaps(drawn, bounds, "slots", grid).groupBy("shard", "sid", "quota").agg(F.count(F.lit(1)).alias("drawn"))
     start = F.coalesce(F.sum("drawn").over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), _long(0))
     counts = durable(counts.withColumn("first", start).withColumn("n", F.greatest(_long(0), F.least("drawn", F.col("quota") - F.col("first")))))
 
@@ -114,13 +120,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
     short = targets.join(got, "sid", "left").select("sid", F.coalesce("got", _long(0)).alias("got"), (F.col("quota") - F.coalesce("got", _long(0))).alias("short"))
     short = short.withColumn("bhi", F.sum("short").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0))).withColumn("blo", F.col("bhi") - F.col("short"))
-    extra = _overlaps(spare, short.withColumn("over", F.sum("short").over(W.partitionBy())), "over")
+    extra = _overlaps(spare, short.withColumn("over", F.sum("short").over(W.partitionBy())), "over", grid)
     extra = extra.select("shard", "sid", (F.col("got") + F.greatest("alo", "blo") - F.col("blo")).alias("first"), (F.least("ahi", "bhi") - F.greatest("alo", "blo")).alias("n"))
     dealt = counts.select("shard", "sid", "first", "n").unionByName(extra)
 
     plan = targets.select("sid", "n_full", "tail", "blocks", "rest", F.col("quota").alias("q"))
-    dealt = dealt.join(plan, "sid").repartition(max(8, n_shards // 8), "shard")
-    slots = expand(dealt, "n", "j").withColumn("k", F.col("first") + F.col("j"))
+    slots = expand(dealt.join(plan, "sid"), "n", "j", parts).withColumn("k", F.col("first") + F.col("j"))
     at = F.col("k") % F.col("blocks")
     epoch = F.floor(F.col("k") / F.col("blocks"))
     block = F.when(at < F.col("n_full"), permuted(at, F.greatest(_long(1), F.col("n_full")), F.xxhash64(_long(seed), "sid", epoch), rounds)).otherwise(F.col("n_full"))
@@ -128,7 +133,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picks = slots.select("shard", "sid", "k", block.alias("block"), length.alias("len"), (length < F.when(at < F.col("n_full"), b).otherwise(F.col("tail"))).alias("cut"))
 
     # Where each document lies in its source: sums of id buckets, then sums inside a bucket.
-    placed = base.join(targets.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
+    placed = base.join(targets.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(buckets)))
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("base", F.coalesce(F.sum("sum").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), _long(0))).drop("sum")
     inside = F.coalesce(F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("id", "size", *row).rowsBetween(W.unboundedPreceding, -1)), _long(0))
@@ -157,7 +162,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as documents: `docs`' columns, one row for each time that words of a document are taken.
 
     A row's text holds, in their order, the words taken at least that often; a document taken whole keeps its text as
-    it is. n_chars, where there is such a column, follows the text. Rows that repeat an id, or have none, have words of
+    it is. n_chars, where there is such a column, follows the text; other columns stay as they are. Null and empty texts
+    have no words and are never taken; an empty table gives none. Rows that repeat an id, or have none, have words of
     their own taken; of rows equal in all columns any text serves for all.
     """
     keyed = docs.withColumn("__row", row_key(docs, id_col))
@@ -168,12 +174,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     got = got.filter("times > 0").withColumn("turn", F.explode(F.sequence(_long(1), F.col("times"))))
     take = lambda s: F.when(s["full"] >= F.col("turn"), s["n_words"]).when(s["full"] + 1 == F.col("turn"), s["part"]).otherwise(_long(0))
     got = got.withColumn("cuts", F.filter(F.transform("spans", lambda s: F.struct(s["from_word"].alias("at"), take(s).alias("n"))), lambda c: c["n"] > 0)).filter(F.size("cuts") > 0)
-    got = got.withColumn("n", F.aggregate("cuts", _long(0), lambda a, c: a + c["n"])).select(F.col("row").alias("mix_row"), "cuts", "n", F.col("size").alias("mix_size"))
-    rows = keyed.dropDuplicates(["__row"]).join(got, F.col("__row") == F.col("mix_row"))
-    all_words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))
-    some = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(all_words, (c["at"] + 1).cast("int"), c["n"].cast("int")))), " ")
-    text = F.when(F.col("n") == F.col("mix_size"), F.col(text_col)).otherwise(some)
-    rows = rows.withColumn(text_col, text)
+    n = F.aggregate("cuts", _long(0), lambda a, c: a + c["n"])
+    got = got.select(F.col("row").alias("__mix_row"), F.struct("cuts", (n == F.col("size")).alias("whole")).alias("__mix"))
+    rows = keyed.dropDuplicates(["__row"]).join(got, F.col("__row") == F.col("__mix_row"))
+    # A text's words are found once, however many cuts are taken from them.
+    words = F.array(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")))
+    some = F.transform(words, lambda w: F.array_join(F.flatten(F.transform("__mix.cuts", lambda c: F.slice(w, (c["at"] + 1).cast("int"), c["n"].cast("int")))), " "))
+    rows = rows.withColumn(text_col, F.when(F.col("__mix.whole"), F.col(text_col)).otherwise(some[0]))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return rows.select(docs.columns)

@@ -146,6 +146,19 @@ def test_mixed_documents_hold_the_words_taken(docs, corpus):
     assert all(got[k] == v for k, v in taken.items())
 
 
+def test_mixed_documents_equal_the_report(spark, docs, monkeypatch):
+    # Rows that repeat an id, or have none, and columns named like the operator's own; several tasks and buckets.
+    for name, x in (("TASK_SLOTS", 7), ("TASK_ROWS", 1), ("GRID", 8), ("BUCKETS", 2)):
+        monkeypatch.setattr(M, name, x)
+    frame = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3)).select("*", *[F.lit(1).alias(c) for c in ("n", "cuts", "mix_size", "row", "turn", "whole", "spans")])
+    taken = {(r.source, sum_) for r, sum_ in ((r, r.n_taken) for r in M.mix_report(frame).groupBy("source_size").agg(F.sum("taken").alias("n_taken")).withColumnRenamed("source_size", "source").collect())}
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    sizes = {r.source: r.n for r in frame.groupBy("source").agg(F.sum(F.coalesce(words, F.lit(0))).alias("n")).collect()}
+    mixed = M.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    assert {(sizes[r.source], r.n) for r in mixed.groupBy("source").agg(F.sum(words).alias("n")).collect()} == taken
+
+
 def test_mix_of_nothing(none, spark):
     assert M.mix_report(none).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
@@ -183,12 +196,20 @@ def components_by_hand(corpus, size, percent):
     return [{"doc_id": corpus[k][0], "n_shingles": len(s), "component_id": least[find(k)] if s else corpus[k][0]} for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("size", "percent", "blocks"), [(4, 85, {}), (2, 60, {"block_sets": 2, "block_tokens": 50})])
+@pytest.mark.parametrize(("size", "percent", "blocks"), [(4, 85, {}), (2, 60, {"block_sets": 2, "block_tokens": 50}), (1, 25, {"block_sets": 5})])
 def test_jaccard(docs, clashing, corpus, size, percent, blocks):
     got = dicts(J.jaccard_components(clashing if blocks else docs, size=size, percent=percent, **blocks))
     assert bag(got) == bag(components_by_hand(corpus, size, percent))
 
 
+def test_jaccard_of_a_part_and_its_whole(spark):
+    words = [f"w{k}" for k in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:30])), (3, " ".join(words[:20]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(docs, size=1, percent=25).collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(docs, size=1, percent=30).collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(docs, size=1, percent=70).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_jaccard_keeps_one_of_each(docs, corpus, none):
     kept = [r.doc_id for r in J.one_of_each(docs).collect()]
     want = {r["component_id"] for r in components_by_hand(corpus, 4, 85) if r["component_id"] is not None}
@@ -306,7 +327,7 @@ def contamination_by_hand(corpus, items, n=10):
     for i, t in items:
         w = ALNUM.findall(lower(t))
         for k in range(max(1, len(w) - n + 1) if w else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + n]), set()).update({str(i)} - {"None"})
     out = []
     for i, t, *_ in corpus:
         w, hit, found = ALNUM.findall(lower(t)), set(), set()
@@ -323,7 +344,7 @@ def contamination_by_hand(corpus, items, n=10):
 @pytest.fixture(scope="session")
 def items(corpus):
     whole = corpus[-5][1].split()
-    return [(1, " ".join(corpus[4][1].split()[:40])), (2, "X"), (30, " ".join(whole[100:130]).upper()), (4, None), (5, "..."), (6, " ".join(whole[105:117])), (7, "a b C"), (8, "be " * 12)]
+    return [(1, " ".join(corpus[4][1].split()[:40])), (2, "X"), (30, " ".join(whole[100:130]).upper()), (4, None), (5, "..."), (6, " ".join(whole[105:117])), (7, "a b C"), (8, "be " * 12), (None, "é")]
 
 
 def test_contamination(spark, docs, clashing, corpus, items, none, monkeypatch):
