@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._bytes import NON_SPACE, U, Chunk, mix, text_chunks, words
@@ -287,7 +288,12 @@ def similar_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int
     tokens = classes.select("cid", F.explode("first").alias("t"))
     lists = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("b")).filter("c > 1")
     once = lists.groupBy("c", "a", "b").agg(F.min("t").alias("t")).select("t", "c")
-    met = tokens.join(once, "t").join(classes.select("cid", "n", "map"), "cid")
+    # A class whose size fits no other of its token needs no bitmap there: in the order of sizes, a neighbour fits or none
+    # does. Groups of several blocks are not gathered for that.
+    met = tokens.join(once, "t").join(classes.select("cid", "n"), "cid").withColumn("apart", F.when(F.col("c") > block_sets, F.col("cid")))
+    by_size = W.partitionBy("t", "apart").orderBy("n")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    met = met.withColumn("near", near | F.col("apart").isNotNull()).filter("near").drop("near", "apart").join(classes.select("cid", "map"), "cid")
     met = _in_blocks(met, F.ceil(F.col("c") / block_sets).cast("long")).select("t", "cell", "n", "cid", "map")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
