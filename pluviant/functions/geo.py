@@ -1,7 +1,7 @@
 """Geometry in text form: parsing, centroids, envelopes, lengths and point tests, as column expressions.
 
-A polygon is an array of rings, a ring an array of (x, y). Rings are told apart by parity: a point is inside if a ray from it
-crosses an odd number of edges, which also handles holes and several parts.
+A polygon is an array of rings, a ring an array of (x, y). A point is inside if a ray from it crosses an odd number of
+edges, which also handles holes. A region of several parts is a list of polygons, and a point of any part is inside.
 """
 
 from __future__ import annotations
@@ -110,17 +110,19 @@ def point_wkt(x: Column | str, y: Column | str) -> Column:
     return F.concat(F.lit("POINT ("), col(x).cast("string"), F.lit(" "), col(y).cast("string"), F.lit(")"))
 
 
-def wkb_rings(wkb: bytes) -> list[list[tuple[float, float]]]:
-    """Rings of a WKB polygon or multipolygon, for a region that one row describes."""
+def wkb_parts(wkb: bytes) -> list[list[list[tuple[float, float]]]]:
+    """Polygons (lists of rings) of a WKB polygon or multipolygon, for a region that one row describes."""
 
     def read(at: int) -> tuple[list, int]:
         order = "<" if wkb[at] else ">"
         kind, n = struct.unpack_from(f"{order}II", wkb, at + 1)
         at, rings = at + 9, []
         if kind == 6:
+            parts = []
             for _ in range(n):
                 more, at = read(at)
-                rings += more
+                parts += more
+            return parts, at
         elif kind == 3:
             for _ in range(n):
                 (m,) = struct.unpack_from(f"{order}I", wkb, at)
@@ -129,7 +131,7 @@ def wkb_rings(wkb: bytes) -> list[list[tuple[float, float]]]:
                 at += 4 + 16 * m
         else:
             raise ValueError(f"a polygon or multipolygon is needed, not WKB type {kind}")
-        return rings, at
+        return [rings], at
 
     return read(0)[0]
 

@@ -87,6 +87,12 @@ def pixel_speed(pixels: Column | str, step_minutes: float) -> Column:
     return col(pixels) * 0.1 * 111000.0 / (step_minutes * 60.0)
 
 
+def speed_and_direction(u: Column | str, v: Column | str, most: float | None = None) -> Column:
+    """Struct of speed (at most `most`) and the unit vector (null for a calm)."""
+    size = F.sqrt(col(u) * col(u) + col(v) * col(v))
+    return F.struct((F.least(size, F.lit(float(most))) if most is not None else size).alias("speed"), F.try_divide(col(u), size).alias("ux"), F.try_divide(col(v), size).alias("uy"))
+
+
 def cell_area_km2(lat: Column | str, d_lat: float, d_lon: float) -> Column:
     """Area of a cell of a regular grid, degrees."""
     return F.lit(EARTH_KM**2) * F.radians(F.lit(d_lat)) * F.radians(F.lit(d_lon)) * F.cos(F.radians(col(lat)))
@@ -130,6 +136,18 @@ def file_time(path: Column | str) -> Column:
     return F.coalesce(F.when(day != "", plain), half).cast("timestamp_ntz")
 
 
+def file_time_at(path: Column | str, start: int, stop: int, pattern: str) -> Column:
+    """Time from the characters start .. stop - 1 of a file's name, by a pattern; null if they are no such time."""
+    name = F.element_at(F.split(col(path), "/"), -1)
+    return F.try_to_timestamp(F.substring(name, start + 1, stop - start), F.lit(pattern)).cast("timestamp_ntz")
+
+
+def file_time_parts(path: Column | str, parts: tuple[int, ...], pattern: str) -> Column:
+    """Time from the dotted parts of a file's name, put together in order."""
+    bits = F.split(F.element_at(F.split(col(path), "/"), -1), r"\.")
+    return F.try_to_timestamp(F.concat(*[F.try_element_at(bits, F.lit(k + 1)) for k in parts]), F.lit(pattern)).cast("timestamp_ntz")
+
+
 def frame_label(ts: Column | str) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd HH:mm 'UTC'")
 

@@ -26,6 +26,25 @@ def on_steps(counts: DataFrame, steps: DataFrame, value: str = "n") -> DataFrame
     return steps.select("timestamp").distinct().join(counts, "timestamp", "left").withColumn(value, F.coalesce(value, F.lit(0).cast("long")))
 
 
+def all_steps(*frames: DataFrame) -> DataFrame:
+    """The time steps of all frames, each once."""
+    out = frames[0].select("timestamp")
+    for f in frames[1:]:
+        out = out.union(f.select("timestamp"))
+    return out.distinct()
+
+
+def index_range(df: DataFrame, first: str, last: str, column: str = "timestamp") -> DataFrame:
+    """Rows from one time to another, both included."""
+    return df.filter(F.col(column).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+
+
+def total_bounds(df: DataFrame, envelope: Column) -> DataFrame:
+    """One row: the bounds of all geometries."""
+    e = df.select(envelope.alias("e"))
+    return e.agg(F.min("e.xmin").alias("xmin"), F.min("e.ymin").alias("ymin"), F.max("e.xmax").alias("xmax"), F.max("e.ymax").alias("ymax"))
+
+
 def pixel_occupancy(tracks: DataFrame, y: str = "array_y", x: str = "array_x") -> DataFrame:
     """Per pixel, in how many (system, time step) it was covered; a pixel counts once in each."""
     pixels = tracks.select("uid", "timestamp", F.explode(F.arrays_zip(F.col(y).alias("y"), F.col(x).alias("x"))).alias("p")).select("uid", "timestamp", "p.y", "p.x").na.drop(subset=["y", "x"])

@@ -15,7 +15,7 @@ STATS = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "median": F.me
 def dense(grid: DataFrame) -> DataFrame:
     """All combinations of the cube's times and cells; values are null where there was no row."""
     times, cells = grid.select("time").distinct(), grid.select(*CELL).distinct()
-    return cells.crossJoin(F.broadcast(times)).join(grid, ["time", *CELL], "left")
+    return cells.crossJoin(times).join(grid, ["time", *CELL], "left")
 
 
 def resample_monthly(grid: DataFrame, value: str, stat: str = "mean", weight: str | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def mean_per_event(grid: DataFrame, value: str, events: str, mode: str = "ratio_
         times = grid.select("time").distinct()
         times = times.withColumn("w", F.unix_seconds(F.lead("time").over(order).cast("timestamp")) - F.unix_seconds(F.col("time").cast("timestamp")))
         times = times.withColumn("w", F.coalesce("w", F.lag("w").over(order)).cast("double"))
-        rows, w = grid.join(F.broadcast(times), "time"), F.coalesce("w", F.lit(1.0))
+        rows, w = grid.join(times, "time"), F.coalesce("w", F.lit(1.0))
     if mode == "ratio_of_sums":
         on = (d > 0) & v.isNotNull()
         out = F.try_divide(F.sum(F.when(on, v * w)), F.sum(F.when(on, d * w)))
@@ -69,8 +69,13 @@ def coslat_series(grid: DataFrame, value: str, skipna_weights: bool = False) ->
     """Per time, the mean over all cells weighted by cos(lat). Cells without a value count in the weights unless
     skipna_weights."""
     w = F.cos(F.radians("lat"))
-    rows = dense(grid.select("time", *CELL, value))
-    return rows.groupBy("time").agg((F.sum(F.col(value) * w) / F.sum(F.when(F.col(value).isNotNull(), w) if skipna_weights else w)).alias("mean"))
+    present = F.sum(F.when(F.col(value).isNotNull(), w))
+    by = grid.groupBy("time").agg(F.sum(F.col(value) * w).alias("s"), present.alias("w"))
+    if skipna_weights:
+        return by.select("time", F.try_divide("s", "w").alias("mean"))
+    # The weight of all cells is one number, whatever the time.
+    every = grid.select(*CELL).distinct().agg(F.sum(w).alias("all"))
+    return by.crossJoin(F.broadcast(every)).select("time", F.try_divide("s", "all").alias("mean"))
 
 
 def total_over_time(grid: DataFrame, *values: str) -> DataFrame:
@@ -124,6 +129,40 @@ def balance(grid: DataFrame, plus: str, minus: str) -> DataFrame:
     return by.select(*CELL, (F.col(plus) - F.col(minus)).alias("balance"))
 
 
+def map_arithmetic(a: DataFrame, b: DataFrame, value: str, digits: int = 4) -> DataFrame:
+    """Two maps on the cells that both have: difference and ratio. Cells meet by their rounded coordinates."""
+    key = lambda df, name: df.select(*[F.round(c, digits).alias(c) for c in CELL], F.col(value).alias(name))
+    both = key(a, "a").join(key(b, "b"), CELL)
+    return both.select(*CELL, (F.col("a") - F.col("b")).alias("difference"), F.try_divide("a", "b").alias("ratio"))
+
+
+def common_latitudes(*maps: DataFrame) -> DataFrame:
+    """Latitudes that all maps have."""
+    out = maps[0].select("lat").distinct()
+    for m in maps[1:]:
+        out = out.intersect(m.select("lat"))
+    return out
+
+
+def stride(map_: DataFrame, step: int) -> DataFrame:
+    """Every `step`-th latitude and longitude, from the least."""
+    for c in CELL:
+        kept = map_.select(c).distinct().withColumn("nth", F.row_number().over(W.orderBy(c)) - 1).filter(F.col("nth") % step == 0)
+        map_ = map_.join(kept.select(c), c, "left_semi")
+    return map_
+
+
+def log_limits(df: DataFrame, value: str) -> DataFrame:
+    """One row: the powers of ten below the least positive and above the greatest value; null without a positive one."""
+    v = F.when(F.col(value) > 0, F.col(value))
+    return df.agg(F.pow(F.lit(10.0), F.floor(F.log10(F.min(v)))).alias("low"), F.pow(F.lit(10.0), F.ceil(F.log10(F.max(v)))).alias("high"))
+
+
+def value_range(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """One row: two percentiles of the values, for a colour scale."""
+    return df.agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+
+
 def pixel_area(map_: DataFrame, value: str, units: str = "km2") -> DataFrame:
     """Values times the cells' areas; spacings are the means of the distances of neighbouring coordinates."""
     if units not in ("km2", "m2"):
@@ -172,8 +211,9 @@ def hotspots(map_: DataFrame, value: str, area_weight: bool = False, sigma: floa
     """Raw, normalised and smoothed values, whether a cell reaches the quantile of the positive smoothed ones, and bounds."""
     raw = F.col(value) / F.greatest(F.lit(0.1), F.cos(F.radians("lat"))) if area_weight else F.col(value)
     rows = map_.select(*CELL, raw.cast("double").alias("value_raw"))
-    top = F.max("value_raw").over(W.partitionBy())
-    rows = rows.withColumn("value_norm", F.when(top > 0, F.col("value_raw") / top).otherwise(F.col("value_raw")) if normalize else F.col("value_raw"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("value_raw").alias("top"))))
+    norm = F.when(F.col("top") > 0, F.col("value_raw") / F.col("top")).otherwise(F.col("value_raw")) if normalize else F.col("value_raw")
+    rows = rows.withColumn("value_norm", norm).drop("top")
     smooth = gaussian_smooth(rows, "value_norm", sigma).withColumnRenamed("value_norm", "value_smooth")
     cut = smooth.filter("value_smooth > 0").agg(F.percentile("value_smooth", F.lit(quantile)).alias("cut"))
     out = rows.join(smooth, CELL, "left").crossJoin(F.broadcast(cut)).withColumn("hotspots_mask", F.coalesce(F.col("value_smooth") >= F.col("cut"), F.lit(False))).drop("cut")
@@ -181,8 +221,9 @@ def hotspots(map_: DataFrame, value: str, area_weight: bool = False, sigma: floa
 
 
 def areas_above(map_: DataFrame, value: str, threshold: float | None = None, quantile: float | None = None, operation: str = "ge", min_area_km2: float = 100_000.0) -> DataFrame:
-    """Connected areas (sharing an edge) of cells that pass the comparison: label, cells, area in the ellipsoid-free
-    Mercator plane, km2. A map is one group; labels spread over the cell graph until nothing changes."""
+    """Connected areas (sharing an edge) of cells that pass the comparison: label (the first cell's row and
+    column), cells, area in the Mercator plane of the WGS 84 ellipsoid, km2. One map is one group and is walked in one
+    task, so its number of cells must fit there (a grid of 0.1 degrees has 6.5 million at most)."""
     compare = {"ge": lambda a, b: a >= b, "gt": lambda a, b: a > b, "le": lambda a, b: a <= b, "lt": lambda a, b: a < b}
     if operation not in compare or (threshold is None) == (quantile is None):
         raise ValueError("one of threshold and quantile, and operation ge, gt, le or lt, are needed")
@@ -190,7 +231,9 @@ def areas_above(map_: DataFrame, value: str, threshold: float | None = None, qua
     axis = lambda c: F.broadcast(map_.select(c).distinct().select(c, F.row_number().over(W.orderBy(c)).alias(f"i_{c}")))
     kept = map_.crossJoin(F.broadcast(cut)).filter(compare[operation](F.col(value), F.col("cut"))).join(axis("lat"), "lat").join(axis("lon"), "lon")
     kept = kept.join(F.broadcast(cell_edges(map_, "lat")), "lat").join(F.broadcast(cell_edges(map_, "lon")), "lon")
-    y = lambda c: F.log(F.tan(F.lit(0.7853981633974483) + F.radians(c) / 2))
+    e = 0.0818191908426215  # eccentricity
+    bend = lambda c: F.pow((1 - e * F.sin(F.radians(c))) / (1 + e * F.sin(F.radians(c))), F.lit(e / 2))
+    y = lambda c: F.log(F.tan(F.lit(0.7853981633974483) + F.radians(c) / 2) * bend(c))
     area = F.lit(6378.137**2) * F.radians(F.col("lon_high") - F.col("lon_low")) * (y("lat_high") - y("lat_low"))
     cells = kept.select("i_lat", "i_lon", area.alias("area"))
 

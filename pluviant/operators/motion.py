@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import centroid, mercator_length_km, point_wkt, wkt_rings
-from ..functions.scalar import bearing, cell_centre, haversine, month_start, quadrant_id, sector, wrap_longitude
+from ..functions.scalar import bearing, cell_centre, haversine, month_start, quadrant_id, round_up_nicely, sector, wrap_longitude
 
 
 def with_centroids(tracks: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -85,7 +85,7 @@ def quadrant_arrows(summary: DataFrame) -> DataFrame:
     """Direction to the commonest destination as a unit vector (longitudes wrapped and shortened by the latitude's cosine),
     and whether more systems start or end in the quadrant."""
     dest = summary.select(F.col("quad_id").alias("d"), F.col("lon_center").alias("dx"), F.col("lat_center").alias("dy"))
-    rows = summary.join(F.broadcast(dest), F.col("Common_Dest") == F.col("d"), "left")
+    rows = summary.join(dest, F.col("Common_Dest") == F.col("d"), "left")
     x = wrap_longitude(F.col("dx") - F.col("lon_center")) * F.cos(F.radians("lat_center"))
     y = F.col("dy") - F.col("lat_center")
     length = F.sqrt(x * x + y * y)
@@ -123,9 +123,22 @@ def grid_step(ends: DataFrame) -> DataFrame:
     return ends.agg((F.percentile("start_end_haversine_km", F.lit(0.25)) / 111.0).alias("step"))
 
 
+def sized_dominance(ends: DataFrame, **options) -> DataFrame:
+    """`dominance` on a grid of the 25th percentile of the distances, degrees (one number comes to the driver)."""
+    step = grid_step(ends).first()["step"]
+    return dominance(ends, step=step if step else 10.0, **options)
+
+
+def robust_scale(cells: DataFrame, value: str = "dominance") -> DataFrame:
+    """One row, scale: the 98th percentile of the absolute values, rounded up to 1, 2, 2.5 or 5 times a power of ten."""
+    return cells.agg(F.percentile(F.abs(F.col(value)), F.lit(0.98)).alias("p98")).select(round_up_nicely(F.col("p98")).alias("scale"))
+
+
 def monthly_distance(df: DataFrame, time_col: str = "start_timestamp", dist_col: str = "start_end_haversine_km", filter_max_km: float | None = None) -> DataFrame:
     """Per calendar month from the first to the last: n and the distances' mean, quartiles, p99, max, deviation and the
     half-width of the mean's 95 % interval; months without rows have n = 0."""
+    # Times that can't be read count as missing.
+    df = df.withColumn(time_col, F.col(time_col).try_cast("timestamp_ntz"))
     rows = df.filter(F.col(time_col).isNotNull() & F.col(dist_col).isNotNull())
     rows = rows if filter_max_km is None else rows.filter(F.col(dist_col) <= filter_max_km)
     d = F.col(dist_col)

@@ -9,6 +9,12 @@ from ..functions.geo import point_in_polygon, rings_literal
 from .motion import start_end
 
 Rings = list[list[tuple[float, float]]]
+#: One polygon, or the parts of a region, which may overlap.
+Region = Rings | list[Rings]
+
+
+def parts_of(region: Region) -> list[Rings]:
+    return region if isinstance(region[0][0], list) else [region]
 
 
 def _bounds(rings: Rings) -> tuple[float, float, float, float]:
@@ -16,17 +22,20 @@ def _bounds(rings: Rings) -> tuple[float, float, float, float]:
     return min(xs), min(ys), max(xs), max(ys)
 
 
-def clip(df: DataFrame, rings: Rings, srid: int = 4326, lon: str = "lon", lat: str = "lat") -> DataFrame:
+def clip(df: DataFrame, region: Region, srid: int = 4326, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Rows whose point (a cell's centre, a centroid) is in the region: bounds on plain columns first, then the polygon."""
     if srid != 4326:
         raise ValueError("the region must be in EPSG:4326")
-    x0, y0, x1, y1 = _bounds(rings)
-    return df.filter(F.col(lon).between(x0, x1) & F.col(lat).between(y0, y1)).filter(point_in_polygon(lon, lat, rings_literal(rings)))
+    inside = F.lit(False)
+    for rings in parts_of(region):
+        inside = inside | point_in_polygon(lon, lat, rings_literal(rings))
+    x0, y0, x1, y1 = _bounds([r for part in parts_of(region) for r in part])
+    return df.filter(F.col(lon).between(x0, x1) & F.col(lat).between(y0, y1)).filter(inside)
 
 
-def region_tracks(tracks: DataFrame, rings: Rings, srid: int = 4326) -> DataFrame:
+def region_tracks(tracks: DataFrame, region: Region, srid: int = 4326) -> DataFrame:
     """Start, end and distance of the whole track of every system that is ever in the region."""
-    return start_end(tracks, clip(tracks, rings, srid).select("uid").distinct())
+    return start_end(tracks, clip(tracks, region, srid).select("uid").distinct())
 
 
 def tropics(df: DataFrame, outside: bool = False, lat: str = "lat") -> DataFrame:

@@ -17,11 +17,15 @@ def duration_stats(tracks: DataFrame, threshold: float = 0.1) -> DataFrame:
     Systems are summed first, so one row a uid reaches the second shuffle.
     """
     rows = tracks.filter(F.col("threshold") == F.lit(threshold))
-    each = rows.groupBy("uid").agg(F.max("duration").alias("duration"), F.count("size").alias("n"), F.sum("size").alias("s"), F.sum(F.col("size") * F.col("size")).alias("q"))
-    by = each.groupBy("duration").agg(F.count(F.lit(1)).alias("uid_count"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    each = rows.groupBy("uid").agg(F.max("duration").alias("duration"), F.count("size").alias("n"), F.sum("size").alias("s"), F.var_pop("size").alias("v"))
+    # Squares are summed from the overall mean, so that they don't cancel where sizes are large and alike.
+    each = each.crossJoin(F.broadcast(each.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("k"))))
+    off = F.try_divide("s", "n") - F.col("k")
+    each = each.withColumn("q", F.col("n") * (F.col("v") + off * off)).withColumn("s", F.col("n") * off)
+    by = each.groupBy("duration").agg(F.count(F.lit(1)).alias("uid_count"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.first("k").alias("k"))
     share = F.lit(100.0) * F.col("uid_count") / F.sum("uid_count").over(W.partitionBy())
     deviation = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))))
-    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    mean = F.when(F.col("n") > 0, F.col("k") + F.col("s") / F.col("n"))
     return by.select("duration", "uid_count", F.round(share, 2).alias("percentage"), F.round(mean, 2).alias("mean_size"), F.round(deviation, 2).alias("std_size")).orderBy("duration")
 
 
@@ -87,11 +91,10 @@ def stratified_far(tracks: DataFrame, step_minutes: float = 30) -> DataFrame:
 
 
 def class_durations(tracks: DataFrame, add_minutes: int = 0) -> DataFrame:
-    """Per class: systems in order, and the last known duration of each, hours."""
+    """The last known duration of each system, hours, with its class: a row for each system and class."""
     last = tracks.filter(F.col("duration").isNotNull()).groupBy("uid").agg(F.max_by("duration", "timestamp").alias("last_duration"))
     each = classify(tracks).select("uid", "classification").distinct().join(last, "uid")
-    pairs = F.array_sort(F.collect_list(F.struct("uid", ((F.col("last_duration") + add_minutes) / 60).alias("hours"))))
-    return each.groupBy("classification").agg(pairs.alias("p")).select("classification", F.transform("p", lambda s: s["uid"]).alias("uids"), F.transform("p", lambda s: s["hours"]).alias("hours"))
+    return each.select("classification", "uid", ((F.col("last_duration") + add_minutes) / 60).alias("hours"))
 
 
 def evolution(tracks: DataFrame, delta_hours: float = 0.0, solar_wrap: bool = False, centroid: str | None = None) -> DataFrame:
@@ -120,6 +123,11 @@ def census_compare(a: DataFrame, b: DataFrame, suffixes: tuple[str, str] = ("a",
     return both.withColumn("difference", x - y).withColumn("ratio", F.try_divide(x.cast("double"), y))
 
 
+def difference_stats(compared: DataFrame) -> DataFrame:
+    """One row of two censuses: months, mean and sample deviation of their differences."""
+    return compared.agg(F.count("difference").alias("n_months"), F.avg("difference").alias("mean_difference"), F.stddev_samp("difference").alias("std_difference"))
+
+
 def season_trend(counts: DataFrame, value: str = "count") -> DataFrame:
     """Per season: slope and intercept of the yearly sums against 0, 1, 2, ..."""
     yearly = counts.groupBy("season", "year").agg(F.sum(value).alias("v"))
@@ -160,7 +168,7 @@ def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     q = describe(df, by, value).select(F.col(by).alias("g"), "count", "mean", "p25", "p50", "p75")
     reach = F.lit(1.5) * (F.col("p75") - F.col("p25"))
     low, high = F.col("p25") - reach, F.col("p75") + reach
-    rows = df.select(by, value).join(F.broadcast(q), F.col(by).eqNullSafe(F.col("g")))
+    rows = df.select(by, value).join(q, F.col(by).eqNullSafe(F.col("g")))
     v = F.col(value)
     return rows.groupBy(by, "count", "mean", "p25", "p50", "p75").agg(F.min(F.when(v >= low, v)).alias("whisker_low"), F.max(F.when(v <= high, v)).alias("whisker_high"))
 
@@ -174,6 +182,31 @@ def percent_histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
     return by.withColumn("percent", F.lit(100.0) * F.col("count") / F.sum("count").over(W.partitionBy()))
 
 
+def density(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
+    """Gaussian kernel density (bandwidth by Scott's rule) at the centres of equal bins between the extremes. Equal values
+    are counted first; null without a spread."""
+    span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"), (F.stddev_samp(value) * F.pow(F.count(value).cast("double"), F.lit(-0.2))).alias("h"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(span))
+    each = counts.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins)
+    z = (F.col("centre") - F.col("v")) / F.col("h")
+    part = F.when(F.col("h") > 0, F.col("c") * F.exp(-z * z / 2) / (F.col("h") * F.col("n") * 2.5066282746310002))
+    return each.groupBy("bin", "centre").agg(F.sum(part).alias("density"))
+
+
+def labelled_union(frames: dict[str, DataFrame], label: str) -> DataFrame:
+    """Frames one below the other, by column name, each row with its frame's name."""
+    out = None
+    for name, df in frames.items():
+        df = df.withColumn(label, F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def distinct_list(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Each group's distinct values in order; for groups of a bounded number of them."""
+    return df.groupBy(by).agg(F.sort_array(F.collect_set(value)).alias(value))
+
+
 def start_of_each(tracks: DataFrame) -> DataFrame:
     """First row of each system by time."""
     return tracks.groupBy("uid").agg(F.min_by(F.struct(*[c for c in tracks.columns if c != "uid"]), F.struct("timestamp", "cindex")).alias("r")).select("uid", "r.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -53,9 +54,8 @@ def mann_kendall(y: np.ndarray, eps: float = 0.0) -> tuple[float, float]:
     return s / (n * (n - 1) / 2), p_of(s, var)[1]
 
 
-def _rank_correlations(x: np.ndarray, lags: int) -> np.ndarray:
-    r = pd.Series(x).rank().to_numpy()
-    d = r - r.mean()
+def _correlations(x: np.ndarray, lags: int) -> np.ndarray:
+    d = x - x.mean()
     total = float(d @ d)
     return np.array([float(d[: len(d) - k] @ d[k:]) / total if total else 0.0 for k in range(1, lags + 1)])
 
@@ -96,13 +96,14 @@ def battery(y: np.ndarray, test: str = "original", alpha: float = 0.05, period:
         s, var = s_and_ties(y)
     if test in ("hamed_rao", "yue_wang"):
         lags = min(lag or n - 1, n - 1)
-        rho = _rank_correlations(y - slope * np.arange(n), lags)
+        detrended = y - slope * np.arange(n)
         k = np.arange(1, lags + 1)
-        if test == "hamed_rao":
-            rho = np.where(np.abs(rho) > 1.959963984540054 / math.sqrt(n), rho, 0)
+        if test == "hamed_rao":  # ranks, and of those only correlations that are sure at alpha
+            rho = _correlations(pd.Series(detrended).rank().to_numpy(), lags)
+            rho = np.where(np.abs(rho) > NormalDist().inv_cdf(1 - alpha / 2) / math.sqrt(n), rho, 0)
             var *= 1 + 2 / (n * (n - 1) * (n - 2)) * float(((n - k) * (n - k - 1) * (n - k - 2) * rho).sum())
         else:
-            var *= 1 + 2 * float(((1 - k / n) * rho).sum())
+            var *= 1 + 2 * float(((1 - k / n) * _correlations(detrended, lags)).sum())
     z, p = p_of(s, var)
     h = p < alpha
     return (p, z, s / pairs if pairs else 0.0, s, var, slope, intercept, int(h), int(np.sign(z)) if h else 0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..functions.geo import centroid, envelope, mercator_length_km, wkt_rings
+from ..functions.geo import centroid, envelope, is_valid_polygon, mercator_length_km, wkt_rings
 from ..operators import frames, grid, motion, regions, tracks, trend
 from ..sources import adapters as A
 from ..sources.readers import tracking_view
@@ -16,6 +16,8 @@ from ..streaming.new_systems import new_systems
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Decimal places to which a query's doubles are rounded.
+PLACES: dict[str, int] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 _VIEWS = {
@@ -56,6 +58,7 @@ def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = (), view
     """Register a query; large values need fewer places."""
 
     def add(f: Query) -> Query:
+        PLACES[name] = places
         QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir), places)
         if sql:
             ORACLE_SQL[name] = _tidy_sql(sql, *doubles, views=views, places=places)
@@ -71,17 +74,18 @@ def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = (), view
 SELECT duration, uid_count, round(100.0 * uid_count / total, 2) AS percentage, round(mean_size, 2) AS mean_size, round(std_size, 2) AS std_size
 FROM (SELECT f.duration, count(DISTINCT b.uid) AS uid_count, avg(b.size) AS mean_size, stddev_samp(b.size) AS std_size
       FROM (SELECT * FROM track_obs WHERE threshold = 0.1) b JOIN (SELECT uid, max(duration) AS duration FROM track_obs WHERE threshold = 0.1 GROUP BY uid) f USING (uid) GROUP BY f.duration),
-     (SELECT count(DISTINCT uid) AS total FROM track_obs WHERE threshold = 0.1)""", ("percentage", "mean_size", "std_size"), ("track_obs",))
+     (SELECT count(DISTINCT uid) AS total FROM track_obs WHERE threshold = 0.1)""", ("percentage", "mean_size", "std_size"), ("track_obs",), 2)
 def duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.duration_stats(A.track_obs(spark, sf_dir))
 
 
-_CLASSIFY = """
+_SEA = "(region ILIKE '%ocean%' OR region ILIKE '%sea%' OR region ILIKE '%mediterranean%')"
+# Whatever breaks a class is counted: a system is Continuous if it has one NEW and nothing else but CON.
+_CLASSIFY = f"""
   SELECT uid, threshold, max(duration) AS duration, min(timestamp) AS start_time, max(timestamp) AS end_time,
-    CASE WHEN len(list_filter(array_agg(status), lambda x: x = 'NEW')) = 1 AND len(list_filter(array_agg(status), lambda x: x = 'CON')) = count(status) - 1 THEN 'Continuous' ELSE 'Non-Continuous' END AS classification,
-    CASE WHEN len(list_filter(array_agg(latitude), lambda x: x = 'Tropical')) = count(latitude) THEN 'Tropical' ELSE 'Extratropical' END AS latitude_region,
-    CASE WHEN len(list_filter(array_agg(region), lambda x: x ILIKE '%Ocean%' OR x ILIKE '%Sea%' OR x ILIKE '%Mediterranean%')) = count(region) THEN 'Ocean'
-         WHEN len(list_filter(array_agg(region), lambda x: x ILIKE '%Ocean%' OR x ILIKE '%Sea%' OR x ILIKE '%Mediterranean%')) > 0 THEN 'Transition' ELSE 'Land' END AS surface_type{more}
+    if(count(*) FILTER (status = 'NEW') = 1 AND count(*) FILTER (status NOT IN ('NEW', 'CON')) = 0, 'Continuous', 'Non-Continuous') AS classification,
+    if(bool_or(latitude <> 'Tropical'), 'Extratropical', 'Tropical') AS latitude_region,
+    CASE WHEN NOT coalesce(bool_or(NOT {_SEA}), false) THEN 'Ocean' WHEN bool_or({_SEA}) THEN 'Transition' ELSE 'Land' END AS surface_type{{more}}
   FROM track_obs GROUP BY uid, threshold"""
 
 
@@ -95,14 +99,16 @@ def classify_events_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.classify(A.track_obs(spark, sf_dir), features=True)
 
 
-_LONG = " UNION ALL ".join(f"SELECT rid, method, '{m}' AS comp, {c} AS f FROM b" for m, c in tracks.METHODS.items())
+_NAMES = ", ".join(f"'{m}'" for m in tracks.METHODS)
 
 
 @query("method_duels", f"""
-WITH b AS (SELECT row_number() OVER () AS rid, * FROM track_obs), l AS (SELECT * FROM ({_LONG}) WHERE f IS NOT NULL AND f <> 1),
-m AS (SELECT *, min(f) OVER (PARTITION BY rid) AS least FROM l), w AS (SELECT rid, method, comp, least FROM m WHERE f = least)
-SELECT w.comp AS method, c.comp AS opponent_method, count(*) AS n_duels, avg(w.least) AS mean_far_winner, avg(c.f) AS mean_far_opponent, avg(c.f - w.least) AS mean_far_gap
-FROM w JOIN l c ON c.rid = w.rid AND c.comp <> w.comp WHERE w.method = w.comp GROUP BY 1, 2""", ("mean_far_winner", "mean_far_opponent", "mean_far_gap"), ("track_obs",))
+SELECT method, opponent AS opponent_method, count(*) AS n_duels, avg(own) AS mean_far_winner, avg(theirs) AS mean_far_opponent, avg(theirs - own) AS mean_far_gap
+FROM (
+  SELECT method, own, unnest([{_NAMES}]) AS opponent, unnest(fars) AS theirs
+  FROM (SELECT method, fars, fars[list_position([{_NAMES}], method)] AS own FROM (SELECT method, list_transform([{", ".join(tracks.METHODS.values())}], lambda f: nullif(f, 1)) AS fars FROM track_obs))
+  WHERE own = list_min(fars))
+WHERE opponent <> method AND theirs IS NOT NULL GROUP BY ALL""", ("mean_far_winner", "mean_far_opponent", "mean_far_gap"), ("track_obs",))
 def method_duels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.method_duels(A.track_obs(spark, sf_dir))
 
@@ -125,11 +131,9 @@ def stratified_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("class_durations", f"""
 WITH c AS ({_CLASSIFY.replace('{more}', '')}), d AS (SELECT uid, arg_max(duration, timestamp) AS last_duration FROM track_obs WHERE duration IS NOT NULL GROUP BY uid)
-SELECT classification, array_to_string(list(uid ORDER BY uid), ',') AS uids, sum(last_duration / 60) AS hours, count(*) AS n
-FROM (SELECT DISTINCT uid, classification FROM c) JOIN d USING (uid) GROUP BY classification""", ("hours",), ("track_obs",))
+SELECT classification, uid, (last_duration + 30) / 60 AS hours FROM (SELECT DISTINCT uid, classification FROM c) JOIN d USING (uid)""", ("hours",), ("track_obs",))
 def class_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tracks.class_durations(A.track_obs(spark, sf_dir))
-    return d.select("classification", F.array_join("uids", ",").alias("uids"), F.aggregate("hours", F.lit(0.0), lambda a, x: a + x).alias("hours"), F.size("uids").cast("long").alias("n"))
+    return tracks.class_durations(A.track_obs(spark, sf_dir), add_minutes=30)
 
 
 @query("evolution_lifetime", """
@@ -443,7 +447,15 @@ SELECT lat, lon, round(r.s, 6) + 0.0 AS value_raw, round(m.v, 6) + 0.0 AS value_
 FROM s JOIN ila USING (i) JOIN ilo USING (j) JOIN m USING (lat, lon) JOIN (SELECT lat, lon, sum(clu_values) AS s FROM grid_month GROUP BY 1, 2) r USING (lat, lon), q"""
 
 
-@query("areas_above")
+_Y = "ln(tan(pi() / 4 + radians({v}) / 2) * pow((1 - 0.0818191908426215 * sin(radians({v}))) / (1 + 0.0818191908426215 * sin(radians({v}))), 0.0818191908426215 / 2))"
+
+
+@query("areas_above", f"""
+WITH RECURSIVE m AS (SELECT lat, lon, sum(clu_values) AS v FROM grid_month GROUP BY 1, 2), x AS (SELECT *, dense_rank() OVER (ORDER BY lat) AS i, dense_rank() OVER (ORDER BY lon) AS j FROM m),
+k AS (SELECT *, 6378.137 * 6378.137 * radians(10) * ({_Y.replace('{v}', '(lat + 5)')} - {_Y.replace('{v}', '(lat - 5)')}) AS a FROM x WHERE v >= (SELECT quantile_cont(v, 0.75) FROM m)),
+r AS (SELECT i, j, i AS ri, j AS rj FROM k UNION SELECT k.i, k.j, r.ri, r.rj FROM r JOIN k ON abs(k.i - r.i) + abs(k.j - r.j) = 1),
+l AS (SELECT i, j, min((ri, rj)) AS top FROM r GROUP BY 1, 2)
+SELECT top[1] || ':' || top[2] AS label, count(*) AS cells, sum(a) AS area_km2 FROM l JOIN k USING (i, j) GROUP BY top HAVING sum(a) >= 100000""", ("area_km2",), ("grid_month",), 2)
 def areas_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.areas_above(grid.total_over_time(A.grid_month(spark, sf_dir), "clu_values"), "clu_values", quantile=0.75)
 
@@ -451,27 +463,51 @@ def areas_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Trends
 
 
-@query("mk_tau_sen", """
-WITH p AS (SELECT lat, lon, (year(time) * 12 + month(time)) AS t, clu_values AS y FROM grid_month), d AS (SELECT a.lat, a.lon, sign(b.y - a.y) AS s, (b.y - a.y) / (b.t - a.t) AS slope FROM p a JOIN p b ON a.lat = b.lat AND a.lon = b.lon AND b.t > a.t)
-SELECT lat, lon, sum(s) / count(*) AS tau, median(slope) AS slope FROM d GROUP BY 1, 2""", ("tau", "slope"), ("grid_month",))
+# The normal distribution's two-sided tail by the series of the error function, whose terms are all positive.
+_TAIL = "CASE WHEN {z} = 0 THEN 1 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(range(200), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2)) + n * ln(4) + lgamma(n + 1) - lgamma(2 * n + 2))))) END"
+_MK = f"""
+p AS (SELECT lat, lon, (year(time) * 12 + month(time)) AS t, clu_values AS y FROM grid_month),
+d AS (SELECT lat, lon, cast(sum(sign(b.y - a.y)) AS double) AS s, count(*) AS pairs, median((b.y - a.y) / (b.t - a.t)) AS slope FROM p a JOIN p b USING (lat, lon) WHERE b.t > a.t GROUP BY 1, 2),
+e AS (SELECT lat, lon, sum(c) AS n, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT lat, lon, y, cast(count(*) AS double) AS c FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2),
+z AS (SELECT *, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var_s, CASE WHEN var_s > 0 THEN (s - sign(s)) / sqrt(var_s) ELSE 0 END AS z FROM d JOIN e USING (lat, lon)),
+q AS (SELECT *, {_TAIL.replace('{z}', 'z')} AS p FROM z)
+"""
+
+
+@query("mk_tau_sen", "SELECT lat, lon, s / pairs AS tau, slope, p, CASE WHEN p < 0.05 THEN slope END AS trend, CASE WHEN p < 0.05 THEN p END AS p_value FROM q", ("tau", "slope", "p", "trend", "p_value"))
 def mk_tau_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.trend_field(A.grid_month(spark, sf_dir), "clu_values").select("lat", "lon", "tau", "slope")
+    return trend.trend_field(A.grid_month(spark, sf_dir), "clu_values").select("lat", "lon", "tau", "slope", "p", "trend", "p_value")
+
+
+ORACLE_SQL["mk_tau_sen"] = _with("grid_month").rstrip() + "," + _MK + ORACLE_SQL["mk_tau_sen"]
 
 
 @query("trend_tests")
 def trend_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.test_field(A.grid_month(spark, sf_dir), "clu_values", "hamed_rao")
+    # Results are floats; s, its variance and z are compared to as many places as those hold.
+    t = trend.test_field(A.grid_month(spark, sf_dir), "clu_values")
+    return t.select("lat", "lon", *[F.round(F.col(c).cast("double"), n).alias(c) for c, n in (("s", 0), ("tau", 4), ("z", 3), ("p", 4))], F.col("trend_code").cast("int").alias("trend_code"))
+
+
+ORACLE_SQL["trend_tests"] = _with("grid_month").rstrip() + "," + _MK + "SELECT lat, lon, round(s, 0) + 0.0 AS s, round(s / pairs, 4) + 0.0 AS tau, round(z, 3) + 0.0 AS z, round(p, 4) + 0.0 AS p, CASE WHEN p < 0.05 THEN cast(sign(z) AS int) ELSE 0 END AS trend_code FROM q"
 
 
-@query("series_trend")
+@query("series_trend", _MONTHLY.replace("WHERE km <= 15000 ", "") + """, y AS (SELECT (year(month) - y0) * 12 + month(month) - m0 AS t, mean AS y FROM f, (SELECT year(min(month)) AS y0, month(min(month)) AS m0 FROM f) WHERE mean IS NOT NULL),
+s AS (SELECT median((b.y - a.y) / (b.t - a.t)) AS slope, cast(sum(sign(b.y - a.y)) AS double) AS s FROM y a JOIN y b ON b.t > a.t), c AS (SELECT median(t) AS mt, median(y) AS my, cast(count(*) AS double) AS n FROM y),
+k AS (SELECT *, (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18) AS z FROM s, c)
+SELECT slope * 120 AS slope_decade, my - slope * mt AS intercept, """ + _TAIL.replace("{z}", "z") + " AS p FROM k", ("slope_decade", "intercept", "p"), ("track_ship", "ends"), 4)
 def series_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = motion.monthly_distance(motion.start_end(A.track_ship(spark, sf_dir)))
     return trend.series_trend(m)
 
 
-@query("samples_per_year", "SELECT cast(12 AS double) AS samples_per_year", ("samples_per_year",))
+@query("samples_per_year", """
+WITH t AS (SELECT DISTINCT epoch(date_trunc('day', timestamp)) / 86400 AS d FROM track_obs), g AS (SELECT d, d - lag(d) OVER (ORDER BY d) AS gap FROM t), s AS (SELECT count(*) AS n, median(gap) AS gap, max(d) - min(d) AS span FROM g)
+SELECT CASE WHEN n < 2 THEN 1 WHEN gap BETWEEN 25 AND 35 THEN 12 ELSE (n - 1) / (span / 365.25) END AS samples_per_year FROM s""", ("samples_per_year",), ("track_obs",))
 def samples_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.samples_per_year(A.grid_month(spark, sf_dir))
+    return trend.samples_per_year(A.track_obs(spark, sf_dir).select(F.date_trunc("day", "timestamp").alias("time")))
+
+
 
 
 # Frames
@@ -516,6 +552,152 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", lon.alias("lon"), X.wrap_longitude(lon).alias("wrapped"), F.when(F.col("value") >= 0.1, F.col("value")).alias("rain"), X.clamp_unit("value", 10.0, 50.0).alias("unit"), X.frame_key("ts").alias("frame"), X.frame_label("ts").alias("label"))
 
 
+@query("labels_and_times", """
+SELECT event_id, CASE WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fk', v / 1e3) ELSE printf('%.0f', v) END AS human, date_trunc('minute', ts) AS named, date_trunc('minute', ts) AS sliced, date_trunc('minute', ts) AS dotted, sqrt(x * x + y * y) < 20 AS calm, least(sqrt(x * x + y * y), 20) AS speed, x / nullif(sqrt(x * x + y * y), 0) AS ux, y / nullif(sqrt(x * x + y * y), 0) AS uy,
+  -10 - 55 / 111.0 AS south, 40 + 44 / (111.0 * cos(radians(-10))) AS east, value IS NOT NULL AS finite, CASE WHEN m <= 1 THEN 1 WHEN m <= 2 THEN 2 WHEN m <= 2.5 THEN 2.5 WHEN m <= 5 THEN 5 ELSE 10 END * pow(10, e) AS scale
+FROM (SELECT *, event_id * 137 + 0.25 AS v, event_id % 50 - 25 AS x, event_id % 31 - 15 AS y, floor(log10(event_id * 137 + 0.25)) AS e, (event_id * 137 + 0.25) / pow(10, floor(log10(event_id * 137 + 0.25))) AS m FROM events)""", ("speed", "ux", "uy", "south", "east", "scale"))
+def labels_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    v = F.col("event_id") * 137 + F.lit(0.25)
+    d = X.speed_and_direction((F.col("event_id") % 50 - 25).cast("double"), (F.col("event_id") % 31 - 15).cast("double"), 20.0)
+    box = X.point_rectangle(F.lit(-10.0), F.lit(40.0), 44.0, 55.0)
+    name = lambda pattern: F.concat(F.lit("/frames/x/"), F.date_format("ts", pattern))
+    times = [X.file_time(name("yyyyMMdd_HHmm'.png'")).alias("named"), X.file_time_at(name("'f-'yyyyMMddHHmm'.nc'"), 2, 14, "yyyyMMddHHmm").alias("sliced"), X.file_time_parts(name("'f.'yyyyMMdd'.'HHmm'.nc'"), (1, 2), "yyyyMMddHHmm").alias("dotted")]
+    # Bounds of a calm are no round numbers, so engines agree.
+    return e.select("event_id", X.human_number(v).alias("human"), *times, (d["speed"] < 20).alias("calm"), d["speed"].alias("speed"), d["ux"].alias("ux"), d["uy"].alias("uy"), box["south"].alias("south"), box["east"].alias("east"), X.finite("value").alias("finite"), X.round_up_nicely(v).alias("scale"))
+
+
+@query("trajectories", """
+SELECT uid, lon1, lat1, lon2, lat2, 'POINT (' || cast(lon1 AS double) || ' ' || cast(lat1 AS double) || ')' AS start_geometry,
+  6378.137 * (sqrt(pow(radians(lon2 - lon1), 2) + pow(ln(tan(pi() / 4 + radians(lat2) / 2)) - ln(tan(pi() / 4 + radians(lat1) / 2)), 2))) AS trajectory_length_km, true AS valid FROM ends""", ("lon1", "lat1", "lon2", "lat2", "trajectory_length_km"), ("track_obs", "ends"))
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The last row's trajectory goes from the first position to the last.
+    t = A.track_obs(spark, sf_dir)
+    ends = motion.start_end(t).select("uid", "lon1", "lat1", "lon2", "lat2")
+    line = F.concat(F.lit("LINESTRING ("), F.concat_ws(" ", "lon1", "lat1"), F.lit(", "), F.concat_ws(" ", "lon2", "lat2"), F.lit(")"))
+    out = motion.start_end(t.join(ends.select("uid", line.alias("trajectory")), "uid"))
+    ring = A.with_rectangles(out.select("uid", F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))).select("uid", is_valid_polygon(wkt_rings("geometry")).alias("valid"))
+    return out.join(ring, "uid").select("uid", "lon1", "lat1", "lon2", "lat2", "start_geometry", "trajectory_length_km", "valid")
+
+
+@query("quadrant_arrows", f"""
+WITH q AS (SELECT {_QUAD.replace('{x}', 'lon1').replace('{y}', 'lat1')} AS qs, {_QUAD.replace('{x}', 'lon2').replace('{y}', 'lat2')} AS qe FROM ends),
+od AS (SELECT qs, qe, count(*) AS n FROM q WHERE qs IS NOT NULL AND qe IS NOT NULL GROUP BY 1, 2), g AS (SELECT cast(range AS int) AS quad_id, -175 + (range % 36) * 10 AS x, 55 - (range // 36) * 10 AS y FROM range(432)),
+c AS (SELECT quad_id, x, y, (SELECT coalesce(sum(n), 0) FROM od WHERE qs = quad_id) AS s, (SELECT coalesce(sum(n), 0) FROM od WHERE qe = quad_id) AS e, (SELECT arg_max(qe, (n, -qe)) FROM od WHERE qs = quad_id) AS d FROM g),
+v AS (SELECT c.quad_id, s, e, ((h.x - c.x + 540) % 360 - 180) * cos(radians(c.y)) AS dx, h.y - c.y AS dy FROM c LEFT JOIN g h ON h.quad_id = d)
+SELECT quad_id, dx / nullif(sqrt(dx * dx + dy * dy), 0) AS ux, dy / nullif(sqrt(dx * dx + dy * dy), 0) AS uy, CASE WHEN s > e THEN 'start' WHEN e > s THEN 'end' ELSE 'tie' END AS balance FROM v""", ("ux", "uy"), ("track_ship", "ends"))
+def quadrant_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.quadrant_arrows(motion.quadrant_summary(motion.start_end(A.track_ship(spark, sf_dir)))).select("quad_id", "ux", "uy", "balance")
+
+
+@query("sized_dominance", """
+WITH g AS (SELECT quantile_cont(km, 0.25) / 111.0 AS st FROM ends), p AS (SELECT lon1 AS x, lat1 AS y, 1 AS s, 0 AS e FROM ends UNION ALL SELECT lon2, lat2, 0, 1 FROM ends),
+c AS (SELECT floor((x + 180) / st) AS i, floor((y + 60) / st) AS j, cast(sum(s) AS bigint) AS starts, cast(sum(e) AS bigint) AS ends FROM p, g GROUP BY 1, 2)
+SELECT cast(i AS bigint) AS i, cast(j AS bigint) AS j, starts, ends, (starts - ends) / (starts + ends + 1.0) AS dominance FROM c""", ("dominance",), ("track_ship", "ends"))
+def sized_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = motion.start_end(A.track_ship(spark, sf_dir))
+    step = motion.grid_step(ends)
+    at = lambda c, low: F.round((F.col(c) - low) / F.col("step") - 0.5).cast("long")
+    return motion.sized_dominance(ends, kind="asymmetry").crossJoin(step).select(at("cx", -180.0).alias("i"), at("cy", -60.0).alias("j"), "starts", "ends", "dominance")
+
+
+@query("summaries", """
+WITH p AS (SELECT lon1 AS x, lat1 AS y, 1 AS s, 0 AS e FROM ends UNION ALL SELECT lon2, lat2, 0, 1 FROM ends), c AS (SELECT floor((x + 180) / 10) AS i, floor((y + 60) / 10) AS j, log10((sum(s) + 1.0) / (sum(e) + 1.0)) AS d FROM p GROUP BY 1, 2), q AS (SELECT quantile_cont(abs(d), 0.98) AS v FROM c),
+m AS (SELECT lat, lon, sum(clu_values) AS v FROM grid_month GROUP BY 1, 2)
+SELECT (SELECT CASE WHEN v / pow(10, floor(log10(v))) <= 1 THEN 1 WHEN v / pow(10, floor(log10(v))) <= 2 THEN 2 WHEN v / pow(10, floor(log10(v))) <= 2.5 THEN 2.5 WHEN v / pow(10, floor(log10(v))) <= 5 THEN 5 ELSE 10 END * pow(10, floor(log10(v))) FROM q) AS scale,
+  (SELECT pow(10, floor(log10(min(v)))) FROM m) AS low, (SELECT pow(10, ceil(log10(max(v)))) FROM m) AS high, (SELECT quantile_cont(v, 0.05) FROM m) AS p05, (SELECT quantile_cont(v, 0.95) FROM m) AS p95,
+  (SELECT min(lon) - 0.2 FROM track_ship) AS xmin, (SELECT max(lat) + 0.1 FROM track_ship) AS ymax, (SELECT count(*) FROM track_ship WHERE timestamp BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31') AS n_range""", ("scale", "low", "high", "p05", "p95", "xmin", "ymax"), ("grid_month", "track_ship", "ends"))
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.track_ship(spark, sf_dir)
+    m = grid.total_over_time(A.grid_month(spark, sf_dir), "clu_values")
+    scale = motion.robust_scale(motion.dominance(motion.start_end(t)))
+    bounds = frames.total_bounds(A.with_rectangles(t), envelope(wkt_rings("geometry"))).select("xmin", "ymax")
+    n = frames.index_range(t, "1995-01-01", "1995-12-31").agg(F.count(F.lit(1)).alias("n_range"))
+    return scale.crossJoin(grid.log_limits(m, "clu_values")).crossJoin(grid.value_range(m, "clu_values").toDF("p05", "p95")).crossJoin(bounds).crossJoin(n)
+
+
+@query("maps_compared", """
+WITH s AS (SELECT lat, lon, sum(clu_values) FILTER (month(time) <= 6) AS a, sum(clu_values) FILTER (month(time) > 6) AS b FROM grid_month GROUP BY 1, 2), l AS (SELECT lat FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY lat)
+SELECT lat, lon, a - b AS difference, a / nullif(b, 0) AS ratio FROM s JOIN l USING (lat) WHERE a IS NOT NULL AND b IS NOT NULL AND (lat + 55) % 20 = 0 AND (lon + 175) % 20 = 0""", ("difference", "ratio"), ("grid_month",))
+def maps_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.grid_month(spark, sf_dir)
+    a, b = (grid.total_over_time(g.filter(c), "clu_values") for c in (F.month("time") <= 6, F.month("time") > 6))
+    both = grid.map_arithmetic(a, b, "clu_values").join(grid.common_latitudes(a, b), "lat", "left_semi")
+    return both.filter(((F.col("lat") + 55) % 20 == 0) & ((F.col("lon") + 175) % 20 == 0))
+
+
+@query("strided", "SELECT lat, lon, v FROM (SELECT lat, lon, sum(clu_values) AS v, dense_rank() OVER (ORDER BY lat) - 1 AS i, dense_rank() OVER (ORDER BY lon) - 1 AS j FROM grid_month GROUP BY 1, 2) WHERE i % 3 = 0 AND j % 3 = 0", ("v",), ("grid_month",))
+def strided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.stride(grid.total_over_time(A.grid_month(spark, sf_dir), "clu_values"), 3).withColumnRenamed("clu_values", "v")
+
+
+@query("resample_others", "SELECT lat, lon, date_trunc('quarter', time) AS time, max(clu_values) AS most, min(clu_values) AS least, median(clu_values) AS middle, sum(fam_density) * 6371000.0 * 6371000.0 * radians(10) * radians(10) * cos(radians(lat)) AS area_m2 FROM grid_month GROUP BY 1, 2, 3", ("most", "least", "middle", "area_m2"), ("grid_month",), 1)
+def resample_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.grid_month(spark, sf_dir).withColumn("time", F.date_trunc("quarter", "time"))
+    out = None
+    for stat, name in (("max", "most"), ("min", "least"), ("median", "middle")):
+        r = grid.resample_monthly(g, "clu_values", stat).withColumnRenamed("clu_values", name)
+        out = r if out is None else out.join(r, ["lat", "lon", "time"])
+    n = grid.resample_monthly(g, "fam_density", "sum")
+    cells = g.select("lat", "lon").distinct()
+    unit = grid.pixel_area(cells.withColumn("one", F.lit(1.0)), "one", "m2")
+    return out.join(n, ["lat", "lon", "time"]).join(unit, ["lat", "lon"]).select("lat", "lon", "time", "most", "least", "middle", (F.col("fam_density") * F.col("area")).alias("area_m2"))
+
+
+@query("density", """
+WITH s AS (SELECT min(size) AS lo, max(size) AS hi, count(*) AS n, stddev_samp(size) * pow(count(*), -0.2) AS h FROM track_ship), b AS (SELECT cast(range AS int) AS bin, lo + (range + 0.5) * (hi - lo) / 20 AS centre, n, h FROM range(20), s)
+SELECT bin, centre, sum(exp(-0.5 * pow((centre - size) / h, 2)) / (h * sqrt(2 * pi()))) / any_value(n) AS density FROM b, track_ship GROUP BY 1, 2""", ("centre", "density"), ("track_ship",))
+def density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.density(A.track_ship(spark, sf_dir), "size", 20)
+
+
+@query("unions", f"""
+WITH a AS ({_CENSUS.replace('{where}', '')}), b AS ({_CENSUS.replace('{where}', ' WHERE size > 10')}), d AS (SELECT a.count - b.count AS x FROM a JOIN b USING (year, month, season))
+SELECT kind, year, cast(sum(count) AS bigint) AS n, (SELECT avg(x) FROM d) AS mean_difference, (SELECT stddev_samp(x) FROM d) AS std_difference
+FROM (SELECT 'all' AS kind, * FROM a UNION ALL SELECT 'large' AS kind, * FROM b) GROUP BY 1, 2""", ("mean_difference", "std_difference"), ("track_ship",))
+def unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.track_ship(spark, sf_dir)
+    a, b = tracks.census(t), tracks.census(t.filter("size > 10"))
+    d = tracks.difference_stats(tracks.census_compare(a, b)).drop("n_months")
+    return tracks.labelled_union({"all": a, "large": b}, "kind").groupBy("kind", "year").agg(F.sum("count").alias("n")).crossJoin(d)
+
+
+@query("steps_of_all", """
+WITH s AS (SELECT DISTINCT timestamp FROM track_obs WHERE status = 'NEW' UNION SELECT DISTINCT timestamp FROM track_obs WHERE size > 50)
+SELECT s.timestamp, count(DISTINCT uid) AS n FROM s LEFT JOIN (SELECT * FROM track_obs WHERE status = 'NEW') t ON t.timestamp = s.timestamp GROUP BY 1""", (), ("track_obs",))
+def steps_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.track_obs(spark, sf_dir)
+    new = t.filter("status = 'NEW'")
+    return frames.on_steps(frames.cumulative_counts(new).drop("cumulative"), frames.all_steps(new, t.filter("size > 50")))
+
+
+@query("methods_of_each", "SELECT uid, array_to_string(list_sort(list(DISTINCT method)), ',') AS methods FROM track_obs GROUP BY uid", (), ("track_obs",))
+def methods_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.distinct_list(A.track_obs(spark, sf_dir), "uid", "method").select("uid", F.array_join("method", ",").alias("methods"))
+
+
+@query("hovmoller_table", """
+WITH e AS (SELECT uid, min(timestamp) AS t, floor((arg_min(lat, cindex) + arg_max(lat, cindex)) / 2) AS lat_bin FROM track_ship GROUP BY uid)
+SELECT lat_bin, """ + ", ".join(f'count(*) FILTER (month(t) = {m}) AS "{m}"' for m in range(1, 13)) + " FROM e WHERE lat_bin BETWEEN -60 AND 60 GROUP BY 1", ("lat_bin",), ("track_ship",))
+def hovmoller_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.hovmoller_table(A.track_ship(spark, sf_dir))
+
+
+@query("extreme_months", _MONTHLY + """, c AS (SELECT *, mean - avg(mean) OVER (PARTITION BY month(month)) AS anom FROM f) SELECT arg_max(month, anom) AS warmest, arg_min(month, anom) AS coldest FROM c""", (), ("track_ship", "ends"))
+def extreme_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = motion.monthly_distance(motion.start_end(A.track_ship(spark, sf_dir)), filter_max_km=15000)
+    return motion.extreme_months(motion.with_anomalies(m))
+
+
+#: Two parts that overlap: points in both are inside.
+PARTS = [[[(-60.0, -40.0), (20.0, -40.0), (20.0, 10.0), (-60.0, 10.0), (-60.0, -40.0)]], [[(0.0, -10.0), (70.0, -10.0), (70.0, 40.0), (0.0, 40.0), (0.0, -10.0)]]]
+
+
+@query("region_parts", "SELECT uid, cindex, lon, lat FROM track_ship WHERE lon BETWEEN -60 AND 20 AND lat BETWEEN -40 AND 10 OR lon BETWEEN 0 AND 70 AND lat BETWEEN -10 AND 40", ("lon", "lat"), ("track_ship",))
+def region_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.clip(A.track_ship(spark, sf_dir), PARTS).select("uid", "cindex", "lon", "lat")
+
+
 @query("new_systems_windows", """
 SELECT time_bucket(INTERVAL 30 MINUTE, t) AS start, time_bucket(INTERVAL 30 MINUTE, t) + INTERVAL 30 MINUTE AS "end", count(*) AS n_new
 FROM (SELECT uid, min(timestamp) AS t FROM track_obs WHERE status = 'NEW' GROUP BY uid) GROUP BY ALL""", (), ("track_obs",))
@@ -524,7 +706,7 @@ def new_systems_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n_new")
 
 
-def flagship(spark: SparkSession) -> DataFrame:
-    return QUERIES["duration_stats"](spark, "/root/testdata/sf0.001")
+def flagship(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
+    return QUERIES["duration_stats"](spark, sf_dir)
 
 

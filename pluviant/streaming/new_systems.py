@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def new_systems(observations: DataFrame, window: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Systems by the window of their first NEW observation; each counts once while it is within the watermark.
+    """Systems by the window of their first NEW observation to arrive (on tables: the earliest); each counts once while it
+    is within the watermark.
 
     Works on streams (readStream) and tables alike; `lateness` bounds the state.
     """

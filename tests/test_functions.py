@@ -77,10 +77,10 @@ def test_geometry(spark):
 def test_wkb():
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
     polygon = struct.pack("<BIII8d", 1, 3, 1, 4, *[v for p in ring for v in p])
-    assert G.wkb_rings(polygon) == [ring]
-    assert G.wkb_rings(struct.pack("<BII", 1, 6, 2) + polygon * 2) == [ring, ring]
+    assert G.wkb_parts(polygon) == [[ring]]
+    assert G.wkb_parts(struct.pack("<BII", 1, 6, 2) + polygon * 2) == [[ring], [ring]]
     with pytest.raises(ValueError):
-        G.wkb_rings(struct.pack("<BII", 1, 1, 0))
+        G.wkb_parts(struct.pack("<BII", 1, 1, 0))
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
