@@ -77,14 +77,19 @@ ORACLE_SQL: dict[str, str] = {
     "op5_lm_score": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
-), t AS (SELECT doc_id, k, ws[k] AS w, ws[k - 1] AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d)
-), one AS (SELECT w, count(*) AS c FROM t GROUP BY w
-), two AS (SELECT v, w, count(*) AS c FROM t WHERE k > 1 GROUP BY v, w
+), t AS (SELECT doc_id, k, ws[k] AS w, ws[k - 1] AS v, ws[k - 2] AS u FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d)
+), c AS (
+  SELECT doc_id, k, count(*) OVER (PARTITION BY w) AS c1, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS a1,
+         CASE WHEN k > 1 THEN count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) ELSE 0 END AS a2,
+         CASE WHEN k > 2 THEN count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) ELSE 0 END AS a3
+  FROM t
+), b AS (SELECT *, lag(a1) OVER (PARTITION BY doc_id ORDER BY k) AS b1, lag(a2) OVER (PARTITION BY doc_id ORDER BY k) AS b2 FROM c
 ), n AS (SELECT count(*) AS total FROM t
 ), s AS (
-  SELECT t.doc_id, t.k > 1 AND two.c < 2 AS backoff,
-         CASE WHEN t.k > 1 AND two.c >= 2 THEN ln(two.c) - ln(b.c) ELSE ln(a.c) - ln(n.total) + CASE WHEN t.k > 1 THEN ln(0.4) ELSE 0 END END AS p
-  FROM t CROSS JOIN n JOIN one a ON a.w = t.w LEFT JOIN one b ON b.w = t.v AND t.k > 1 LEFT JOIN two ON two.v = t.v AND two.w = t.w AND t.k > 1
+  SELECT doc_id, k > 1 AND a2 = 0 OR k > 2 AND a3 = 0 AS backoff,
+         CASE WHEN a3 > 0 THEN ln(a3) - ln(b2) WHEN a2 > 0 THEN ln(a2) - ln(b1) + CASE WHEN k > 2 THEN ln(0.4) ELSE 0 END
+              ELSE ln(c1) - ln(total) + least(k - 1, 2) * ln(0.4) END AS p
+  FROM b CROSS JOIN n
 ), g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE backoff) AS n_backoff, sum(p) AS log_prob FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(log_prob, 0), 4) AS log_prob,
        round(log_prob / n_tokens, 6) AS mean_log_prob

@@ -631,26 +631,38 @@ def test_licenses_of_wrapped_texts(spark):
     assert got == {f"{name} {k}": (name, n, 0) for name, (_, n) in want.items() for k in range(len(marks))} | {f"odd {k}": ("", 0, 0) for k in range(3)}
 
 
-def lm_by_hand(corpus, order, least):
+def lm_by_hand(corpus, order, least, own):
     texts = [WORD.findall(lower(t)) for _, t, *_ in corpus]
-    c = Counter(tuple(w[k : k + n]) for w in texts for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    count = lambda w: Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    every = sum(map(count, texts), Counter())
     total, out = max(1, sum(map(len, texts))), []
     for (i, *_), w in zip(corpus, texts, strict=True):
+        mine = Counter() if own else count(w)
         p, back = 0.0, 0
         for k in range(len(w)):
             could = min(k + 1, order)
-            n = next((n for n in range(could, 1, -1) if c[tuple(w[k - n + 1 : k + 1])] >= least), 1)
-            gram = tuple(w[k - n + 1 : k + 1])
-            p += np.log(c[gram] / (c[gram[:-1]] if n > 1 else total)) + np.log(0.4) * (could - n)
+            grams = {n: tuple(w[k - n + 1 : k + 1]) for n in range(1, could + 1)}
+            n = next((n for n in range(could, 1, -1) if every[grams[n]] - mine[grams[n]] >= least), 1)
+            before = grams[n][:-1]
+            share = (every[grams[n]] - mine[grams[n]]) / (every[before] - mine[before]) if n > 1 else every[grams[1]] / total
+            p += np.log(share) + np.log(0.4) * (could - n)
             back += n < could
         out.append((str(i), len(w), back, round(p, 5)))
     return sorted(out)
 
 
-@pytest.mark.parametrize(("order", "least", "buckets"), [(2, 2, 3), (3, 1, None), (1, 2, 2)])
-def test_lm_scores(docs, clashing, corpus, none, order, least, buckets):
-    got = sorted((str(r.doc_id), r.n_tokens, r.n_backoff, round(r.log_prob, 5)) for r in LM.lm_scores(clashing if order == 1 else docs, order=order, least=least, buckets=buckets).collect())
-    want = lm_by_hand(corpus, order, least)
+@pytest.mark.parametrize(("order", "least", "own", "buckets"), [(2, 2, True, 3), (3, 1, False, None), (3, 2, True, 2), (5, 1, False, 3), (4, 1, True, 1), (1, 2, False, 2)])
+def test_lm_scores(docs, clashing, corpus, none, order, least, own, buckets):
+    source = clashing if order == 1 else docs
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_backoff, round(r.log_prob, 5)) for r in LM.lm_scores(source, order=order, least=least, own=own, buckets=buckets).collect())
+    want = lm_by_hand(corpus, order, least, own)
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-4)
     assert LM.lm_scores(none).count() == 0
+
+
+def test_lm_scores_of_equal_rows(spark):
+    rows = [(None, "one row again and again")] * 300 + [(1, "a row of its own"), (2, "again and again and again")]
+    source = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_backoff, round(r.log_prob, 4)) for r in LM.lm_scores(source, buckets=4).collect())
+    assert got == [(i, n, back, round(p, 4)) for i, n, back, p in lm_by_hand([(i, t) for i, t in rows], 3, 1, False)]
