@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from .scalar import MERCATOR_M, col
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+_PAIR = (lambda n: f" *+{n} ++{n} *+")(r"[-+]?+(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][-+]?+\d++)?+")
+#: One ring, line or point with two plain numbers a point. No part is tried twice, so long texts take no deep stack.
+PLAIN = rf"^ *+[A-Za-z]++ *+\(++{_PAIR}(?:,{_PAIR})*+\)++ *+$"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -36,6 +39,11 @@ def wkt_rings(wkt: Column | str) -> Column:
     return let(rings, lambda g: F.when((F.size(g) > 0) & ~F.exists(g, bad), g))
 
 
+def readable(wkt: Column | str) -> Column:
+    """Whether `wkt_rings` gives rings with a centroid. Only texts that don't look plain are parsed for it."""
+    return F.coalesce(F.when(col(wkt).rlike(PLAIN), True).otherwise(centroid(wkt_rings(wkt))["x"].isNotNull()), F.lit(False))
+
+
 def is_valid_polygon(rings: Column) -> Column:
     """Every ring has four points at least and ends where it began; null geometry is not valid."""
     ok = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1))

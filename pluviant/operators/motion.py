@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import centroid, mercator_length_km, point_wkt, wkt_rings
+from ..functions.geo import centroid, mercator_length_km, point_wkt, readable, wkt_rings
 from ..functions.scalar import bearing, cell_centre, haversine, month_start, quadrant_id, round_up_nicely, sector, wrap_longitude
 
 
@@ -21,13 +21,21 @@ def only(tracks: DataFrame, uids: DataFrame | None) -> DataFrame:
     return tracks if uids is None else tracks.join(uids.select("uid"), "uid", "left_semi")
 
 
-def start_end(tracks: DataFrame, uids: DataFrame | None = None) -> DataFrame:
+def start_end(tracks: DataFrame, uids: DataFrame | None = None, geometry: str | None = None) -> DataFrame:
     """Per system the rows with the least and the greatest cindex: indices, times, positions, distance, and the length of
-    the last row's trajectory where there is one. One aggregate, one shuffle."""
+    the last row's trajectory where there is one. One aggregate, one shuffle. With `geometry` the positions are centroids
+    of that column's WKT, which is parsed of these two rows; rows whose geometry can't be read don't count."""
     rows = only(tracks, uids)
+    if geometry is not None:
+        rows = rows.filter(readable(geometry))
     path = F.col("trajectory") if "trajectory" in tracks.columns else F.lit(None).cast("string")
-    point = F.struct("cindex", "timestamp", "lon", "lat", path.alias("trajectory"))
+    place = [F.col("lon"), F.col("lat")] if geometry is None else [F.col(geometry).alias("wkt")]
+    point = F.struct("cindex", "timestamp", *place, path.alias("trajectory"))
     ends = rows.groupBy("uid").agg(F.min_by(point, "cindex").alias("a"), F.max_by(point, "cindex").alias("b"))
+    if geometry is not None:
+        centre = lambda e: e.withField("lon", F.col("c.x")).withField("lat", F.col("c.y"))
+        for end in ("a", "b"):
+            ends = ends.withColumn("c", centroid(wkt_rings(F.col(f"{end}.wkt")))).withColumn(end, centre(F.col(end))).drop("c")
     out = ends.select(
         "uid", F.col("a.cindex").alias("start_cindex"), F.col("b.cindex").alias("end_cindex"), F.col("a.timestamp").alias("start_timestamp"), F.col("b.timestamp").alias("end_timestamp"),
         F.col("a.lon").alias("lon1"), F.col("a.lat").alias("lat1"), F.col("b.lon").alias("lon2"), F.col("b.lat").alias("lat2"), F.col("b.trajectory").alias("trajectory"),

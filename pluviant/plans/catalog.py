@@ -230,7 +230,7 @@ def view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def start_end_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Positions from the centroids of WKT rectangles, as tracks have them; the SQL knows the centres.
     t = A.with_rectangles(A.track_obs(spark, sf_dir)).drop("lon", "lat")
-    return motion.start_end(motion.with_centroids(t))
+    return motion.start_end(t, geometry="geometry")
 
 
 @query("distances_selected", "SELECT uid, km AS start_end_haversine_km FROM ends WHERE uid IN (SELECT uid FROM track_ship WHERE size > 45)", ("start_end_haversine_km",), ("track_ship", "ends"))

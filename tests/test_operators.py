@@ -255,3 +255,12 @@ def test_plans_shuffle_once(spark, make, tmp_path):
     assert exchanges(tracks.method_duels(t)) == 1
     assert exchanges(motion.start_end(t)) == 1
     assert "PushedFilters: [IsNotNull(threshold), EqualTo(threshold,0.1)]" in tracks.duration_stats(t)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_start_end_parses_only_the_ends(spark):
+    square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    texts = [square, "POLYGON ((1 1, 3 1, 3 3, 1 3, 1 1))", None, "", "POLYGON EMPTY", "POINT (4 5)", "POLYGON ((1 x, 2 2, 3 3, 1 1))", "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1)))", "LINESTRING (1e1 2., .5 -3)", " POLYGON Z ((0 0 9, 2 0 9, 2 2 9, 0 0 9))", "POLYGON ((" + ", ".join(f"{k} {k % 7}" for k in range(20_000)) + ", 0 0))", "POLYGON ((1\t1, 2 2, 3 1, 1 1))", "(((", "1 2", "POINT (1)"]
+    rows = [(uid, k, f"2024-01-01 00:{k:02d}:00", texts[(k * 7 + uid) % len(texts)]) for uid in range(15) for k in range(uid + 1)]
+    t = spark.createDataFrame(rows, "uid long, cindex long, timestamp string, geometry string")
+    got, want = (sorted(map(str, f.collect())) for f in (motion.start_end(t, geometry="geometry"), motion.start_end(motion.with_centroids(t))))
+    assert got == want and got
