@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import last_before, positions, running_sum
+
 
 def cumulative_new(tracks: DataFrame) -> DataFrame:
     """Per time step: systems first seen as NEW there, and their running number. A system counts once."""
     born = tracks.filter(F.col("status") == "NEW").groupBy("uid").agg(F.min("timestamp").alias("timestamp"))
     new = born.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n_new"))
     steps = tracks.select("timestamp").distinct().join(new, "timestamp", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0).cast("long")))
-    return steps.withColumn("cumulative", F.sum("n_new").over(W.orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)))
+    return running_sum(steps, "timestamp", {"cumulative": "n_new"})
 
 
 def cumulative_counts(tracks: DataFrame) -> DataFrame:
     """Per time step: its systems, and the running sum (systems count again at every step)."""
     by = tracks.groupBy("timestamp").agg(F.count_distinct("uid").alias("n"))
-    return by.withColumn("cumulative", F.sum("n").over(W.orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)))
+    return running_sum(by, "timestamp", {"cumulative": "n"})
 
 
 def on_steps(counts: DataFrame, steps: DataFrame, value: str = "n") -> DataFrame:
@@ -55,13 +56,12 @@ def match_frames(coarse: DataFrame, fine: DataFrame, repeat: int = 2, mode: str
     """Pairs of frames (path, timestamp): by position, each coarse one repeated, up to the shorter list; or by time, each
     fine frame with the last coarse one not after it."""
     if mode == "time":
-        both = fine.select("timestamp", F.col("path").alias("fine"), F.lit(None).cast("string").alias("coarse")).unionByName(coarse.select("timestamp", F.lit(None).cast("string").alias("fine"), F.col("path").alias("coarse")))
-        last = F.last("coarse", ignorenulls=True).over(W.orderBy("timestamp", F.col("coarse").isNull()).rowsBetween(W.unboundedPreceding, 0))
-        return both.withColumn("coarse", last).filter("fine is not null and coarse is not null").select("timestamp", "coarse", "fine")
-    order = W.orderBy("timestamp", "path")
-    a = coarse.select(F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias("k"), "timestamp", "path").withColumn("rn", F.row_number().over(W.orderBy("timestamp", "path", "k")))
-    b = fine.withColumn("rn", F.row_number().over(order))
-    return a.select("rn", F.col("path").alias("coarse")).join(b.select("rn", "timestamp", F.col("path").alias("fine")), "rn").select("rn", "timestamp", "coarse", "fine")
+        found = last_before(fine.select("timestamp", F.col("path").alias("fine")), coarse.select("timestamp", F.col("path").alias("coarse")), "timestamp", "coarse")
+        return found.filter("fine is not null and coarse is not null").select("timestamp", "coarse", "fine")
+    copies = coarse.select("timestamp", "path", F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias("k"))
+    a = positions(copies, "timestamp", "rn", ties=("path", "k")).select("rn", F.col("path").alias("coarse"))
+    b = positions(fine, "timestamp", "rn", ties=("path",)).select("rn", "timestamp", F.col("path").alias("fine"))
+    return a.join(b, "rn").select(F.col("rn").cast("int").alias("rn"), "timestamp", "coarse", "fine")
 
 
 def in_box(xmin: float, ymin: float, xmax: float, ymax: float, envelope: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cell_area_km2, month_start, season
+from .quantiles import exact_percentiles
 
 CELL = ["lat", "lon"]
 STATS = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "median": F.median}
@@ -160,7 +161,7 @@ def log_limits(df: DataFrame, value: str) -> DataFrame:
 
 def value_range(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """One row: two percentiles of the values, for a colour scale."""
-    return df.agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+    return exact_percentiles(df, value, (low, high)).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def pixel_area(map_: DataFrame, value: str, units: str = "km2") -> DataFrame:
@@ -215,7 +216,7 @@ def hotspots(map_: DataFrame, value: str, area_weight: bool = False, sigma: floa
     norm = F.when(F.col("top") > 0, F.col("value_raw") / F.col("top")).otherwise(F.col("value_raw")) if normalize else F.col("value_raw")
     rows = rows.withColumn("value_norm", norm).drop("top")
     smooth = gaussian_smooth(rows, "value_norm", sigma).withColumnRenamed("value_norm", "value_smooth")
-    cut = smooth.filter("value_smooth > 0").agg(F.percentile("value_smooth", F.lit(quantile)).alias("cut"))
+    cut = exact_percentiles(smooth.filter("value_smooth > 0"), "value_smooth", (quantile,)).select(F.col("q")[0].alias("cut"))
     out = rows.join(smooth, CELL, "left").crossJoin(F.broadcast(cut)).withColumn("hotspots_mask", F.coalesce(F.col("value_smooth") >= F.col("cut"), F.lit(False))).drop("cut")
     return out.join(F.broadcast(cell_edges(map_, "lat")), "lat").join(F.broadcast(cell_edges(map_, "lon")), "lon")
 
@@ -227,7 +228,7 @@ def areas_above(map_: DataFrame, value: str, threshold: float | None = None, qua
     compare = {"ge": lambda a, b: a >= b, "gt": lambda a, b: a > b, "le": lambda a, b: a <= b, "lt": lambda a, b: a < b}
     if operation not in compare or (threshold is None) == (quantile is None):
         raise ValueError("one of threshold and quantile, and operation ge, gt, le or lt, are needed")
-    cut = map_.agg(F.percentile(value, F.lit(quantile)).alias("cut")) if threshold is None else map_.sparkSession.range(1).select(F.lit(float(threshold)).alias("cut"))
+    cut = exact_percentiles(map_, value, (quantile,)).select(F.col("q")[0].alias("cut")) if threshold is None else map_.sparkSession.range(1).select(F.lit(float(threshold)).alias("cut"))
     axis = lambda c: F.broadcast(map_.select(c).distinct().select(c, F.row_number().over(W.orderBy(c)).alias(f"i_{c}")))
     kept = map_.crossJoin(F.broadcast(cut)).filter(compare[operation](F.col(value), F.col("cut"))).join(axis("lat"), "lat").join(axis("lon"), "lon")
     kept = kept.join(F.broadcast(cell_edges(map_, "lat")), "lat").join(F.broadcast(cell_edges(map_, "lon")), "lon")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import centroid, mercator_length_km, point_wkt, readable, wkt_rings
 from ..functions.scalar import bearing, cell_centre, haversine, month_start, quadrant_id, round_up_nicely, sector, wrap_longitude
+from .ordered import rolling_mean
+from .quantiles import exact_percentiles
 
 
 def with_centroids(tracks: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -128,7 +130,7 @@ def dominance(ends: DataFrame, step: float = 10.0, alpha: float = 1.0, base: flo
 
 def grid_step(ends: DataFrame) -> DataFrame:
     """One row, step: the 25th percentile of the distances, degrees; for the grid of `dominance`."""
-    return ends.agg((F.percentile("start_end_haversine_km", F.lit(0.25)) / 111.0).alias("step"))
+    return exact_percentiles(ends, "start_end_haversine_km", (0.25,)).select((F.col("q")[0] / 111.0).alias("step"))
 
 
 def sized_dominance(ends: DataFrame, **options) -> DataFrame:
@@ -139,7 +141,7 @@ def sized_dominance(ends: DataFrame, **options) -> DataFrame:
 
 def robust_scale(cells: DataFrame, value: str = "dominance") -> DataFrame:
     """One row, scale: the 98th percentile of the absolute values, rounded up to 1, 2, 2.5 or 5 times a power of ten."""
-    return cells.agg(F.percentile(F.abs(F.col(value)), F.lit(0.98)).alias("p98")).select(round_up_nicely(F.col("p98")).alias("scale"))
+    return exact_percentiles(cells, F.abs(F.col(value)), (0.98,)).select(round_up_nicely(F.col("q")[0]).alias("scale"))
 
 
 def monthly_distance(df: DataFrame, time_col: str = "start_timestamp", dist_col: str = "start_end_haversine_km", filter_max_km: float | None = None) -> DataFrame:
@@ -150,8 +152,9 @@ def monthly_distance(df: DataFrame, time_col: str = "start_timestamp", dist_col:
     rows = df.filter(F.col(time_col).isNotNull() & F.col(dist_col).isNotNull())
     rows = rows if filter_max_km is None else rows.filter(F.col(dist_col) <= filter_max_km)
     d = F.col(dist_col)
-    q = F.percentile(d, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.99)]))
-    by = rows.groupBy(month_start(time_col).alias("month")).agg(F.avg(d).alias("mean"), q.alias("q"), F.max(d).alias("max"), F.stddev_samp(d).alias("std"), F.count(d).alias("n"))
+    rows = rows.withColumn("month", month_start(time_col))
+    q = exact_percentiles(rows, dist_col, (0.25, 0.5, 0.75, 0.99), ("month",))
+    by = rows.groupBy("month").agg(F.avg(d).alias("mean"), F.max(d).alias("max"), F.stddev_samp(d).alias("std"), F.count(d).alias("n")).join(q, "month")
     by = by.select("month", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "max", "std", "n", F.col("q")[3].alias("p99"))
     span = by.agg(F.min("month").alias("a"), F.max("month").alias("b")).filter("a is not null")
     calendar = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
@@ -162,9 +165,8 @@ def monthly_distance(df: DataFrame, time_col: str = "start_timestamp", dist_col:
 def with_anomalies(monthly: DataFrame, rolling: int = 12, least: int = 6) -> DataFrame:
     """Climatology of the calendar month, anomaly, and rolling means over `rolling` months with `least` values at least."""
     clim = F.avg("mean").over(W.partitionBy(F.month("month")))
-    back = W.orderBy("month").rowsBetween(-(rolling - 1), 0)
-    roll = lambda c: F.when(F.count(c).over(back) >= least, F.avg(c).over(back))
-    return monthly.withColumn("clim", clim).withColumn("anom", F.col("mean") - F.col("clim")).withColumn("mean_roll12", roll("mean")).withColumn("anom_roll12", roll("anom"))
+    out = monthly.withColumn("clim", clim).withColumn("anom", F.col("mean") - F.col("clim"))
+    return rolling_mean(out, "month", {"mean_roll12": "mean", "anom_roll12": "anom"}, rolling, least)
 
 
 def extreme_months(monthly: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_day, is_ocean, pixel_speed, season
+from .ordered import _same
+from .quantiles import exact_percentiles
 
 METHODS = {"noc": "far_", "opt": "far_opt", "inc": "far_inc", "spl": "far_spl", "mrg": "far_mrg", "elp": "far_elp"}
 
@@ -158,8 +160,8 @@ def histogram2d(df: DataFrame, x: str, y: str, x_edges: tuple[float, float, int]
 
 def describe(df: DataFrame, by: str, value: str) -> DataFrame:
     """count, mean, sample and population deviation, extremes and exact quartiles of each group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.stddev_pop(value).alias("std_pop"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"))
+    out = df.groupBy(by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.stddev_pop(value).alias("std_pop"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = _same(out, exact_percentiles(df, value, (0.25, 0.5, 0.75), (by,)), [by])
     return out.select(by, "count", "mean", "std", "std_pop", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 

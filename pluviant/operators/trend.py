@@ -11,20 +11,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TESTS = ("original", "seasonal", "hamed_rao", "yue_wang", "sen")
-BATTERY = "p float, z float, tau float, s float, var_s float, slope float, intercept float, h tinyint, trend_code tinyint"
+BATTERY = "p double, z double, tau double, s double, var_s double, slope double, intercept double, h tinyint, trend_code tinyint"
+
+
+def _before(rank: np.ndarray, limit: np.ndarray) -> int:
+    """Pairs i < j with rank[i] < limit[j], ranks being 0 .. n - 1: halves of blocks are compared, level by level, n log n each."""
+    n, total, half = len(rank), 0, 1
+    at = np.arange(n)
+    while half < n:
+        block = at // (2 * half)
+        left = (at // half) % 2 == 0
+        key = np.sort(block[left] * (n + 1) + rank[left])
+        first, bound = block[~left] * (n + 1), block[~left] * (n + 1) + limit[~left]
+        total += int((np.searchsorted(key, bound) - np.searchsorted(key, first)).sum())
+        half *= 2
+    return total
+
+
+def _edge(o: np.ndarray, y: np.ndarray, guess: np.ndarray, holds) -> np.ndarray:
+    """How many of the sorted values o hold with each y, if those that do come first; guess is off by rounding at most."""
+    at = guess
+    while True:
+        up = (at < len(o)) & holds(o[np.minimum(at, len(o) - 1)], y)
+        down = (at > 0) & ~holds(o[np.maximum(at, 1) - 1], y)
+        if not (up | down).any():
+            return at
+        at = at + up - down
 
 
 def s_and_ties(y: np.ndarray, eps: float = 0.0) -> tuple[float, float]:
-    """Sum of the signs of all later-minus-earlier differences, and its variance with ties (chains of sorted neighbours)."""
+    """Sum of the signs of all later-minus-earlier differences, and its variance with ties (chains of sorted neighbours).
+
+    Signs are counted by ranks in halves, so time grows by n log^2 n and memory with n.
+    """
     n = len(y)
-    s = 0.0
-    for k in range(n - 1):  # one row of the pair matrix at a time: memory stays linear
-        d = y[k + 1 :] - y[k]
-        s += float((d > eps).sum() - (d < -eps).sum())
-    o = np.sort(y)
-    runs = np.diff(np.flatnonzero(np.concatenate([[True], np.diff(o) > eps, [True]]))).astype(float)
+    order = np.argsort(y, kind="stable")
+    o = y[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    below = _edge(o, y, np.searchsorted(o, y - eps, "left"), lambda v, w: w - v > eps)
+    upto = _edge(o, y, np.searchsorted(o, y + eps, "right"), lambda v, w: ~(w - v < -eps))
+    s = _before(rank, below) - (n * (n - 1) // 2 - _before(rank, upto))
+    runs = np.diff(np.flatnonzero(np.concatenate([[True], np.diff(o) > eps, [True]]))).astype(float) if n else np.zeros(0)
     var = (n * (n - 1) * (2 * n + 5) - float((runs * (runs - 1) * (2 * runs + 5)).sum())) / 18
-    return s, var
+    return float(s), var
 
 
 def p_of(s: float, var: float) -> tuple[float, float]:
@@ -34,14 +64,131 @@ def p_of(s: float, var: float) -> tuple[float, float]:
     return float(z), math.erfc(abs(z) / math.sqrt(2))
 
 
-def sen(y: np.ndarray, t: np.ndarray) -> tuple[float, float]:
-    """Median of the slopes of all pairs with different times, and the intercept through the medians."""
-    i, j = np.triu_indices(len(y), 1)
+#: Points up to which all pairs' slopes are made at once.
+ALL_PAIRS = 1500
+
+
+def _order(z: np.ndarray, t: np.ndarray, down: bool) -> np.ndarray:
+    """Points by z; among equal z later ones first if down, else earlier ones."""
+    return np.lexsort((-t if down else t, z))
+
+
+def _not_above(y: np.ndarray, t: np.ndarray, slope: float) -> int:
+    """Pairs at different times (t in order) whose slope isn't greater."""
+    order = _order(y - slope * t, t, True)
+    rank = np.empty(len(y), np.int64)
+    rank[order] = np.arange(len(y))
+    # Pairs i < j with rank[i] < rank[j] are above; points of one time go down, so they aren't counted, and stand by y.
+    n = len(y)
+    same = np.unique(t, return_counts=True)[1]
+    pairs = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
+    above = _before(rank, rank) - _within(rank, t)
+    return pairs - above
+
+
+def _within(rank: np.ndarray, t: np.ndarray) -> int:
+    """Pairs i < j of one time with rank[i] < rank[j]."""
+    by = np.lexsort((rank, t))  # as the points are by time, each time's ones are sorted among themselves
+    own = np.empty(len(t), np.int64)
+    own[by] = np.arange(len(t))
+    first = np.searchsorted(t, t, "left")
+    return _before(own, np.maximum(own, 0)) - int(first.sum())
+
+
+def _between(y: np.ndarray, t: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Slopes of the pairs that are above low and not above high, in order.
+
+    These pairs stand one way by y - low * t and the other way by y - high * t, so they are inversions between two orders."""
+    a, b = _order(y - low * t, t, True), _order(y - high * t, t, True)
+    n, place = len(y), np.empty(len(y), np.int64)
+    place[b] = np.arange(n)
+    rank, found, half, at = place[a], [], 1, np.arange(n)
+    while half < n:
+        block, left = at // (2 * half), (at // half) % 2 == 0
+        key = block[left] * (n + 1) + rank[left]
+        by = np.argsort(key)
+        key, who = key[by], at[left][by]
+        start, stop = np.searchsorted(key, block[~left] * (n + 1) + rank[~left]), np.searchsorted(key, (block[~left] + 1) * (n + 1))
+        size = stop - start
+        if size.any():
+            later = np.repeat(at[~left], size)
+            nth = np.arange(len(later)) - np.repeat(np.cumsum(size) - size, size)
+            found.append((who[np.repeat(start, size) + nth], later))
+        half *= 2
+    if not found:
+        return np.zeros(0)
+    i, j = a[np.concatenate([f[0] for f in found])], a[np.concatenate([f[1] for f in found])]
     dt = t[j] - t[i]
-    ok = dt != 0
-    if not ok.any():
+    return np.sort((y[j] - y[i])[dt != 0] / dt[dt != 0])
+
+
+def _kth_slope(y: np.ndarray, t: np.ndarray, rank: int, pairs: int) -> float:
+    """The slope with `rank` smaller ones before it, by selection: random pairs give bounds around it, pairs below them are counted, and
+    bounds are narrowed until those between them can be listed. Bounds lie half-way between different slopes, where rounding of
+    y - slope * t can't turn a pair round, or close around a slope that many pairs share."""
+    n, rng = len(y), np.random.default_rng(0)
+    spread = float(np.ptp(y)) / float(np.min(np.diff(np.unique(t)))) + 1.0
+    low, high, below, upto = -2 * spread, 2 * spread, 0, pairs
+    while upto - below > 8 * n:
+        i, j = rng.integers(0, n, (2, 16 * n))
+        dt = t[j] - t[i]
+        some = np.sort((y[j] - y[i])[dt != 0] / dt[dt != 0])
+        some = some[(some > low) & (some <= high)]
+        if len(some) < 16:
+            break
+        share, margin = (rank - below) / (upto - below) * len(some), 3 * math.sqrt(len(some))
+        first, last = (float(some[int(min(max(share + m, 0), len(some) - 1))]) for m in (-margin, margin))
+        tight = 1e-11 * max(abs(first), abs(last), spread * 1e-3)
+
+        def cut(pick: float, side: int) -> float:
+            k = int(np.searchsorted(some, pick, "left" if side < 0 else "right")) - (side < 0)  # noqa: B023
+            beyond = some[k] if 0 <= k < len(some) else pick  # noqa: B023
+            return pick + side * tight if abs(beyond - pick) < 2 * tight else float(pick + beyond) / 2  # noqa: B023
+
+        before = low, high
+        for c in (cut(first, -1), cut(last, 1), None):
+            if c is None:
+                if (low, high) != before:
+                    break
+                c = (first + last) / 2  # two slopes that many pairs share: which side is it on?
+            count = _not_above(y, t, c)
+            if count <= rank:
+                low, below = max((low, below), (c, count))
+            else:
+                high, upto = min((high, upto), (c, count))
+        if first == last and high - low <= 4 * tight:
+            return first
+        if (low, high) == before:
+            break
+    return float(_between(y, t, low, high)[rank - below])
+
+
+def _median_slope(y: np.ndarray, t: np.ndarray) -> float:
+    """Median of the slopes of all pairs at different times; t in order."""
+    n = len(y)
+    same = np.unique(t, return_counts=True)[1]
+    pairs = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
+    if not pairs:
+        return math.nan
+    ranks = {(pairs - 1) // 2, pairs // 2}
+    return sum(_kth_slope(y, t, r, pairs) for r in ranks) / len(ranks)
+
+
+def sen(y: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+    """Median of the slopes of all pairs with different times, and the intercept through the medians. Long series take n log^2 n
+    time and memory that grows with n."""
+    y, t = np.asarray(y, float), np.asarray(t, float)
+    if len(y) > ALL_PAIRS:
+        order = np.argsort(t, kind="stable")
+        slope = _median_slope(y[order], t[order])
+    else:
+        i, j = np.triu_indices(len(y), 1)
+        dt = t[j] - t[i]
+        ok = dt != 0
+        slope = float(np.median((y[j] - y[i])[ok] / dt[ok])) if ok.any() else math.nan
+    if math.isnan(slope):
         return math.nan, math.nan
-    slope = float(np.median((y[j] - y[i])[ok] / dt[ok]))
+    slope += 0.0  # no negative zero
     return slope, float(np.median(y) - slope * np.median(t))
 
 
@@ -152,8 +299,9 @@ def trend_field(df: DataFrame, value: str, time: str = "time", weight: str | Non
     return rows.select(*keys, "r.p", "r.tau", clear.alias("slope"), F.when(sure, clear).alias("trend"), F.when(sure, F.col("r.p")).alias("p_value"))
 
 
-def test_field(df: DataFrame, value: str, test: str = "original", time: str = "time", keys: tuple[str, ...] = ("lat", "lon"), alpha: float = 0.05, period: int | None = None, lag: int | None = None, samples_per_year: float | None = None) -> DataFrame:
-    """Per cell, the nine results of `battery`; slopes for each year with samples_per_year."""
+def test_field(df: DataFrame, value: str, test: str = "original", time: str = "time", keys: tuple[str, ...] = ("lat", "lon"), alpha: float = 0.05, period: int | None = None, lag: int | None = None, samples_per_year: float | None = None, narrow: bool = True) -> DataFrame:
+    """Per cell, the nine results of `battery`; slopes for each year with samples_per_year. Unless narrow is False, doubles become
+    floats at the end, as fields are stored."""
     battery(np.arange(4.0), test, alpha, period, lag)  # bad arguments fail here
 
     @F.pandas_udf(BATTERY)
@@ -162,9 +310,10 @@ def test_field(df: DataFrame, value: str, test: str = "original", time: str = "t
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in BATTERY.split(", ")])
         if samples_per_year:
             out["slope"] *= samples_per_year
-        return out.astype({**dict.fromkeys(out.columns[:7], "float32"), "h": "int8", "trend_code": "int8"})
+        return out.astype({"h": "int8", "trend_code": "int8"})
 
-    return _series(df, value, time, None, list(keys)).select(*keys, run("y").alias("r")).select(*keys, "r.*")
+    out = _series(df, value, time, None, list(keys)).select(*keys, run("y").alias("r")).select(*keys, "r.*")
+    return out.withColumns({c: F.col(c).cast("float") for c in ("p", "z", "tau", "s", "var_s", "slope", "intercept")}) if narrow else out
 
 
 def series_trend(df: DataFrame, value: str = "mean", time: str = "month") -> DataFrame:
@@ -190,7 +339,7 @@ def samples_per_year(df: DataFrame, time: str = "time") -> DataFrame:
 
     days = F.unix_seconds(F.col(time).cast("timestamp")) / 86400.0
     t = df.select(time).distinct().select(days.alias("d")).withColumn("gap", F.col("d") - F.lag("d").over(W.orderBy("d")))
-    span = (F.max("d") - F.min("d")) / 365.25
+    span = (F.max("d") - F.min("d")) / 365.2425
     n = F.count(F.lit(1))
     return t.agg(F.when(n < 2, 1.0).when(F.median("gap").between(25, 35), 12.0).otherwise((n - 1) / F.nullif(span, F.lit(0.0))).alias("samples_per_year"))
 

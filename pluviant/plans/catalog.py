@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..functions.geo import centroid, envelope, is_valid_polygon, mercator_length_km, wkt_rings
-from ..operators import frames, grid, motion, regions, tracks, trend
+from ..operators import frames, grid, motion, quantiles, regions, tracks, trend
 from ..sources import adapters as A
 from ..sources.readers import tracking_view
 from ..streaming.new_systems import new_systems
@@ -484,14 +484,72 @@ ORACLE_SQL["mk_tau_sen"] = _with("grid_month").rstrip() + "," + _MK + ORACLE_SQL
 
 @query("trend_tests")
 def trend_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Results are floats; s, its variance and z are compared to as many places as those hold.
-    t = trend.test_field(A.grid_month(spark, sf_dir), "clu_values")
-    return t.select("lat", "lon", *[F.round(F.col(c).cast("double"), n).alias(c) for c, n in (("s", 0), ("tau", 4), ("z", 3), ("p", 4))], F.col("trend_code").cast("int").alias("trend_code"))
+    t = trend.test_field(A.grid_month(spark, sf_dir), "clu_values", narrow=False)
+    return t.select("lat", "lon", *[F.round(F.col(c), n).alias(c) for c, n in (("s", 0), ("tau", 4), ("z", 3), ("p", 4))], F.col("trend_code").cast("int").alias("trend_code"))
 
 
 ORACLE_SQL["trend_tests"] = _with("grid_month").rstrip() + "," + _MK + "SELECT lat, lon, round(s, 0) + 0.0 AS s, round(s / pairs, 4) + 0.0 AS tau, round(z, 3) + 0.0 AS z, round(p, 4) + 0.0 AS p, CASE WHEN p < 0.05 THEN cast(sign(z) AS int) ELSE 0 END AS trend_code FROM q"
 
 
+#: Series by position, their original test, and the autocorrelations of what the Theil-Sen line leaves (of ranks, for one test), up to three steps.
+_BY_PLACE = """
+p AS (SELECT lat, lon, time, clu_values AS y, cast(row_number() OVER (PARTITION BY lat, lon ORDER BY time) - 1 AS double) AS k FROM grid_month),
+d AS (SELECT lat, lon, cast(sum(sign(b.y - a.y)) AS double) AS s, count(*) AS pairs, median((b.y - a.y) / (b.k - a.k)) AS slope FROM p a JOIN p b USING (lat, lon) WHERE b.k > a.k GROUP BY 1, 2),
+e AS (SELECT lat, lon, sum(c) AS n, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT lat, lon, y, cast(count(*) AS double) AS c FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2),
+o AS (SELECT *, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var_0 FROM d JOIN e USING (lat, lon)),
+i AS (SELECT lat, lon, median(y) AS my, median(k) AS mk FROM p GROUP BY 1, 2),
+r0 AS (SELECT p.lat, p.lon, k, y - slope * k AS x FROM p JOIN d ON p.lat = d.lat AND p.lon = d.lon),
+r1 AS (SELECT lat, lon, k, {x} AS x FROM r0),
+r2 AS (SELECT lat, lon, k, x - avg(x) OVER (PARTITION BY lat, lon) AS x FROM r1),
+r AS (SELECT a.lat, a.lon, b.k - a.k AS lag, sum(a.x * b.x) / any_value(v.v) AS rho FROM r2 a JOIN r2 b ON a.lat = b.lat AND a.lon = b.lon AND b.k - a.k BETWEEN 1 AND 3
+      JOIN (SELECT lat, lon, sum(x * x) AS v FROM r2 GROUP BY 1, 2) v ON v.lat = a.lat AND v.lon = a.lon GROUP BY 1, 2, 3),
+f AS (SELECT o.lat, o.lon, {f} AS f FROM o JOIN r ON o.lat = r.lat AND o.lon = r.lon GROUP BY o.lat, o.lon, o.n),
+w AS (SELECT o.*, var_0 * f AS var_s, CASE WHEN var_0 * f > 0 THEN (s - sign(s)) / sqrt(var_0 * f) ELSE 0 END AS z FROM o JOIN f ON o.lat = f.lat AND o.lon = f.lon),
+q AS (SELECT w.*, my - slope * mk AS intercept, """ + _TAIL.replace("{z}", "z") + """ AS p FROM w JOIN i ON i.lat = w.lat AND i.lon = w.lon)
+"""
+#: Twelve interleaved series, each in years.
+_SEASONAL = """
+p AS (SELECT lat, lon, clu_values AS y, row_number() OVER (PARTITION BY lat, lon ORDER BY time) - 1 AS k FROM grid_month),
+d AS (SELECT a.lat, a.lon, a.k % 12 AS g, sign(b.y - a.y) AS s, (b.y - a.y) / (b.k // 12 - a.k // 12) AS slope FROM p a JOIN p b ON a.lat = b.lat AND a.lon = b.lon AND a.k % 12 = b.k % 12 AND b.k > a.k),
+e AS (SELECT lat, lon, g, sum(c) AS n, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT lat, lon, k % 12 AS g, y, cast(count(*) AS double) AS c FROM p GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+v AS (SELECT lat, lon, sum((n * (n - 1) * (2 * n + 5) - ties) / 18) AS var_s FROM e WHERE n > 1 GROUP BY 1, 2),
+t AS (SELECT lat, lon, cast(sum(s) AS double) AS s, count(*) AS pairs, median(slope) AS slope FROM d GROUP BY 1, 2),
+i AS (SELECT lat, lon, median(y) AS my, median(k) AS mk FROM p GROUP BY 1, 2),
+w AS (SELECT t.*, var_s, my - slope * mk / 12 AS intercept, CASE WHEN var_s > 0 THEN (s - sign(s)) / sqrt(var_s) ELSE 0 END AS z FROM t JOIN v USING (lat, lon) JOIN i USING (lat, lon)),
+q AS (SELECT *, """ + _TAIL.replace("{z}", "z") + """ AS p FROM w)
+"""
+_TESTED = "SELECT lat, lon, round(p, 4) + 0.0 AS p, round(z, 4) + 0.0 AS z, round(s / pairs, 4) + 0.0 AS tau, round(s, 4) + 0.0 AS s, round(var_s, 4) + 0.0 AS var_s, round(slope, 4) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, CASE WHEN p < 0.05 THEN 1 ELSE 0 END AS h, CASE WHEN p < 0.05 THEN cast(sign(z) AS int) ELSE 0 END AS trend_code FROM q"
+_DETRENDED, _RANKS = "x", "rank() OVER (PARTITION BY lat, lon ORDER BY x) + (count(*) OVER (PARTITION BY lat, lon, x) - 1) / 2.0"
+_BATTERY = {
+    "seasonal": (_SEASONAL, {"period": 12}),
+    "hamed_rao": (_BY_PLACE.replace("{x}", _RANKS).replace("{f}", "1 + 2 / (n * (n - 1) * (n - 2)) * sum((n - lag) * (n - lag - 1) * (n - lag - 2) * CASE WHEN abs(rho) > 1.959963984540054 / sqrt(n) THEN rho ELSE 0 END)"), {"lag": 3}),
+    "yue_wang": (_BY_PLACE.replace("{x}", _DETRENDED).replace("{f}", "1 + 2 * sum((1 - lag / n) * rho)"), {"lag": 3}),
+    "sen": (_BY_PLACE.replace("{x}", _DETRENDED).replace("{f}", "1.0"), {}),
+}
+
+
+def _tested(name: str, options: dict[str, int]) -> None:
+    @query(f"trend_{name}", None, (), (), 4)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = trend.test_field(A.grid_month(spark, sf_dir), "clu_values", name, narrow=False, **options)
+        return t.withColumn("h", F.col("h").cast("int")).withColumn("trend_code", F.col("trend_code").cast("int"))
+
+
+for _name, (_sql, _options) in _BATTERY.items():
+    _tested(_name, _options)
+    ORACLE_SQL[f"trend_{_name}"] = _with("grid_month").rstrip() + "," + _sql + _TESTED
+
+
+@query("trend_weighted", "SELECT lat, lon, s / pairs AS tau, slope, p FROM q", ("tau", "slope", "p"))
+def trend_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Equal times are averaged; rows whose weight isn't positive don't count.
+    g = A.grid_month(spark, sf_dir).withColumn("time", F.date_trunc("quarter", "time")).withColumn("w", F.col("fam_density") - 1)
+    return trend.trend_field(g, "clu_values", weight="w").filter("p IS NOT NULL").select("lat", "lon", "tau", "slope", "p")
+
+
+ORACLE_SQL["trend_weighted"] = _with("grid_month").rstrip() + "," + _MK.replace("(year(time) * 12 + month(time)) AS t, clu_values AS y FROM grid_month", "year(time) * 12 + quarter(time) * 3 AS t, avg(clu_values) AS y FROM grid_month WHERE fam_density > 1 GROUP BY 1, 2, 3") + ORACLE_SQL["trend_weighted"]
+
+
 @query("series_trend", _MONTHLY.replace("WHERE km <= 15000 ", "") + """, y AS (SELECT (year(month) - y0) * 12 + month(month) - m0 AS t, mean AS y FROM f, (SELECT year(min(month)) AS y0, month(min(month)) AS m0 FROM f) WHERE mean IS NOT NULL),
 s AS (SELECT median((b.y - a.y) / (b.t - a.t)) AS slope, cast(sum(sign(b.y - a.y)) AS double) AS s FROM y a JOIN y b ON b.t > a.t), c AS (SELECT median(t) AS mt, median(y) AS my, cast(count(*) AS double) AS n FROM y),
 k AS (SELECT *, (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18) AS z FROM s, c)
@@ -503,7 +561,7 @@ def series_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("samples_per_year", """
 WITH t AS (SELECT DISTINCT epoch(date_trunc('day', timestamp)) / 86400 AS d FROM track_obs), g AS (SELECT d, d - lag(d) OVER (ORDER BY d) AS gap FROM t), s AS (SELECT count(*) AS n, median(gap) AS gap, max(d) - min(d) AS span FROM g)
-SELECT CASE WHEN n < 2 THEN 1 WHEN gap BETWEEN 25 AND 35 THEN 12 ELSE (n - 1) / (span / 365.25) END AS samples_per_year FROM s""", ("samples_per_year",), ("track_obs",))
+SELECT CASE WHEN n < 2 THEN 1 WHEN gap BETWEEN 25 AND 35 THEN 12 ELSE (n - 1) / (span / 365.2425) END AS samples_per_year FROM s""", ("samples_per_year",), ("track_obs",))
 def samples_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.samples_per_year(A.track_obs(spark, sf_dir).select(F.date_trunc("day", "timestamp").alias("time")))
 
@@ -543,6 +601,30 @@ def match_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.match_frames(fine.filter(F.hour("timestamp") % 2 == 0), fine)
 
 
+@query("match_frames_time", """
+WITH f AS (SELECT DISTINCT strftime(timestamp, '%Y%m%d_%H%M') AS path, timestamp FROM track_obs WHERE size > 20), c AS (SELECT uid || strftime(timestamp, '%Y%m%d_%H00') AS path, date_trunc('hour', timestamp) AS timestamp FROM track_obs WHERE hour(timestamp) % 5 = 0)
+SELECT f.timestamp, c.path AS coarse, f.path AS fine FROM f ASOF JOIN (SELECT timestamp, max(path) AS path FROM c GROUP BY timestamp) c ON f.timestamp >= c.timestamp""", (), ("track_obs",))
+def match_frames_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.track_obs(spark, sf_dir)
+    fine = t.filter("size > 20").select(F.date_format("timestamp", "yyyyMMdd_HHmm").alias("path"), "timestamp").distinct()
+    coarse = t.filter(F.hour("timestamp") % 5 == 0).select(F.concat("uid", F.date_format("timestamp", "yyyyMMdd_HH00")).alias("path"), F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return frames.match_frames(coarse, fine, mode="time")
+
+
+@query("rolling_months", _MONTHLY + """, c AS (SELECT *, mean - avg(mean) OVER (PARTITION BY month(month)) AS anom FROM f), w AS (SELECT month, avg(mean) OVER r AS m, avg(anom) OVER r AS a, count(mean) OVER r AS n FROM c WINDOW r AS (ORDER BY month ROWS 4 PRECEDING))
+SELECT month, CASE WHEN n >= 3 THEN m END AS mean_roll12, CASE WHEN n >= 3 THEN a END AS anom_roll12 FROM w""", ("mean_roll12", "anom_roll12"), ("track_ship", "ends"))
+def rolling_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = motion.monthly_distance(motion.start_end(A.track_ship(spark, sf_dir)), filter_max_km=15000)
+    return motion.with_anomalies(m, rolling=5, least=3).select("month", "mean_roll12", "anom_roll12")
+
+
+@query("percentiles", """
+SELECT method, status, quantile_cont(size, 0) AS p0, quantile_cont(size, 0.001) AS p001, quantile_cont(size, 0.5) AS p50, quantile_cont(size, 0.999) AS p999, quantile_cont(size, 1) AS p100 FROM track_obs GROUP BY 1, 2""", ("p0", "p001", "p50", "p999", "p100"), ("track_obs",))
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantiles.exact_percentiles(A.track_obs(spark, sf_dir), "size", (0.0, 0.001, 0.5, 0.999, 1.0), ("method", "status"))
+    return found.select("method", "status", *[F.col("q")[k].alias(n) for k, n in enumerate(("p0", "p001", "p50", "p999", "p100"))])
+
+
 @query("scalar_functions", """
 SELECT event_id, cast((event_id * 7.5) % 720 AS double) AS lon, cast(((event_id * 7.5) % 720 + 180) % 360 - 180 AS double) AS wrapped, CASE WHEN value >= 0.1 THEN value END AS rain, least(1, greatest(0, (value - 10) / 40)) AS unit,
   strftime(ts, '%Y%m%d_%H%M') AS frame, strftime(ts, '%Y-%m-%d %H:%M UTC') AS label FROM events""", ("lon", "wrapped", "rain", "unit"))
