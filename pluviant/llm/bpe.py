@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -228,8 +228,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     """
     import pyarrow as pa
 
+    listed = lambda ids: [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int32()))]
+    return encoded(docs, ranks, pattern, listed, {"ids": "array<int>"}, text_col, block)
+
+
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, made: Callable[[np.ndarray], list], kinds: dict[str, str], text_col: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
+    """Like `encode`, with the columns `kinds` that `made` makes of a text's ids (arrays of one value) where they arise, so that ids
+    needn't pass to another worker."""
+    import pyarrow as pa
+
     words = vocabulary(ranks)
-    names = [c for c in docs.columns if c not in (text_col, "ids")]
+    names = [c for c in docs.columns if c not in (text_col, *kinds)]
     safe = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"k{n}") for n, c in enumerate(names)])
     keys = [f"k{n}" for n in range(len(names))]
     cut = _cut(safe, words, pattern, block)
@@ -263,12 +272,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
                     ends = np.cumsum(lengths)
                     total = int(ends[-1]) if len(ends) else 0
                     found = every[np.repeat(starts[numbers] - (ends - lengths), lengths) + np.arange(total)]
-                    row = pa.ListArray.from_arrays(pa.array([0, total], pa.int32()), pa.array(found, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([row, *(batch.column(batch.schema.get_field_index(c)).slice(j, 1) for c in keys)], ["ids", *keys])
+                    yield pa.RecordBatch.from_arrays([*made(found), *(batch.column(batch.schema.get_field_index(c)).slice(j, 1) for c in keys)], [*kinds, *keys])
                 texts, k = texts[stop - k :], stop
 
-    out = done.mapInArrow(run, f"ids array<int>{head}")
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, names, strict=True)], "ids")
+    out = done.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + head)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, names, strict=True)], *kinds)
 
 
 def decoded(ids: np.ndarray, words: Vocabulary) -> np.ndarray:
@@ -300,19 +308,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], out: str = "decoded") ->
 
 
 def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (the decoded bytes)."""
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (the bytes that `decoded` makes of the ids)."""
     import hashlib
 
     import pyarrow as pa
 
     ranks = read_ranks(path)
-    back = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
-    kind = back.schema["doc_id"].dataType.simpleString()
+    words = vocabulary(ranks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [row.values.to_numpy(zero_copy_only=False).astype("<u4") for row in batch.column(1)]
-            digests = [[hashlib.sha256(x).hexdigest() for x in column] for column in (ids, [row.as_buffer() for row in batch.column(2)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(ids: np.ndarray) -> list:
+        return [pa.array([len(ids)], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest()]) for x in (ids.astype("<u4"), decoded(ids, words)))]
 
-    return back.select("doc_id", "ids", "decoded").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs.select("doc_id", "text"), ranks, pattern, digests, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

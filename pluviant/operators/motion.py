@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import centroid, mercator_length_km, point_wkt, readable, wkt_rings
+from ..functions.geometry import parts_of_wkt, valid
 from ..functions.scalar import bearing, cell_centre, haversine, month_start, quadrant_id, round_up_nicely, sector, wrap_longitude
 from .ordered import rolling_mean
 from .quantiles import exact_percentiles
@@ -18,6 +19,12 @@ def with_centroids(tracks: DataFrame, geometry: str = "geometry") -> DataFrame:
     return rows.withColumn("lon", F.col("__c.x")).withColumn("lat", F.col("__c.y")).drop("__c")
 
 
+def with_valid_centroids(tracks: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """Like `with_centroids`, of rows whose geometry isn't blank and is a valid polygon, or several."""
+    text = F.col(geometry)
+    return with_centroids(tracks.filter(text.isNotNull() & (F.length(F.trim(text)) > 0)).filter(valid(parts_of_wkt(text))), geometry)
+
+
 def only(tracks: DataFrame, uids: DataFrame | None) -> DataFrame:
     """Rows of the given uids (a frame with a column uid), by a semi-join."""
     return tracks if uids is None else tracks.join(uids.select("uid"), "uid", "left_semi")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
+from ..functions import geometry as G
 from ..functions.geo import centroid, envelope, is_valid_polygon, mercator_length_km, wkt_rings
-from ..operators import frames, grid, motion, quantiles, regions, tracks, trend
+from ..operators import cover, frames, grid, motion, quantiles, regions, tracks, trend
 from ..sources import adapters as A
 from ..sources.readers import tracking_view
 from ..streaming.new_systems import new_systems
@@ -780,6 +782,81 @@ def region_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.clip(A.track_ship(spark, sf_dir), PARTS).select("uid", "cindex", "lon", "lat")
 
 
+def star_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of a thousand corners for each supplier: region, parts."""
+    k = F.col("s_suppkey")
+    cx, cy, size = (k * 37 % 3400) / 10.0 - 169.9629, (k * 53 % 1000) / 10.0 - 49.9871, 3.0 + k % 7  # no point is on a boundary
+    turn = lambda m: 2 * F.lit(math.pi) * (m % 1000) / 1000.0
+    corner = lambda m: F.struct((cx + size * (1 + 0.3 * F.cos(5 * turn(m))) * F.cos(turn(m))).alias("x"), (cy + size * (1 + 0.3 * F.cos(5 * turn(m))) * F.sin(turn(m))).alias("y"))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(1000)), corner)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("region"), F.array(F.array(ring)).alias("parts"))
+
+
+@query("points_in_regions", """
+WITH r AS (SELECT s_suppkey AS region, (s_suppkey * 37 % 3400) / 10.0 - 169.9629 AS cx, (s_suppkey * 53 % 1000) / 10.0 - 49.9871 AS cy, 3.0 + s_suppkey % 7 AS size FROM supplier),
+p AS (SELECT region, uid, size::DOUBLE AS size, (lon - cx)::DOUBLE AS dx, (lat - cy)::DOUBLE AS dy FROM r JOIN (SELECT uid, lon, lat FROM track_ship) t ON abs(lon - cx) <= 1.3 * size AND abs(lat - cy) <= 1.3 * size),
+m AS (SELECT *, floor((atan2(dy, dx) + CASE WHEN dy < 0 THEN 2 * pi() ELSE 0 END) / (2 * pi()) * 1000) AS m FROM p),
+v AS (SELECT *, 2 * pi() * m / 1000 AS t0, 2 * pi() * (m + 1) / 1000 AS t1 FROM m),
+e AS (SELECT *, size * (1 + 0.3 * cos(5 * t0)) * cos(t0) AS ax, size * (1 + 0.3 * cos(5 * t0)) * sin(t0) AS ay, size * (1 + 0.3 * cos(5 * t1)) * cos(t1) AS bx, size * (1 + 0.3 * cos(5 * t1)) * sin(t1) AS by_ FROM v)
+SELECT region, count(*) AS n, count(DISTINCT uid) AS n_uids FROM e WHERE (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) >= 0 GROUP BY 1""", (), ("track_ship",))
+def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cover.in_regions(A.track_ship(spark, sf_dir).select("uid", "lon", "lat"), cover.cover(star_regions(spark, sf_dir)))
+    return found.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uid").alias("n_uids"))
+
+
+#: Shapes by cindex: a rectangle, one with its corners crossed, with a hole, with a hole outside, an open ring, blank, nothing, two parts,
+#: two that overlap.
+def with_shapes(tracks: DataFrame) -> DataFrame:
+    def box(dx: float, dy: float, w: float, order: str = "abcda") -> Column:
+        x, y = F.col("lon") + dx, F.col("lat") + dy
+        corners = {"a": (x - w, y - w), "b": (x + w, y - w), "c": (x + w, y + w), "d": (x - w, y + w)}
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", *[c.cast("string") for c in corners[k]]) for k in order]), F.lit(")"))
+
+    polygon = lambda *rings: F.concat(F.lit("POLYGON ("), F.concat_ws(", ", *rings), F.lit(")"))
+    two = lambda p, q: F.concat(F.lit("MULTIPOLYGON (("), p, F.lit("), ("), q, F.lit("))"))
+    shapes = [polygon(box(0, 0, 0.5)), polygon(box(0, 0, 0.5, "acbda")), polygon(box(0, 0, 0.5), box(0, 0, 0.25)), polygon(box(0, 0, 0.5), box(2, 2, 0.25)), polygon(box(0, 0, 0.5, "abcd")), F.lit("  "), F.lit(None).cast("string"), two(box(0, 0, 0.5), box(3, 0, 0.5)), two(box(0, 0, 0.5), box(0.25, 0, 0.5))]
+    shape = F.lit(None).cast("string")
+    for k, s in enumerate(shapes):
+        shape = F.when(F.col("cindex") % len(shapes) == k, s).otherwise(shape)
+    return tracks.withColumn("geometry", shape)
+
+
+@query("geometry_validity", "SELECT uid, cindex, cindex % 9 IN (0, 2, 7) AS valid, CASE cindex % 9 WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 2 WHEN 8 THEN 2 ELSE 1 END AS n_parts FROM track_obs", (), ("track_obs",))
+def geometry_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = with_shapes(A.track_obs(spark, sf_dir)).select("uid", "cindex", G.parts_of_wkt("geometry").alias("parts"))
+    return parts.select("uid", "cindex", G.valid(F.col("parts")).alias("valid"), F.coalesce(F.size("parts"), F.lit(0)).alias("n_parts"))
+
+
+@query("geometry_formats", """
+SELECT uid, cindex, CASE WHEN cindex % 9 IN (5, 6) THEN NULL WHEN cindex % 9 IN (7, 8) THEN 9 + 2 * 93 WHEN cindex % 9 IN (2, 3) THEN 177 WHEN cindex % 9 = 4 THEN 77 - 4 ELSE 93 END AS wkb_bytes,
+  CASE WHEN cindex % 9 IN (5, 6) THEN NULL WHEN cindex % 9 IN (7, 8) THEN 'MultiPolygon' WHEN cindex % 9 = 4 THEN 'LineString' ELSE 'Polygon' END AS kind, cindex % 9 NOT IN (5, 6) AS same, CASE WHEN cindex % 9 NOT IN (5, 6) THEN lon - 0.5 END AS x0 FROM track_obs""", ("x0",), ("track_obs",))
+def geometry_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_shapes(A.track_obs(spark, sf_dir)).select("uid", "cindex", G.parts_of_wkt("geometry").alias("p"))
+    rows = rows.select("*", G.wkb_of("p").alias("wkb"), G.geojson_of("p").alias("json"), G.wkt_of("p").alias("wkt"))
+    back = [G.parts_of_wkb("wkb").alias("a"), G.parts_of_geojson("json").alias("b"), G.parts_of_wkt("wkt").alias("c")]
+    rows = rows.select("*", *back)
+    same = F.coalesce((F.col("p") == F.col("a")) & (F.col("p") == F.col("b")) & (F.col("p") == F.col("c")), F.lit(False))
+    return rows.select("uid", "cindex", F.octet_length("wkb").alias("wkb_bytes"), F.get_json_object("json", "$.type").alias("kind"), same.alias("same"), F.try_element_at(F.try_element_at(F.try_element_at("p", F.lit(1)), F.lit(1)), F.lit(1))["x"].alias("x0"))
+
+
+#: Boxes of nations, their sides between the places that systems have.
+_BOXES = "SELECT n_nationkey AS region, (n_nationkey * 131 % 300) - 150 AS cx, (n_nationkey * 29 % 80) - 40 AS cy FROM nation"
+
+
+@query("region_table_tracks", f"""
+WITH r AS ({_BOXES}), v AS (SELECT *, CASE cindex % 9 WHEN 7 THEN lon + 1.5 ELSE lon END AS px FROM track_obs WHERE cindex % 9 IN (0, 2, 7)),
+x AS (SELECT DISTINCT r.region, uid FROM v JOIN r ON abs(px - cx) <= 12.03 AND abs(lat - cy) <= 9.03),
+e AS (SELECT uid, arg_min(px, cindex) AS lon1, arg_min(lat, cindex) AS lat1, arg_max(px, cindex) AS lon2, arg_max(lat, cindex) AS lat2 FROM v GROUP BY uid)
+SELECT region, uid, lon1, lat1, lon2, lat2 FROM x JOIN e USING (uid)""", ("lon1", "lat1", "lon2", "lat2"), ("track_obs",), 4)
+def region_table_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    cx, cy = (k * 131 % 300) - 150, (k * 29 % 80) - 40
+    corner = lambda sx, sy: F.struct((cx + sx * 12.03).alias("x"), (cy + sy * 9.03).alias("y"))
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+    table = spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("region"), F.array(F.array(ring)).alias("parts"))
+    return regions.tracks_of_regions(with_shapes(A.track_obs(spark, sf_dir)), table, geometry="geometry").select("region", "uid", "lon1", "lat1", "lon2", "lat2")
+
+
 @query("new_systems_windows", """
 SELECT time_bucket(INTERVAL 30 MINUTE, t) AS start, time_bucket(INTERVAL 30 MINUTE, t) + INTERVAL 30 MINUTE AS "end", count(*) AS n_new
 FROM (SELECT uid, min(timestamp) AS t FROM track_obs WHERE status = 'NEW' GROUP BY uid) GROUP BY ALL""", (), ("track_obs",))
