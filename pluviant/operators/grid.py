@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cell_area_km2, month_start, season
+from .ordered import _same
 from .quantiles import exact_percentiles
+from .tiles import connected, convolved, outlines
 
 CELL = ["lat", "lon"]
 STATS = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "median": F.median}
@@ -180,23 +182,18 @@ def _kernel(sigma: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def _smooth_axis(cells: DataFrame, axis: str, other: str, sigma: float) -> DataFrame:
-    kernel = _kernel(sigma)
-    radius = len(kernel) // 2
-    shift = F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(kernel)])
-    moved = cells.select(other, axis, "v", F.explode(shift).alias("s")).select(other, (F.col(axis) + F.col("s.k")).alias(axis), (F.col("v") * F.col("s.w")).alias("v"))
-    return moved.groupBy(other, axis).agg(F.sum("v").alias("v"))
+def _index(map_: DataFrame, c: str) -> DataFrame:
+    """Each distinct coordinate of an axis and its index, from 0."""
+    return map_.select(c).filter(F.col(c).isNotNull()).distinct().select(c, (F.row_number().over(W.orderBy(c)) - 1).cast("long").alias("i" if c == "lat" else "j"))
 
 
 def gaussian_smooth(map_: DataFrame, value: str, sigma: float = 2.0) -> DataFrame:
     """Separable smoothing over cell indices: three sigmas to either side, weights that add to 1, nothing beyond the edge.
-    A missing value counts as 0."""
-    axis = lambda c: map_.select(c).distinct().select(c, (F.row_number().over(W.orderBy(c)) - 1).alias(f"i_{c}"))
-    lats, lons = F.broadcast(axis("lat")), F.broadcast(axis("lon"))
-    cells = map_.join(lats, "lat").join(lons, "lon")
-    v = cells.select("i_lat", "i_lon", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
-    v = _smooth_axis(_smooth_axis(v, "i_lat", "i_lon", sigma), "i_lon", "i_lat", sigma)
-    return v.join(F.broadcast(axis("lat")), "i_lat").join(F.broadcast(axis("lon")), "i_lon").select("lat", "lon", F.col("v").alias(value))
+    A missing value counts as 0. Cells are dealt to tiles once."""
+    lats, lons = _index(map_, "lat"), _index(map_, "lon")
+    cells = map_.join(lats, "lat").join(lons, "lon").select("i", "j", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    out = convolved(cells, _kernel(sigma))
+    return out.join(lats, "i").join(lons, "j").select("lat", "lon", F.col("v").alias(value))
 
 
 def cell_edges(df: DataFrame, centre: str) -> DataFrame:
@@ -218,44 +215,39 @@ def hotspots(map_: DataFrame, value: str, area_weight: bool = False, sigma: floa
     smooth = gaussian_smooth(rows, "value_norm", sigma).withColumnRenamed("value_norm", "value_smooth")
     cut = exact_percentiles(smooth.filter("value_smooth > 0"), "value_smooth", (quantile,)).select(F.col("q")[0].alias("cut"))
     out = rows.join(smooth, CELL, "left").crossJoin(F.broadcast(cut)).withColumn("hotspots_mask", F.coalesce(F.col("value_smooth") >= F.col("cut"), F.lit(False))).drop("cut")
-    return out.join(F.broadcast(cell_edges(map_, "lat")), "lat").join(F.broadcast(cell_edges(map_, "lon")), "lon")
+    return out.join(cell_edges(map_, "lat"), "lat").join(cell_edges(map_, "lon"), "lon")
 
 
-def areas_above(map_: DataFrame, value: str, threshold: float | None = None, quantile: float | None = None, operation: str = "ge", min_area_km2: float = 100_000.0) -> DataFrame:
+def areas_above(map_: DataFrame, value: str, threshold: float | None = None, quantile: float | None = None, operation: str = "ge", min_area_km2: float = 100_000.0, by: tuple[str, ...] = (), outline: bool = False) -> DataFrame:
     """Connected areas (sharing an edge) of cells that pass the comparison: label (the first cell's row and
-    column), cells, area in the Mercator plane of the WGS 84 ellipsoid, km2. One map is one group and is walked in one
-    task, so its number of cells must fit there (a grid of 0.1 degrees has 6.5 million at most)."""
+    column, from 1), cells, area in the Mercator plane of the WGS 84 ellipsoid, km2; with `outline`, a polygon as WKT.
+
+    `by` names columns that tell many maps on the same axes apart; a quantile is each map's own. Maps are labelled by tiles, and parts of
+    neighbouring tiles are joined by star contraction, so no task has a whole map.
+    """
     compare = {"ge": lambda a, b: a >= b, "gt": lambda a, b: a > b, "le": lambda a, b: a <= b, "lt": lambda a, b: a < b}
     if operation not in compare or (threshold is None) == (quantile is None):
         raise ValueError("one of threshold and quantile, and operation ge, gt, le or lt, are needed")
-    cut = exact_percentiles(map_, value, (quantile,)).select(F.col("q")[0].alias("cut")) if threshold is None else map_.sparkSession.range(1).select(F.lit(float(threshold)).alias("cut"))
-    axis = lambda c: F.broadcast(map_.select(c).distinct().select(c, F.row_number().over(W.orderBy(c)).alias(f"i_{c}")))
-    kept = map_.crossJoin(F.broadcast(cut)).filter(compare[operation](F.col(value), F.col("cut"))).join(axis("lat"), "lat").join(axis("lon"), "lon")
-    kept = kept.join(F.broadcast(cell_edges(map_, "lat")), "lat").join(F.broadcast(cell_edges(map_, "lon")), "lon")
+    rows = map_
+    if threshold is None:
+        cut = exact_percentiles(map_, value, (quantile,), by).select(*by, F.col("q")[0].alias("__cut"))
+        rows = _same(map_, cut, list(by)) if by else map_.crossJoin(F.broadcast(cut))  # one row
+    kept = rows.filter(compare[operation](F.col(value), F.lit(float(threshold)) if threshold is not None else F.col("__cut")))
+    bounds = {"i": _index(map_, "lat").join(cell_edges(map_, "lat"), "lat").drop("lat"), "j": _index(map_, "lon").join(cell_edges(map_, "lon"), "lon").drop("lon")}
+    cells = kept.select(*by, *CELL).join(_index(map_, "lat"), "lat").join(_index(map_, "lon"), "lon").select(*by, "i", "j")
+    labelled, roots = connected(cells, by)
     e = 0.0818191908426215  # eccentricity
     bend = lambda c: F.pow((1 - e * F.sin(F.radians(c))) / (1 + e * F.sin(F.radians(c))), F.lit(e / 2))
     y = lambda c: F.log(F.tan(F.lit(0.7853981633974483) + F.radians(c) / 2) * bend(c))
     area = F.lit(6378.137**2) * F.radians(F.col("lon_high") - F.col("lon_low")) * (y("lat_high") - y("lat_low"))
-    cells = kept.select("i_lat", "i_lon", area.alias("area"))
-
-    def label(pdf):
-        import pandas as pd
-
-        todo = dict(zip(zip(pdf.i_lat, pdf.i_lon, strict=True), pdf.area, strict=True))
-        out = []
-        while todo:
-            stack, n, total = [min(todo)], 0, 0.0
-            first = stack[0]
-            size = todo.pop(first)
-            stack = [(first, size)]
-            while stack:
-                (a, b), size = stack.pop()
-                n, total = n + 1, total + size
-                for near in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
-                    if near in todo:
-                        stack.append((near, todo.pop(near)))
-            out.append((f"{first[0]}:{first[1]}", n, total))
-        return pd.DataFrame(out, columns=["label", "cells", "area_km2"])
-
-    found = cells.withColumn("map", F.lit("one")).groupBy("map").applyInPandas(label, "label string, cells long, area_km2 double")
-    return found.filter(F.col("area_km2") >= min_area_km2)
+    sized = labelled.join(bounds["i"], "i").join(bounds["j"], "j")
+    parts = sized.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("cells"), F.sum(area).alias("area_km2"))
+    whole = _same(parts, roots, [*by, "part"]).groupBy(*by, "root").agg(F.sum("cells").alias("cells"), F.sum("area_km2").alias("area_km2"))
+    out = whole.filter(F.col("area_km2") >= min_area_km2)
+    if outline:
+        border = _same(sized.filter("open > 0"), roots, [*by, "part"])
+        lines = outlines(_same(border, out.select(*by, "root"), [*by, "root"]), by)
+        out = _same(out, lines, [*by, "root"])
+    first = F.shiftright("root", 32) + 1, F.col("root").bitwiseAND(F.lit((1 << 32) - 1)) + 1
+    label = F.concat_ws(":", *[f.cast("string") for f in first]).alias("label")
+    return out.select(*by, label, "cells", "area_km2", *(["outline"] if outline else []))

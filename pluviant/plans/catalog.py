@@ -462,6 +462,21 @@ def areas_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.areas_above(grid.total_over_time(A.grid_month(spark, sf_dir), "clu_values"), "clu_values", quantile=0.75)
 
 
+@query("areas_outlined", f"""
+WITH RECURSIVE m AS (SELECT CAST(year(time) AS INT) AS year, lat, lon, sum(fam_density) AS v FROM grid_month GROUP BY 1, 2, 3), ax AS (SELECT lat, row_number() OVER (ORDER BY lat) AS i FROM (SELECT DISTINCT lat FROM m)), ay AS (SELECT lon, row_number() OVER (ORDER BY lon) AS j FROM (SELECT DISTINCT lon FROM m)),
+c AS (SELECT year, quantile_cont(v, 0.6) AS cut FROM m GROUP BY 1), k AS (SELECT year, lat, lon, i, j, 6378.137 * 6378.137 * radians(10) * ({_Y.replace('{v}', '(lat + 5)')} - {_Y.replace('{v}', '(lat - 5)')}) AS a FROM m JOIN c USING (year) JOIN ax USING (lat) JOIN ay USING (lon) WHERE v > cut),
+r AS (SELECT year, i, j, i AS ri, j AS rj FROM k UNION SELECT k.year, k.i, k.j, r.ri, r.rj FROM r JOIN k ON k.year = r.year AND abs(k.i - r.i) + abs(k.j - r.j) = 1),
+l AS (SELECT year, i, j, min((ri, rj)) AS top FROM r GROUP BY 1, 2, 3)
+SELECT year, top[1] || ':' || top[2] AS label, count(*) AS cells, sum(a) AS area_km2, count(*) * 100.0::DOUBLE AS degrees, true AS valid, min(lon) - 5.0::DOUBLE AS xmin, max(lat) + 5.0::DOUBLE AS ymax FROM l JOIN k USING (year, i, j) GROUP BY year, top""", ("area_km2", "degrees", "xmin", "ymax"), ("grid_month",), 2)
+def areas_outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = A.grid_month(spark, sf_dir).groupBy(F.year("time").alias("year"), "lat", "lon").agg(F.sum("fam_density").alias("v"))
+    found = grid.areas_above(m, "v", quantile=0.6, operation="gt", min_area_km2=0.0, by=("year",), outline=True)
+    rings = found.select("year", "label", "cells", "area_km2", "outline", wkt_rings("outline").alias("g"))
+    shoelace = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda s, k: s + F.element_at(r, k)["x"] * F.element_at(r, k + 1)["y"] - F.element_at(r, k + 1)["x"] * F.element_at(r, k)["y"])
+    e = envelope(F.col("g"))
+    return rings.select("year", "label", "cells", "area_km2", (F.aggregate(F.transform("g", shoelace), F.lit(0.0), lambda s, x: s + x) / 2).alias("degrees"), G.valid(G.parts_of_wkt("outline")).alias("valid"), e["xmin"].alias("xmin"), e["ymax"].alias("ymax"))
+
+
 # Trends
 
 

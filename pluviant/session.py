@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution coalesces small partitions and splits skewed joins; times have no zone.
 SETTINGS = {
@@ -19,3 +22,16 @@ def get_spark(app: str = "pluviant", master: str | None = None, **conf: str) ->
     """A session; `conf` keys use underscores for dots (spark_sql_shuffle_partitions="200")."""
     builder = SparkSession.builder.appName(app).config(map={**SETTINGS, **{k.replace("_", "."): v for k, v in conf.items()}})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the folder that `spark.checkpoint.dir` names. Only a session in local mode that names none gets a
+    folder of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pluviant-checkpoint-"))
+    return df.checkpoint(eager=True)
