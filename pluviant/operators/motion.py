@@ -30,6 +30,19 @@ def only(tracks: DataFrame, uids: DataFrame | None) -> DataFrame:
     return tracks if uids is None else tracks.join(uids.select("uid"), "uid", "left_semi")
 
 
+def repeated_steps(tracks: DataFrame) -> DataFrame:
+    """uid, cindex, n of observations that share both; a table that is sound has none."""
+    return tracks.groupBy("uid", "cindex").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def start_end_ties(tracks: DataFrame, uids: DataFrame | None = None) -> DataFrame:
+    """Like `start_end`, where rows share the least or the greatest cindex: a row for every pair of a first and a last one, without lengths."""
+    rows = only(tracks, uids).select("uid", "cindex", "timestamp", "lon", "lat")
+    ends = rows.groupBy("uid").agg(F.min("cindex").alias("lo"), F.max("cindex").alias("hi"))
+    at = lambda end, which, n: rows.join(ends.select("uid", F.col(end).alias("cindex")), ["uid", "cindex"]).select("uid", F.col("cindex").alias(f"{which}_cindex"), F.col("timestamp").alias(f"{which}_timestamp"), F.col("lon").alias(f"lon{n}"), F.col("lat").alias(f"lat{n}"))
+    return at("lo", "start", 1).join(at("hi", "end", 2), "uid").withColumn("start_end_haversine_km", haversine("lat1", "lon1", "lat2", "lon2"))
+
+
 def start_end(tracks: DataFrame, uids: DataFrame | None = None, geometry: str | None = None) -> DataFrame:
     """Per system the rows with the least and the greatest cindex: indices, times, positions, distance, and the length of
     the last row's trajectory where there is one. One aggregate, one shuffle. With `geometry` the positions are centroids

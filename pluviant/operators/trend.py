@@ -270,9 +270,10 @@ def _means(y: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(at, y) / np.bincount(at), times
 
 
-def trend_field(df: DataFrame, value: str, time: str = "time", weight: str | None = None, keys: tuple[str, ...] = ("lat", "lon"), alpha: float = 0.05, eps: float = 0.0, aggregate_duplicates: bool = True, per_year: bool = False) -> DataFrame:
+def trend_field(df: DataFrame, value: str, time: str = "time", weight: str | None = None, keys: tuple[str, ...] = ("lat", "lon"), alpha: float = 0.05, eps: float = 0.0, aggregate_duplicates: bool = True, per_year: bool = False, compat: bool = False) -> DataFrame:
     """Per cell: p, tau, the Theil-Sen slope for each month (or year), and slope and p where p < alpha.
 
+    `compat` gives the slope for each month over the cube's span in years instead, as older results have it.
     Values that are missing, or have a weight that isn't positive, are left out; equal times are averaged first. Fewer than
     two values give nulls. A cell's series is gathered once; tests run on Arrow batches.
     """
@@ -295,6 +296,10 @@ def trend_field(df: DataFrame, value: str, time: str = "time", weight: str | Non
 
     rows = _series(df, value, time, weight, list(keys)).withColumn("r", test("t", "y", "w"))
     clear = F.when(F.isnan("r.slope"), None).otherwise(F.col("r.slope"))
+    if compat:
+        months = lambda c: F.year(c) * 12 + F.month(c)
+        rows = rows.crossJoin(F.broadcast(df.agg(((months(F.max(time)) - months(F.min(time))) / 12.0).alias("__years"))))  # one row
+        clear = F.try_divide(clear, F.col("__years"))
     sure = F.col("r.p") < alpha
     return rows.select(*keys, "r.p", "r.tau", clear.alias("slope"), F.when(sure, clear).alias("trend"), F.when(sure, F.col("r.p")).alias("p_value"))
 

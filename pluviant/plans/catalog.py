@@ -241,6 +241,19 @@ def distances_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.distances(t, t.filter("size > 45").select("uid").distinct())
 
 
+@query("start_end_ties", """
+WITH t AS (SELECT uid, cindex // 3 AS cindex, lon, lat FROM track_obs), m AS (SELECT uid, min(cindex) AS lo, max(cindex) AS hi FROM t GROUP BY uid)
+SELECT uid, lo AS start_cindex, hi AS end_cindex, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM m JOIN t a USING (uid) JOIN t b USING (uid) WHERE a.cindex = lo AND b.cindex = hi""", ("lon1", "lat1", "lon2", "lat2"), ("track_obs",))
+def start_end_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.track_obs(spark, sf_dir).withColumn("cindex", F.floor(F.col("cindex") / 3))
+    return motion.start_end_ties(t).select("uid", "start_cindex", "end_cindex", "lon1", "lat1", "lon2", "lat2")
+
+
+@query("repeated_steps", "SELECT uid, cindex // 3 AS cindex, count(*) AS n FROM track_obs GROUP BY 1, 2 HAVING count(*) > 1", (), ("track_obs",))
+def repeated_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.repeated_steps(A.track_obs(spark, sf_dir).withColumn("cindex", F.floor(F.col("cindex") / 3)))
+
+
 @query("hovmoller_counts", """
 SELECT month(t) AS month, lat_bin, count(DISTINCT uid) AS n FROM (
   SELECT uid, min(timestamp) AS t, floor((max(CASE WHEN cindex = lo THEN lat END) + max(CASE WHEN cindex = hi THEN lat END)) / 2) AS lat_bin
@@ -293,6 +306,18 @@ def monthly_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.monthly_distance(motion.start_end(A.track_ship(spark, sf_dir)), filter_max_km=15000)
 
 
+@query("monthly_from_text", """
+WITH d AS (SELECT date_trunc('month', start_timestamp) AS month, km FROM ends WHERE lon1 > -100 AND lat1 <= 40), m AS (SELECT month, count(*) AS n, avg(km) AS mean, median(km) AS median FROM d GROUP BY 1),
+c AS (SELECT unnest(generate_series((SELECT min(month) FROM m), (SELECT max(month) FROM m), INTERVAL 1 MONTH)) AS month)
+SELECT CAST(c.month AS TIMESTAMP) AS month, coalesce(n, 0) AS n, mean, median FROM c LEFT JOIN m ON m.month = c.month""", ("mean", "median"), ("track_ship", "ends"), 4)
+def monthly_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Times are texts here, some of them no times, and some distances are missing.
+    ends = motion.start_end(A.track_ship(spark, sf_dir))
+    text = F.when(F.col("lon1") <= -100, "soon").otherwise(F.date_format("start_timestamp", "yyyy-MM-dd HH:mm:ss"))
+    rows = ends.withColumn("start_timestamp", text).withColumn("start_end_haversine_km", F.when(F.col("lat1") <= 40, F.col("start_end_haversine_km")))
+    return motion.monthly_distance(rows).select("month", "n", "mean", "median")
+
+
 @query("monthly_anomaly", _MONTHLY + """, c AS (SELECT *, avg(mean) OVER (PARTITION BY month(month)) AS clim FROM f), a AS (SELECT *, mean - clim AS anom FROM c)
 SELECT month, mean, clim, anom, CASE WHEN count(mean) OVER w >= 6 THEN avg(mean) OVER w END AS mean_roll12, CASE WHEN count(anom) OVER w >= 6 THEN avg(anom) OVER w END AS anom_roll12
 FROM a WINDOW w AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""", ("mean", "clim", "anom", "mean_roll12", "anom_roll12"), ("track_ship", "ends"))
@@ -557,6 +582,14 @@ for _name, (_sql, _options) in _BATTERY.items():
     ORACLE_SQL[f"trend_{_name}"] = _with("grid_month").rstrip() + "," + _sql + _TESTED
 
 
+@query("trend_compat", "SELECT lat, lon, slope / ((SELECT max(t) - min(t) FROM p) / 12.0) AS slope FROM q", ("slope",), (), 5)
+def trend_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend.trend_field(A.grid_month(spark, sf_dir), "clu_values", compat=True).select("lat", "lon", "slope")
+
+
+ORACLE_SQL["trend_compat"] = _with("grid_month").rstrip() + "," + _MK + ORACLE_SQL["trend_compat"]
+
+
 @query("trend_weighted", "SELECT lat, lon, s / pairs AS tau, slope, p FROM q", ("tau", "slope", "p"))
 def trend_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Equal times are averaged; rows whose weight isn't positive don't count.
