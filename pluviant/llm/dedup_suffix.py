@@ -195,6 +195,27 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     yield flush()
 
 
+def _equal_windows(segments: DataFrame, length: int) -> DataFrame:
+    """seg, n -> RESULT, for groups of the last gram, which is a whole window: a group's windows are equal but for collisions of hashes, so
+    it is enough to count them by their bytes. Of a run of equal windows, which is of one byte only, one window is sent with the number of its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for seg, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places, sid = len(seg) - length + 1, hashlib.md5(seg).digest()
+                if seg == seg[:1] * len(seg):
+                    rows.append((sid, 0, places - 1, seg[:length], n * places))
+                else:
+                    rows += [(sid, k, k, seg[k : k + length], n) for k in range(places)]
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["sid", "lo", "hi", "window", "places"])
+
+    rows = segments.select("seg", "n").mapInArrow(run, "sid binary, lo int, hi int, window binary, places long")
+    twice = rows.groupBy("window").agg(F.sum("places").alias("w")).filter("w > 1").select("window")
+    return rows.join(twice, "window").groupBy("sid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+
+
 def _repeated(texts: DataFrame, packed: DataFrame | None, keys: list[str], weight: str | None, length: int, grams: tuple[int, ...], group_bytes: int) -> DataFrame:
     """Texts (keys, text, and how often each counts) -> keys, windows: runs (lo, hi) of first bytes of repeated windows.
 
@@ -214,10 +235,12 @@ def _repeated(texts: DataFrame, packed: DataFrame | None, keys: list[str], weigh
     dropped(runs)
     distinct = stored(segments.groupBy("h", "seg").agg(F.sum(times).alias("n")))
     large = distinct.groupBy("h").agg(F.sum(F.length("seg")).alias("bytes")).filter(F.col("bytes") > group_bytes).select("h")
-    again = len(grams) > 1 and not large.isEmpty()
+    again = not large.isEmpty()
     fit = distinct.join(large, "h", "left_anti") if again else distinct
     found = fit.select("h", "seg", "n").repartition("h").sortWithinPartitions("h", "seg").mapInArrow(lambda b: _shards(b, length), RESULT)
-    if again:
+    if again and len(grams) == 1:
+        found = found.unionByName(_equal_windows(distinct.join(large, "h", "left_semi"), length))
+    elif again:
         parts = distinct.join(large, "h", "left_semi").select(F.unhex(F.md5("seg")).alias("whole"), F.col("seg").alias("text"), F.col("n").alias("times"))
         found = found.unionByName(_repeated(parts, None, ["whole"], "times", length, grams[1:], group_bytes).select(F.col("whole").alias("sid"), F.col("windows").alias("ranges")))
     placed = segments.select(*keys, "at", F.unhex(F.md5("seg")).alias("sid")).join(found, "sid")
