@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 
 #: Bytes of text whose distinct pieces are folded once.
 BLOCK_BYTES = 32 << 20
+#: Ids of texts that are handed on together.
+TOGETHER = 1 << 20
 #: Pieces of more bytes are merged with a heap in the task, as each merge of an array copies it.
 LONG_PIECE = 256
 #: Ids are below LIMIT; NONE is what a pair merges into that isn't one.
 LIMIT, NONE = 1 << 17, (1 << 31) - 1
 SLOTS, GROUPS = 1 << 18, 1 << 16
+#: Factors of slots to choose from.
+FACTORS = (12289, 7919, 10007, 5003, 24593, 3079, 15013, 1543)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,33 +63,36 @@ def vocabulary(ranks: dict[bytes, int]) -> Vocabulary:
     return Vocabulary(ranks, np.array([ranks[bytes([b])] for b in range(256)], np.int32), of_two, np.frombuffer(b"".join(pieces), np.uint8), offsets)
 
 
-def _slots(a, b, shift):
+def _slots(a, b, shift, factor: int):
     """Group and slot of a pair of ids, given the group's shift; for numpy arrays and columns alike, so only sums, products and bits."""
     bits = lambda x, n: x.bitwiseAND(F.lit(n - 1)) if isinstance(x, Column) else x & (n - 1)
-    return bits(a * 8191 + b, GROUPS), bits(shift + a * 7919 + b * 131, SLOTS)
+    return bits(a * 8191 + b, GROUPS), bits(shift + b * factor + a, SLOTS)
 
 
-def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Shifts by group, and by slot a pair of ids with the id that it merges into: every cut of every piece is a pair.
+def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shifts by group, by slot a pair of ids with the id that it merges into (every cut of every piece is a pair), and the slots' factor.
 
-    The shifts are chosen so that no two pairs share a slot, so one look is enough.
+    Factor and shifts are chosen so that no two pairs share a slot, so one look is enough.
     """
     pairs = np.array([(ranks[p[:k]], ranks[p[k:]], rank) for p, rank in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks] or np.zeros((0, 3)), np.int64)
     if len(pairs) > 0.8 * SLOTS or max(ranks.values()) >= LIMIT:
         raise ValueError(f"a vocabulary of {len(pairs)} pairs needs more slots")
     a, b, new = pairs.T
-    group, base = _slots(a, b, 0)
+    for factor in FACTORS:
+        group, base = _slots(a, b, 0, factor)
+        if len(np.unique(group * SLOTS + base)) == len(pairs):
+            break
+    else:
+        raise ValueError("pairs of this vocabulary share a slot with any factor")
     shifts, slots = np.zeros(GROUPS, np.int32), np.full(SLOTS, -1, np.int64)
     sizes, order = np.bincount(group, minlength=GROUPS), np.argsort(group, kind="stable")
     ends = np.cumsum(sizes)
     for g in np.argsort(-sizes, kind="stable")[: (sizes > 0).sum()]:
         own = order[ends[g] - sizes[g] : ends[g]]
-        if len(set(base[own].tolist())) < len(own):
-            raise ValueError("two pairs of this vocabulary always share a slot")
         while (slots[at := (base[own] + shifts[g]) & (SLOTS - 1)] >= 0).any():
             shifts[g] += 1
         slots[at] = a[own] << 34 | b[own] << 17 | new[own]
-    return shifts, np.where(slots < 0, 1 << 60, slots)  # no pair with a free slot's bits
+    return shifts, np.where(slots < 0, 1 << 60, slots), factor  # no pair with a free slot's bits
 
 
 def _literal(spark: SparkSession, values: np.ndarray) -> Column:
@@ -104,12 +111,13 @@ def folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     `aggregate` folds over the piece's bytes: the least of `merges` is the next merge, the first place that has it is merged,
     and only the two pairs beside it are looked up anew.
     """
-    shifts, slots = (_literal(pieces.sparkSession, x) for x in rank_map(ranks))
+    *arrays, factor = rank_map(ranks)
+    shifts, slots = (_literal(pieces.sparkSession, x) for x in arrays)
 
     def fold(maps: Column) -> Column:
         def merged(a: Column, b: Column) -> Column:
-            group, _ = _slots(a, b, F.lit(0))
-            _, slot = _slots(a, b, F.get(maps["shifts"], group))
+            group, _ = _slots(a, b, F.lit(0), factor)
+            _, slot = _slots(a, b, F.get(maps["shifts"], group), factor)
             pair = F.shiftleft(a.cast("long"), 34) + F.shiftleft(b.cast("long"), 17)
             return F.get(maps["slots"], slot).bitwiseXOR(pair)  # the id alone if the slot has this pair, else a great number
 
@@ -156,6 +164,14 @@ def merged_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[k : end[k]]] for k in range(n) if alive[k]]
 
 
+class Numbers(dict):
+    """Numbers of things in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def _cut(docs: DataFrame, words: Vocabulary, pattern: str, block: int) -> DataFrame:
     """Of each block of texts: a row for each distinct piece (`ids` and `merges` as `folded` takes them, or `whole` if nothing
     is to be merged any more), then one for each text (numbers of its pieces, and the columns of docs other than text)."""
@@ -197,24 +213,28 @@ def _cut(docs: DataFrame, words: Vocabulary, pattern: str, block: int) -> DataFr
         import regex
 
         cut = regex.compile(pattern).findall
-        number: dict[str, int] = {}
-        numbers, held, size = [], [], 0
+        number = Numbers()
+        numbers, size = [], 0
+        held: list[tuple[pa.RecordBatch, int, int]] = []  # rows from, to
 
         def flush() -> Iterator[pa.RecordBatch]:
             if numbers:
-                out = rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0], list(number), numbers)
+                whole = pa.Table.from_batches([batch.slice(a, b - a) for batch, a, b in held]).combine_chunks()
+                out = rows(whole.to_batches()[0], list(number), numbers)
                 yield from (out.slice(k, 1 << 16) for k in range(0, len(out), 1 << 16))
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
+            own = batch.select(keys)
+            held.append((own, 0, 0))
             for k, text in enumerate(texts):
                 got = text.as_py() or ""
-                numbers.append(np.array([number.setdefault(p, len(number)) for p in cut(got)], np.int32).tobytes())
-                held.append(batch.select(keys).slice(k, 1))
+                numbers.append(np.fromiter(map(number.__getitem__, cut(got)), np.int32).tobytes())
+                held[-1] = (own, held[-1][1], k + 1)
                 size += len(got)
                 if size >= block:
                     yield from flush()
-                    number, numbers, held, size = {}, [], [], 0
+                    number, numbers, held, size = Numbers(), [], [(own, k + 1, k + 1)], 0
         yield from flush()
 
     return docs.select("text", *keys).mapInArrow(run, schema)
@@ -228,12 +248,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     """
     import pyarrow as pa
 
-    listed = lambda ids: [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int32()))]
+    def listed(texts: list[np.ndarray]) -> list:
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(texts), pa.int32()))]
+
     return encoded(docs, ranks, pattern, listed, {"ids": "array<int>"}, text_col, block)
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, made: Callable[[np.ndarray], list], kinds: dict[str, str], text_col: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
-    """Like `encode`, with the columns `kinds` that `made` makes of a text's ids (arrays of one value) where they arise, so that ids
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, made: Callable[[list[np.ndarray]], list], kinds: dict[str, str], text_col: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
+    """Like `encode`, with the columns `kinds` that `made` makes of some texts' ids (an array for each column) where they arise, so that ids
     needn't pass to another worker."""
     import pyarrow as pa
 
@@ -266,13 +289,18 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, made: Callab
                     starts = np.cumsum(size) - size
                 gap = np.flatnonzero(np.diff(texts) > 1)
                 stop = int(texts[gap[0]] if len(gap) else texts[-1]) + 1
+                texts_ids, size_held, first = [], 0, k
                 for j in range(k, stop):
                     numbers = np.frombuffer(pieces[j].as_buffer(), np.int32)
                     lengths = size[numbers]
                     ends = np.cumsum(lengths)
                     total = int(ends[-1]) if len(ends) else 0
                     found = every[np.repeat(starts[numbers] - (ends - lengths), lengths) + np.arange(total)]
-                    yield pa.RecordBatch.from_arrays([*made(found), *(batch.column(batch.schema.get_field_index(c)).slice(j, 1) for c in keys)], [*kinds, *keys])
+                    texts_ids.append(found)
+                    size_held += total
+                    if size_held >= TOGETHER or j == stop - 1:
+                        yield pa.RecordBatch.from_arrays([*made(texts_ids), *(batch.column(batch.schema.get_field_index(c)).slice(first, len(texts_ids)) for c in keys)], [*kinds, *keys])
+                        texts_ids, size_held, first = [], 0, j + 1
                 texts, k = texts[stop - k :], stop
 
     out = done.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + head)
@@ -316,7 +344,8 @@ def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = read_ranks(path)
     words = vocabulary(ranks)
 
-    def digests(ids: np.ndarray) -> list:
-        return [pa.array([len(ids)], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest()]) for x in (ids.astype("<u4"), decoded(ids, words)))]
+    def digests(texts: list[np.ndarray]) -> list:
+        made = [[hashlib.sha256(x).hexdigest() for x in column] for column in ((ids.astype("<u4") for ids in texts), (decoded(ids, words) for ids in texts))]
+        return [pa.array([len(ids) for ids in texts], pa.int64()), *map(pa.array, made)]
 
     return encoded(docs.select("doc_id", "text"), ranks, pattern, digests, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
