@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cell_area_km2, month_start, season
-from .ordered import _same
+from .ordered import _same, neighbours
 from .quantiles import exact_percentiles
 from .tiles import connected, convolved, outlines
 
@@ -54,10 +54,9 @@ def mean_per_event(grid: DataFrame, value: str, events: str, mode: str = "ratio_
     v, d = F.col(value), F.col(events)
     rows, w = grid, F.lit(1.0)
     if time_weights:
-        order = W.orderBy("time")
-        times = grid.select("time").distinct()
-        times = times.withColumn("w", F.unix_seconds(F.lead("time").over(order).cast("timestamp")) - F.unix_seconds(F.col("time").cast("timestamp")))
-        times = times.withColumn("w", F.coalesce("w", F.lag("w").over(order)).cast("double"))
+        seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+        times = neighbours(grid.select("time").distinct(), "time", "before", "after")
+        times = times.select("time", F.coalesce(seconds("after") - seconds("time"), seconds("time") - seconds("before")).cast("double").alias("w"))
         rows, w = grid.join(times, "time"), F.coalesce("w", F.lit(1.0))
     if mode == "ratio_of_sums":
         on = (d > 0) & v.isNotNull()

@@ -83,6 +83,18 @@ def positions(df: DataFrame, key: str, out: str, by: tuple[str, ...] = (), ties:
     return running_sum(df.withColumn("__one", F.lit(1).cast("long")), key, {out: "__one"}, by, ties, buckets).drop("__one")
 
 
+def neighbours(df: DataFrame, key: str, before: str, after: str, buckets: int = BUCKETS) -> DataFrame:
+    """df, whose key doesn't repeat, with the next lower and the next higher key, null at the ends."""
+    rows = _dealt(df, key, buckets)
+    parts = rows.groupBy("__bucket").agg(F.min(key).alias("__min"), F.max(key).alias("__max"))
+    lower = _earlier(parts, [], F.max("__max"), "__lower")
+    higher = parts.filter("__bucket > 0").withColumn("__to", F.explode(F.sequence(F.lit(0), F.col("__bucket") - 1))).groupBy(F.col("__to").alias("__bucket")).agg(F.min("__min").alias("__higher"))
+    order = W.partitionBy("__bucket").orderBy(key)
+    local = rows.withColumn("__before", F.lag(key).over(order)).withColumn("__after", F.lead(key).over(order))
+    out = local.join(lower, "__bucket", "left").join(higher, "__bucket", "left")
+    return out.select(*df.columns, F.coalesce("__before", "__lower").alias(before), F.coalesce("__after", "__higher").alias(after))
+
+
 def last_before(left: DataFrame, right: DataFrame, key: str, value: str, by: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
     """left with `value` of the last row of `right` in the same group whose key isn't greater, null without one.
 

@@ -44,4 +44,4 @@ def exact_percentiles(df: DataFrame, value: str | Column, shares: tuple[float, .
     found = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", each.alias("q")))).alias("__q"))
     every = groups.select(*by)
     whole = _same(every, found, by, "left") if by else every.join(F.broadcast(found), F.lit(True), "left")
-    return whole.select(*by, F.transform("__q", lambda x: x["q"]).alias(out))
+    return whole.select(*by, F.when(F.size("__q") > 0, F.transform("__q", lambda x: x["q"])).alias(out))

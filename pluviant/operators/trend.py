@@ -10,6 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+from .ordered import neighbours
+from .quantiles import exact_percentiles
+
 TESTS = ("original", "seasonal", "hamed_rao", "yue_wang", "sen")
 BATTERY = "p double, z double, tau double, s double, var_s double, slope double, intercept double, h tinyint, trend_code tinyint"
 
@@ -340,13 +344,12 @@ def series_trend(df: DataFrame, value: str = "mean", time: str = "month") -> Dat
 
 def samples_per_year(df: DataFrame, time: str = "time") -> DataFrame:
     """One row: 12 where the median step is 25 to 35 days, else steps over the span in years, 1 below two times."""
-    from pyspark.sql import Window as W
-
     days = F.unix_seconds(F.col(time).cast("timestamp")) / 86400.0
-    t = df.select(time).distinct().select(days.alias("d")).withColumn("gap", F.col("d") - F.lag("d").over(W.orderBy("d")))
-    span = (F.max("d") - F.min("d")) / 365.2425
-    n = F.count(F.lit(1))
-    return t.agg(F.when(n < 2, 1.0).when(F.median("gap").between(25, 35), 12.0).otherwise((n - 1) / F.nullif(span, F.lit(0.0))).alias("samples_per_year"))
+    t = neighbours(durable(df.select(days.alias("d")).filter("d IS NOT NULL").distinct()), "d", "before", "after").select("d", (F.col("d") - F.col("before")).alias("gap"))
+    span = t.agg(F.count(F.lit(1)).alias("n"), ((F.max("d") - F.min("d")) / 365.2425).alias("years"))
+    both = span.crossJoin(exact_percentiles(t, "gap", (0.5,)).select(F.col("q")[0].alias("gap")))  # one row each
+    steps = F.try_divide(F.col("n") - 1, F.nullif(F.col("years"), F.lit(0.0)))
+    return both.select(F.when(F.col("n") < 2, 1.0).when(F.col("gap").between(25, 35), 12.0).otherwise(steps).alias("samples_per_year"))
 
 
 __all__ = ["battery", "mann_kendall", "samples_per_year", "sen", "series_trend", "test_field", "trend_field"]
