@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .ordered import last_before, positions, running_sum
 
 
@@ -13,13 +14,13 @@ def cumulative_new(tracks: DataFrame) -> DataFrame:
     born = tracks.filter(F.col("status") == "NEW").groupBy("uid").agg(F.min("timestamp").alias("timestamp"))
     new = born.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n_new"))
     steps = tracks.select("timestamp").distinct().join(new, "timestamp", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0).cast("long")))
-    return running_sum(steps, "timestamp", {"cumulative": "n_new"})
+    return running_sum(durable(steps), "timestamp", {"cumulative": "n_new"})
 
 
 def cumulative_counts(tracks: DataFrame) -> DataFrame:
     """Per time step: its systems, and the running sum (systems count again at every step)."""
     by = tracks.groupBy("timestamp").agg(F.count_distinct("uid").alias("n"))
-    return running_sum(by, "timestamp", {"cumulative": "n"})
+    return running_sum(durable(by), "timestamp", {"cumulative": "n"})
 
 
 def on_steps(counts: DataFrame, steps: DataFrame, value: str = "n") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import centroid, mercator_length_km, point_wkt, readable, wkt_rings
 from ..functions.geometry import parts_of_wkt, valid
 from ..functions.scalar import bearing, cell_centre, haversine, month_start, quadrant_id, round_up_nicely, sector, wrap_longitude
+from ..session import durable
 from .ordered import rolling_mean
 from .quantiles import exact_percentiles
 
@@ -186,7 +187,7 @@ def with_anomalies(monthly: DataFrame, rolling: int = 12, least: int = 6) -> Dat
     """Climatology of the calendar month, anomaly, and rolling means over `rolling` months with `least` values at least."""
     clim = F.avg("mean").over(W.partitionBy(F.month("month")))
     out = monthly.withColumn("clim", clim).withColumn("anom", F.col("mean") - F.col("clim"))
-    return rolling_mean(out, "month", {"mean_roll12": "mean", "anom_roll12": "anom"}, rolling, least)
+    return rolling_mean(durable(out), "month", {"mean_roll12": "mean", "anom_roll12": "anom"}, rolling, least)
 
 
 def extreme_months(monthly: DataFrame) -> DataFrame:
