@@ -95,15 +95,59 @@ def envelopes_meet(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
 
+def _two_diff(a: Column, b: Column) -> Column:
+    """Struct of a - b, rounded, and what the rounding left out."""
+
+    def rest(d: Column) -> Column:
+        back = a - d
+        return F.struct(d.alias("h"), ((a - (d + back)) + (back - b)).alias("t"))
+
+    return let(a - b, rest)
+
+
+def _two_product(a: Column, b: Column) -> Column:
+    """Struct of a * b, rounded, and what the rounding left out, by halves of 26 bits."""
+    high = lambda c: F.lit(134217729.0) * c - (F.lit(134217729.0) * c - c)
+
+    def rest(s: Column) -> Column:
+        al, bl, p = a - s["a"], b - s["b"], a * b
+        return F.struct(p.alias("h"), (al * bl - (((p - s["a"] * s["b"]) - al * s["b"]) - s["a"] * bl)).alias("t"))
+
+    return let(F.struct(high(a).alias("a"), high(b).alias("b")), rest)
+
+
+def side(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
+    """Above 0 left of the line from a to b, below 0 right of it, 0 on it. Where rounding could change the sign, products are made
+    of two doubles each, so the sign is that of the coordinates as they are, or within a part in 2 ** 100 if their differences are rounded too."""
+    left, right = (bx - ax) * (y - ay), (by - ay) * (x - ax)
+
+    def exact(d: Column) -> Column:
+        u, v, w, z = d["u"], d["v"], d["w"], d["z"]
+        tail = (u["h"] * v["t"] + u["t"] * v["h"]) - (w["h"] * z["t"] + w["t"] * z["h"]) + (u["t"] * v["t"] - w["t"] * z["t"])
+
+        def four(m: Column) -> Column:
+            p, q = m["p"], m["q"]
+            total = lambda s: let(_two_diff(s["hi"]["h"], -s["lo"]["h"]), lambda t: t["h"] + (t["t"] + (s["lo"]["t"] + s["hi"]["t"] + tail)))
+            return let(F.struct(_two_diff(p["h"], q["h"]).alias("hi"), _two_diff(p["t"], q["t"]).alias("lo")), total)
+
+        return let(F.struct(_two_product(u["h"], v["h"]).alias("p"), _two_product(w["h"], z["h"]).alias("q")), four)
+
+    parts = F.struct(_two_diff(bx, ax).alias("u"), _two_diff(y, ay).alias("v"), _two_diff(by, ay).alias("w"), _two_diff(x, ax).alias("z"))
+    return F.when(F.abs(left - right) >= F.lit(3.3306690738754716e-16) * (F.abs(left) + F.abs(right)), left - right).otherwise(let(parts, exact))
+
+
 def point_in_polygon(x: Column | str, y: Column | str, rings: Column) -> Column:
-    """Inside or on the boundary."""
-    x, y = col(x), col(y)
-    edges = _all_edges(rings)
-    side = lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
-    on = lambda e: (side(e) == 0) & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
-    up = lambda e: e["b"]["y"] > e["a"]["y"]
-    crossed = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & F.when(up(e), side(e) > 0).otherwise(side(e) < 0)
-    return let(edges, lambda es: F.exists(es, on) | (F.size(F.filter(es, crossed)) % 2 == 1))
+    """Inside or on the boundary, by the exact side of each edge."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+
+    def seen(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        box = x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return F.struct(side(a["x"], a["y"], b["x"], b["y"], x, y).alias("s"), box.alias("box"), (b["y"] > a["y"]).alias("up"), ((a["y"] > y) != (b["y"] > y)).alias("spans"))
+
+    on = lambda e: (e["s"] == 0) & e["box"]
+    crossed = lambda e: e["spans"] & F.when(e["up"], e["s"] > 0).otherwise(e["s"] < 0)
+    return let(F.transform(_all_edges(rings), seen), lambda es: F.exists(es, on) | (F.size(F.filter(es, crossed)) % 2 == 1))
 
 
 def mercator_length_km(rings: Column) -> Column:

@@ -1,10 +1,13 @@
 """Geometry columns, validity and points in regions, against brute force."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pluviant.functions import geometry as G
+from pluviant.functions.geo import side
 from pluviant.operators import cover, regions
 
 SHAPES = {
@@ -116,3 +119,21 @@ def test_invalid_rows_do_not_count(spark):
     t = spark.createDataFrame(rows, "uid string, cindex long, geometry string").withColumn("timestamp", F.lit("2020-01-01").cast("timestamp_ntz"))
     out = regions.region_tracks(t, [[(-5.0, -5.0), (5.0, -5.0), (5.0, 5.0), (-5.0, 5.0), (-5.0, -5.0)]], geometry="geometry").collect()
     assert [(r.uid, r.start_cindex, r.end_cindex, r.lon1) for r in out] == [("a", 1, 1, 1.0)]
+
+
+def near_a_slope(spark):
+    """Points in tenths on and around a sloped side, as doubles: whether each is inside, by fractions."""
+    points = [(m / 10 - 180, n / 10 - 60) for m in range(800, 1601, 4) for n in (600 + abs(m - 1200) * 3 // 4 + d for d in (-1, 0, 1)) if n <= 900]
+    inside = [Fraction(y) <= Fraction(3, 4) * abs(Fraction(x) + 60) for x, y in points]
+    return spark.createDataFrame([(f"s{k}", k, x, y) for k, (x, y) in enumerate(points)], "uid string, cindex long, lon double, lat double"), inside
+
+
+NOTCH = [[(-100.0, -30.0), (-20.0, -30.0), (-20.0, 30.0), (-60.0, 0.0), (-100.0, 30.0), (-100.0, -30.0)]]
+
+
+def test_points_a_rounding_off_a_side_are_told_apart(spark):
+    p, inside = near_a_slope(spark)
+    assert {r.cindex for r in regions.clip(p, NOTCH).collect()} == {k for k, i in enumerate(inside) if i}
+    x, y, a = 1.0, 1.0 + 2**-52, 1 - 2**-53  # a product of two doubles that differs from 1 in its last half
+    got = spark.range(1).select(F.signum(side(*map(F.lit, (0.0, 0.0, x, y, a, a * y))))).first()[0]
+    assert got == (a * y > Fraction(a) * Fraction(y)) - (a * y < Fraction(a) * Fraction(y))
