@@ -137,3 +137,9 @@ def test_points_a_rounding_off_a_side_are_told_apart(spark):
     x, y, a = 1.0, 1.0 + 2**-52, 1 - 2**-53  # a product of two doubles that differs from 1 in its last half
     got = spark.range(1).select(F.signum(side(*map(F.lit, (0.0, 0.0, x, y, a, a * y))))).first()[0]
     assert got == (a * y > Fraction(a) * Fraction(y)) - (a * y < Fraction(a) * Fraction(y))
+
+
+def test_tracks_of_a_region_with_points_a_rounding_off_a_side(spark):
+    p, inside = near_a_slope(spark)
+    out = regions.region_tracks(p.withColumn("timestamp", F.lit("2020-01-01").cast("timestamp_ntz")), NOTCH).collect()
+    assert {r.start_cindex for r in out} == {k for k, i in enumerate(inside) if i}
