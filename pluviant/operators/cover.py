@@ -4,15 +4,18 @@ boundary are tested, against that cell's edges."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import let
-from ..functions.geometry import Ring, unnested
+from ..functions.geometry import Ring, sides, unnested
+from ..session import stored
 
 #: Sizes of cells are 2 ** level degrees.
 LEVELS = range(-7, 9)
@@ -20,6 +23,10 @@ LEVELS = range(-7, 9)
 EDGES, CELLS = 8, 1 << 14
 #: Where in its cell a reference point may lie; the one farthest from any edge is taken.
 PLACES = np.array([(0.5, 0.5), (0.37, 0.61), (0.71, 0.29), (0.23, 0.83), (0.89, 0.13), (0.11, 0.17), (0.93, 0.91), (0.47, 0.07)])
+#: Rows and edges of a cover up to which it is broadcast.
+ROWS, TESTED = 20_000, 100_000
+#: Places of one key up to which they are compared in pairs.
+PAIRED = 16
 _EDGE = "struct<ax:double,ay:double,bx:double,by:double>"
 
 
@@ -103,9 +110,7 @@ def inside_band(a: np.ndarray, b: np.ndarray, points: np.ndarray) -> np.ndarray:
 def cover(regions: DataFrame, id_col: str = "region", parts_col: str = "parts") -> DataFrame:
     """A row for each region and cell that it reaches: region, level, ci, cj, whole (the cell is inside), and what a test needs of each
     part that has edges there. `parts_col` is a column of PARTS (functions.geometry); rows without geometry have no cells, and rows of one id are
-    parts of one region."""
-    import pyarrow as pa
-
+    parts of one region. It is written as a table in the shared folder, as it is read several times."""
     kind = regions.schema[id_col].dataType.simpleString()
     names = ["region", "level", "ci", "cj", "whole", "x", "y", "within", "edges"]
 
@@ -131,22 +136,55 @@ def cover(regions: DataFrame, id_col: str = "region", parts_col: str = "parts")
 
     rows = regions.select(F.col(id_col).alias("region"), F.col(parts_col).alias("parts")).mapInArrow(run, f"region {kind}, level int, ci long, cj long, whole boolean, x double, y double, within boolean, edges array<{_EDGE}>")
     test = F.struct("x", "y", "within", "edges")
-    return rows.groupBy("region", "level", "ci", "cj").agg(F.max("whole").alias("whole"), F.collect_list(F.when(~F.col("whole"), test)).alias("tests"))
+    return stored(rows.groupBy("region", "level", "ci", "cj").agg(F.max("whole").alias("whole"), F.collect_list(F.when(~F.col("whole"), test)).alias("tests")))
+
+
+def _hit(x: Column, y: Column, tests: Column) -> Column:
+    """On an edge of a test, or with an odd number of its edges between the point and a reference point outside, an even one inside."""
+    @F.arrow_udf("boolean")
+    def run(x: pa.Array, y: pa.Array, tests: pa.Array) -> pa.Array:
+        number = lambda c: c.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(tests)), number(pc.fill_null(pc.list_value_length(tests), 0)))
+        flat = pc.list_flatten(tests)
+        test = np.repeat(np.arange(len(flat)), number(pc.list_value_length(flat.field("edges"))))
+        edges = pc.list_flatten(flat.field("edges"))
+        (ax, ay, bx, by), (rx, ry) = (number(edges.field(k)) for k in range(4)), (number(flat.field(k))[test] for k in range(2))
+        px, py = number(x)[row][test], number(y)[row][test]
+        own = sides(ax, ay, bx, by, px, py)
+        on = (own == 0) & (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx)) & (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))
+        between = ((sides(px, py, rx, ry, ax, ay) >= 0) != (sides(px, py, rx, ry, bx, by) >= 0)) & ((own > 0) != (sides(ax, ay, bx, by, rx, ry) > 0))
+        hit = (np.bincount(test[on], minlength=len(flat)) > 0) | ((np.bincount(test[between], minlength=len(flat)) % 2 == 1) != number(flat.field("within")).astype(bool))
+        return pa.array(np.bincount(row[hit], minlength=len(tests)) > 0)
 
+    return run(x, y, tests)
 
-def _hit(x: Column, y: Column, test: Column) -> Column:
-    """On an edge, or an odd number of edges between the point and a reference point outside, an even one inside."""
-    turn = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
 
-    def on(e: Column) -> Column:
-        box = x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
-        return box & (turn(e["ax"], e["ay"], e["bx"], e["by"], x, y) == 0)
+def _places(lon: Column, lat: Column, levels: list[int]) -> Column:
+    """The cells of a point, one for each level."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(lon / 2.0**k).alias("ci"), F.floor(lat / 2.0**k).alias("cj")) for k in levels])
 
-    def between(e: Column) -> Column:
-        ends = (turn(x, y, test["x"], test["y"], e["ax"], e["ay"]) >= 0) != (turn(x, y, test["x"], test["y"], e["bx"], e["by"]) >= 0)
-        return ends & ((turn(e["ax"], e["ay"], e["bx"], e["by"], x, y) > 0) != (turn(e["ax"], e["ay"], e["bx"], e["by"], test["x"], test["y"]) > 0))
 
-    return F.exists(test["edges"], on) | ((F.size(F.filter(test["edges"], between)) % 2 == 1) != test["within"])
+def _joined(points: DataFrame, cells: DataFrame, lon: str, lat: str, bounds: DataFrame | None = None) -> DataFrame:
+    """points with tests and region of `cells`, and what `bounds` has of that region, prefixed by __, for every row of their cell.
+
+    The optimizer knows nothing of how many cells a region has, so what is broadcast is decided by the rows and edges that there are.
+    """
+    used = cells.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("tests", F.lit(0), lambda n, t: n + F.size(t["edges"]))).alias("edges")).collect()
+    near = cells.select("level", "ci", "cj", "tests", "region")
+    near = near if bounds is None else near.join(bounds, "region")
+    near = near.select(*[F.col(c).alias(f"__{c}") for c in near.columns])
+    small = sum(r.n for r in used) <= ROWS and sum(r.edges for r in used) <= TESTED
+    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    places = _places(x, y, sorted(r.level for r in used) or [0])
+    dealt = points.filter(x.isNotNull() & ~F.isnan(x) & y.isNotNull() & ~F.isnan(y)).withColumn("__cell", F.explode(places))
+    on = reduce(lambda p, q: p & q, [F.col(f"__cell.{c}") == F.col(f"__{c}") for c in ("level", "ci", "cj")])
+    return dealt.join(near.hint("broadcast" if small else "merge"), on)
+
+
+def _met(cells: DataFrame, lon: str, lat: str, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `join` gives of whole cells, and of the others where the point is inside."""
+    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    return join(cells.filter("whole")).drop("__tests").unionAll(join(cells.filter("not whole")).filter(_hit(x, y, F.col("__tests"))).drop("__tests"))
 
 
 def in_regions(points: DataFrame, cells: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -154,14 +192,43 @@ def in_regions(points: DataFrame, cells: DataFrame, lon: str = "lon", lat: str =
 
     An equi-join on the cell: `cells` is `cover`'s result. Levels in use, a dozen numbers at most, come to the driver first.
     """
-    levels = sorted(r.level for r in cells.select("level").distinct().collect())
-    place = [F.struct(F.lit(k).alias("level"), F.floor(F.col(lon).cast("double") / 2.0**k).alias("ci"), F.floor(F.col(lat).cast("double") / 2.0**k).alias("cj")) for k in levels]
-    if not place:
-        return points.join(cells.select("region"), F.lit(False))
-    dealt = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("__cell", F.explode(F.array(*place)))
-    near = cells.select(*[F.col(c).alias(f"__{c}") for c in ("level", "ci", "cj", "whole", "tests")], F.col("region").alias("__region"))
-    on = reduce(lambda p, q: p & q, [F.col(f"__cell.{c}") == F.col(f"__{c}") for c in ("level", "ci", "cj")])
-    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    hit = let(F.struct(x.alias("x"), y.alias("y")), lambda p: F.exists("__tests", lambda t: _hit(p["x"], p["y"], t)))
-    return dealt.join(near, on).filter(F.col("__whole") | hit).select(*points.columns, F.col("__region").alias("region"))
+    return _met(cells, lon, lat, lambda c: _joined(points, c, lon, lat)).select(*points.columns, F.col("__region").alias("region"))
 
+
+def counts_in_regions(points: DataFrame, cells: DataFrame, key: str = "uid", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """region, n (rows of points in it), n_keys (distinct keys of these), of regions with a point; the same as `in_regions` and an
+    aggregate, without a row for each point and region.
+
+    A place is tested once, with the counts of its rows and of its keys. A key with several places in a region is counted
+    too often by that, so what is taken off are places with an earlier one of the same key in the same region; only places closer to each other
+    than the largest region is wide can be such. Keys of more than PAIRED places are met with each region instead.
+    """
+    rows = points.select(F.col(key).alias("key"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).filter("x is not null and y is not null")
+    places = rows.groupBy("key", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    of = W.partitionBy("key")
+    known = places.filter("key is not null").select("*", F.count(F.lit(1)).over(of).alias("c"), F.row_number().over(of.orderBy("x", "y")).alias("r"))
+    few = known.filter(F.col("c") <= PAIRED)
+    weights = known.select("x", "y", "n", (F.col("c") <= PAIRED).cast("long").alias("u")).unionAll(places.filter("key is null").select("x", "y", "n", F.lit(0).cast("long").alias("u")))
+    weights = weights.groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum("u").alias("u"))
+    zero = F.lit(0).cast("long")
+    counts = _met(cells, "x", "y", lambda c: _joined(weights, c, "x", "y")).groupBy(F.col("__region").alias("region")).agg(F.sum("n").alias("n"), F.sum("u").alias("u"))
+    many = in_regions(known.filter(F.col("c") > PAIRED).select("key", "x", "y"), cells, "x", "y").select("region", "key").distinct().groupBy("region").agg(zero.alias("n"), F.count(F.lit(1)).alias("u"))
+
+    size = F.pow(F.lit(2.0), F.col("level"))
+    ends = [F.min(F.col("ci") * size).alias("x0"), F.max((F.col("ci") + 1) * size).alias("x1"), F.min(F.col("cj") * size).alias("y0"), F.max((F.col("cj") + 1) * size).alias("y1")]
+    bounds = cells.groupBy("region").agg(*ends)
+    widest = bounds.agg(F.max(F.col("x1") - F.col("x0")).alias("x"), F.max(F.col("y1") - F.col("y0")).alias("y")).first()
+    if widest.x is None:
+        return counts.select("region", "n", F.col("u").alias("n_keys"))
+    several = few.filter("c > 1").select("key", "r", "x", "y")
+    before = several.select(F.col("key").alias("pkey"), F.col("r").alias("pr"), F.col("x").alias("px"), F.col("y").alias("py"))
+    close = (F.col("pr") < F.col("r")) & (F.abs(F.col("px") - F.col("x")) <= widest.x) & (F.abs(F.col("py") - F.col("y")) <= widest.y)
+    pairs = several.join(before, (F.col("key") == F.col("pkey")) & close).drop("pkey", "pr")
+    reached = F.col("px").between(F.col("__x0"), F.col("__x1")) & F.col("py").between(F.col("__y0"), F.col("__y1"))
+    first = _met(cells, "x", "y", lambda c: _joined(pairs, c, "x", "y", bounds).filter(reached)).select("key", "r", "px", "py", F.col("__region").alias("of"))
+    levels = sorted(r.level for r in cells.select("level").distinct().collect())
+    dealt = first.withColumn("__cell", F.explode(_places(F.col("px"), F.col("py"), levels)))
+    on = reduce(lambda p, q: p & q, [F.col("of") == F.col("__region"), *(F.col(f"__cell.{c}") == F.col(f"__{c}") for c in ("level", "ci", "cj"))])
+    both = _met(cells, "px", "py", lambda c: dealt.join(c.select(*[F.col(k).alias(f"__{k}") for k in ("level", "ci", "cj", "tests", "region")]).hint("merge"), on))
+    again = both.select("of", "key", "r").distinct().groupBy(F.col("of").alias("region")).agg(zero.alias("n"), (-F.count(F.lit(1))).alias("u"))
+    return counts.unionAll(many).unionAll(again).groupBy("region").agg(F.sum("n").alias("n"), F.sum("u").alias("n_keys"))

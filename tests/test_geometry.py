@@ -143,3 +143,17 @@ def test_tracks_of_a_region_with_points_a_rounding_off_a_side(spark):
     p, inside = near_a_slope(spark)
     out = regions.region_tracks(p.withColumn("timestamp", F.lit("2020-01-01").cast("timestamp_ntz")), NOTCH).collect()
     assert {r.start_cindex for r in out} == {k for k, i in enumerate(inside) if i}
+
+
+@pytest.mark.parametrize("rows", [0, cover.ROWS])
+def test_counts_in_regions_and_what_is_broadcast(spark, many, monkeypatch, rows):
+    monkeypatch.setattr(cover, "ROWS", rows)
+    table, points = many
+    cells = cover.cover(spark.createDataFrame(table, "region int, wkt string").withColumn("parts", G.parts_of_wkt("wkt")))
+    # Keys with a few places, with many, and none; places that repeat.
+    keys = [None if k % 11 == 0 else f"m{k % 3}" if k % 5 == 0 else f"f{k // 9}" for k in range(len(points))]
+    p = spark.createDataFrame([(key, float(x), float(y)) for key, (x, y) in zip(keys, points, strict=True)] * 2 + [("f0", None, 1.0), ("f0", float("nan"), 1.0)], "uid string, lon double, lat double")
+    each = cover.in_regions(p, cells)
+    want = each.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uid").alias("n_keys")).collect()
+    assert sorted(map(tuple, cover.counts_in_regions(p, cells).collect())) == sorted(map(tuple, want)) and len(want) > 20
+    assert ("BroadcastHashJoin" in each._jdf.queryExecution().executedPlan().toString()) == (rows > 0)
