@@ -157,3 +157,19 @@ def test_counts_in_regions_and_what_is_broadcast(spark, many, monkeypatch, rows)
     want = each.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uid").alias("n_keys")).collect()
     assert sorted(map(tuple, cover.counts_in_regions(p, cells).collect())) == sorted(map(tuple, want)) and len(want) > 20
     assert ("BroadcastHashJoin" in each._jdf.queryExecution().executedPlan().toString()) == (rows > 0)
+
+
+def test_geometries_judged_together_are_as_each_alone(monkeypatch):
+    rng = np.random.default_rng(1)
+
+    def ring():
+        x, y, w, h = rng.integers(0, 9, 4)
+        r = rng.integers(0, 6, (int(rng.integers(3, 7)), 2)).astype(float) if rng.random() < 0.25 else np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+        return np.vstack([r, r[:1]]) if rng.random() < 0.95 else r
+
+    values = [G.read_wkt(t) for t in [*SHAPES, *BAD]] + [[[ring() for _ in range(rng.integers(1, 4))] for _ in range(rng.integers(1, 4))] for _ in range(3000)]
+    want = [G.is_valid(v) for v in values]
+    assert G.are_valid(G.flat_of(G.nested(values))).tolist() == want and 150 < sum(want)
+    monkeypatch.setattr(G, "is_valid", lambda parts: pytest.fail("one by one"))  # but for parts within parts
+    plain = [v for v, t in zip(values, SHAPES, strict=False) if not t.startswith("MULTIPOLYGON")]
+    assert G.are_valid(G.flat_of_parts(plain)).tolist() == [w for w, t in zip(want, SHAPES, strict=False) if not t.startswith("MULTIPOLYGON")]
