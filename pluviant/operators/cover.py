@@ -164,27 +164,35 @@ def _places(lon: Column, lat: Column, levels: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(lon / 2.0**k).alias("ci"), F.floor(lat / 2.0**k).alias("cj")) for k in levels])
 
 
+def _used(cells: DataFrame) -> tuple[list[int], bool]:
+    """Levels of cells, and whether there are few enough of them to be broadcast."""
+    used = cells.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("tests", F.lit(0), lambda n, t: n + F.size(t["edges"]))).alias("edges")).collect()
+    return sorted(r.level for r in used) or [0], sum(r.n for r in used) <= ROWS and sum(r.edges for r in used) <= TESTED
+
+
 def _joined(points: DataFrame, cells: DataFrame, lon: str, lat: str, bounds: DataFrame | None = None) -> DataFrame:
     """points with tests and region of `cells`, and what `bounds` has of that region, prefixed by __, for every row of their cell.
 
     The optimizer knows nothing of how many cells a region has, so what is broadcast is decided by the rows and edges that there are.
     """
-    used = cells.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("tests", F.lit(0), lambda n, t: n + F.size(t["edges"]))).alias("edges")).collect()
-    near = cells.select("level", "ci", "cj", "tests", "region")
+    levels, small = _used(cells)
+    near = cells.select("level", "ci", "cj", "whole", "tests", "region")
     near = near if bounds is None else near.join(bounds, "region")
     near = near.select(*[F.col(c).alias(f"__{c}") for c in near.columns])
-    small = sum(r.n for r in used) <= ROWS and sum(r.edges for r in used) <= TESTED
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    places = _places(x, y, sorted(r.level for r in used) or [0])
+    places = _places(x, y, levels)
     dealt = points.filter(x.isNotNull() & ~F.isnan(x) & y.isNotNull() & ~F.isnan(y)).withColumn("__cell", F.explode(places))
     on = reduce(lambda p, q: p & q, [F.col(f"__cell.{c}") == F.col(f"__{c}") for c in ("level", "ci", "cj")])
     return dealt.join(near.hint("broadcast" if small else "merge"), on)
 
 
 def _met(cells: DataFrame, lon: str, lat: str, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What `join` gives of whole cells, and of the others where the point is inside."""
-    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    return join(cells.filter("whole")).drop("__tests").unionAll(join(cells.filter("not whole")).filter(_hit(x, y, F.col("__tests"))).drop("__tests"))
+    """What `join` gives of whole cells, and of the others where the point is inside. Only rows of the others pass through Python, unless
+    there are few cells: then points are read once."""
+    hit = _hit(F.col(lon).cast("double"), F.col(lat).cast("double"), F.col("__tests"))
+    if _used(cells)[1]:
+        return join(cells).filter(F.col("__whole") | hit).drop("__whole", "__tests")
+    return join(cells.filter("whole")).drop("__whole", "__tests").unionAll(join(cells.filter("not whole")).filter(hit).drop("__whole", "__tests"))
 
 
 def in_regions(points: DataFrame, cells: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -229,6 +237,6 @@ def counts_in_regions(points: DataFrame, cells: DataFrame, key: str = "uid", lon
     levels = sorted(r.level for r in cells.select("level").distinct().collect())
     dealt = first.withColumn("__cell", F.explode(_places(F.col("px"), F.col("py"), levels)))
     on = reduce(lambda p, q: p & q, [F.col("of") == F.col("__region"), *(F.col(f"__cell.{c}") == F.col(f"__{c}") for c in ("level", "ci", "cj"))])
-    both = _met(cells, "px", "py", lambda c: dealt.join(c.select(*[F.col(k).alias(f"__{k}") for k in ("level", "ci", "cj", "tests", "region")]).hint("merge"), on))
+    both = _met(cells, "px", "py", lambda c: dealt.join(c.select(*[F.col(k).alias(f"__{k}") for k in ("level", "ci", "cj", "whole", "tests", "region")]).hint("merge"), on))
     again = both.select("of", "key", "r").distinct().groupBy(F.col("of").alias("region")).agg(zero.alias("n"), (-F.count(F.lit(1))).alias("u"))
     return counts.unionAll(many).unionAll(again).groupBy("region").agg(F.sum("n").alias("n"), F.sum("u").alias("n_keys"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import centroid, mercator_length_km, point_wkt, readable, wkt_rings
-from ..functions.geometry import parts_of_wkt, valid
+from ..functions.geometry import valid_centroid
 from ..functions.scalar import bearing, cell_centre, haversine, month_start, quadrant_id, round_up_nicely, sector, wrap_longitude
 from ..session import durable
 from .ordered import rolling_mean
@@ -23,7 +23,8 @@ def with_centroids(tracks: DataFrame, geometry: str = "geometry") -> DataFrame:
 def with_valid_centroids(tracks: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Like `with_centroids`, of rows whose geometry isn't blank and is a valid polygon, or several."""
     text = F.col(geometry)
-    return with_centroids(tracks.filter(text.isNotNull() & (F.length(F.trim(text)) > 0)).filter(valid(parts_of_wkt(text))), geometry)
+    rows = tracks.filter(text.isNotNull() & (F.length(F.trim(text)) > 0)).withColumn("__c", valid_centroid(text)).filter("__c is not null")
+    return rows.withColumn("lon", F.col("__c.x")).withColumn("lat", F.col("__c.y")).drop("__c")
 
 
 def only(tracks: DataFrame, uids: DataFrame | None) -> DataFrame:

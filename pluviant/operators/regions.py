@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import point_in_polygon, rings_literal
 from ..functions.geometry import PARTS
+from ..session import stored
 from .cover import cover, in_regions
 from .motion import start_end, with_valid_centroids
 
@@ -42,12 +43,18 @@ def clip(df: DataFrame, region: Region, srid: int = 4326, lon: str = "lon", lat:
     return near.filter(inside)
 
 
+def _placed(tracks: DataFrame, geometry: str) -> DataFrame:
+    """What `start_end` needs of rows with a valid polygon, written once: it is read to find systems and for their ends."""
+    path = [c for c in ("trajectory",) if c in tracks.columns]
+    return stored(with_valid_centroids(tracks, geometry).select("uid", "cindex", "timestamp", "lon", "lat", *path))
+
+
 def tracks_of_regions(tracks: DataFrame, regions: DataFrame, id_col: str = "region", parts_col: str = "parts", geometry: str | None = None) -> DataFrame:
     """For a table of regions: region, and start, end and distance of the whole track of every system that is ever in it.
 
     With `geometry`, a column of WKT, a row's place is its geometry's centroid, and rows whose polygon isn't valid don't count.
     """
-    rows = tracks if geometry is None else with_valid_centroids(tracks, geometry)
+    rows = tracks if geometry is None else _placed(tracks, geometry)
     met = in_regions(rows.select("uid", "lon", "lat"), cover(regions, id_col, parts_col)).select("uid", "region").distinct()
     ends = start_end(rows, met.select("uid").distinct())
     return met.join(ends, "uid")
@@ -56,7 +63,7 @@ def tracks_of_regions(tracks: DataFrame, regions: DataFrame, id_col: str = "regi
 def region_tracks(tracks: DataFrame, region: Region, srid: int = 4326, geometry: str | None = None) -> DataFrame:
     """Start, end and distance of the whole track of every system that is ever in the region. With `geometry`, a column of WKT, places are
     centroids, and rows whose polygon isn't valid don't count."""
-    tracks = tracks if geometry is None else with_valid_centroids(tracks, geometry)
+    tracks = tracks if geometry is None else _placed(tracks, geometry)
     return start_end(tracks, clip(tracks, region, srid).select("uid").distinct())
 
 

@@ -173,3 +173,12 @@ def test_geometries_judged_together_are_as_each_alone(monkeypatch):
     monkeypatch.setattr(G, "is_valid", lambda parts: pytest.fail("one by one"))  # but for parts within parts
     plain = [v for v, t in zip(values, SHAPES, strict=False) if not t.startswith("MULTIPOLYGON")]
     assert G.are_valid(G.flat_of_parts(plain)).tolist() == [w for w, t in zip(want, SHAPES, strict=False) if not t.startswith("MULTIPOLYGON")]
+
+
+def test_geometry_of_tracks_is_read_once(spark):
+    rows = [(f"u{k}", 1, f"POLYGON (({k} 0, {k + 1} 0, {k + 1} 1, {k} 1, {k} 0))") for k in range(5)] + [("u0", 2, "POLYGON ((9 0, 9 1, 8 0, 8 1, 9 0))")]
+    t = spark.createDataFrame(rows, "uid string, cindex long, geometry string").withColumn("timestamp", F.lit("2020-01-01").cast("timestamp_ntz"))
+    table = spark.createDataFrame([(7, "POLYGON ((0 0, 3 0, 3 3, 0 3, 0 0))")], "region int, wkt string").withColumn("parts", G.parts_of_wkt("wkt"))
+    out = regions.tracks_of_regions(t, table, geometry="geometry")
+    assert sorted((r.uid, r.end_cindex, r.lon1, r.lat2) for r in out.collect()) == [(f"u{k}", 1, k + 0.5, 0.5) for k in range(3)]
+    assert "POLYGON" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "geometry" not in plan
