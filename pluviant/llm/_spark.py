@@ -97,6 +97,23 @@ def labelled_texts(ids: DataFrame, texts: DataFrame, per_label: int) -> list[tup
     return sorted(tuple(r) for r in got.collect())
 
 
+def nth_value(counts: DataFrame, rank: int) -> float:
+    """Of distinct values v and their counts c, the value at a rank from 0. A range that holds it is halved until few values are left."""
+    counts = durable(counts)
+    low, high = counts.agg(F.min("v"), F.max("v")).first()
+    while True:
+        middle = low + (high - low) / 2
+        part = counts.filter(F.col("v").between(low, high))
+        n = part.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("v") <= middle, F.col("c"))), F.lit(0)).alias("c"), F.max(F.when(F.col("v") <= middle, F.col("v"))).alias("a"), F.min(F.when(F.col("v") > middle, F.col("v"))).alias("z")).first()
+        if n.n <= 10_000 or n.z is None:
+            for v, c in sorted((r.v, r.c) for r in part.select("v", "c").collect()):
+                rank -= c
+                if rank < 0:
+                    return v
+            raise ValueError("the rank is beyond the values")
+        low, high, rank = (low, n.a, rank) if rank < n.c else (n.z, high, rank - n.c)
+
+
 def size_estimate(df: DataFrame, unknown: int = 256 << 20) -> int:
     """Bytes of the input as Catalyst estimates them; no job runs. Spark's huge default means that it can't tell."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

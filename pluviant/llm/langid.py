@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, text_chunks
-from ._spark import labelled_texts
+from ._spark import durable, labelled_texts, nth_value
 
 LETTER = r"\p{L}"
 WINDOW = 192
@@ -167,9 +167,9 @@ class Gate(NamedTuple):
 
 
 def fit_gate(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int = 500, loss: float = 0.001, seed: int = 5) -> Gate | None:
-    """Learn from labelled rows that are not held out and from made-up texts in no language. The limit is a half, or more
-    if over a share `loss` of the labelled texts that are held out would go by it; it doesn't depend on how many languages
-    there are. None without labels."""
+    """Learn from labelled rows that are not held out, of at most `per_label` ids of each label, and from made-up texts in no language. The
+    limit is a half, or more if over a share `loss` of all labelled texts that are held out would go by it; it doesn't depend on how
+    many languages there are. None without labels."""
     rows = _labelled(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, per_label)
     if not rows:
         return None
@@ -177,11 +177,36 @@ def fit_gate(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lab
     texts = [t.encode() for _, t in rows]
     made = [no_language(t, rng) for t in texts]
     net = train(texts + made, [lang for lang, _ in rows] + [NO_LANGUAGE] * len(made), steps=800)
-    none = net.labels.index(NO_LANGUAGE)
-    own = tables(net)
-    other = [t for _, t in _labelled(docs.filter(held_out(id_col)), id_col, text_col, lang_col, per_label)]
-    seen = np.sort(np.concatenate([m[:, none] for _, m in means(net, own, pa.array(other, pa.string()))])) if other else np.zeros(0)
-    return Gate(net, float(max(0.5, seen[int(len(seen) * (1 - loss))])) if len(seen) else 0.5)
+    return Gate(net, limit_of(docs.filter(held_out(id_col)), net, text_col, lang_col, loss))
+
+
+def limit_of(docs: DataFrame, net: Net, text_col: str, lang_col: str, loss: float) -> float:
+    """The least limit, a half or more, by which at most a share `loss` of all labelled texts with a letter in `docs` go.
+
+    Every one is judged. Only those that are more like no language than a half bear on the limit, so these values are written and
+    the one of the wanted rank among them is selected.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        own, none = tables(net), net.labels.index(NO_LANGUAGE)
+        for batch in batches:
+            like = np.concatenate([np.zeros(0), *(mean[:, none] for _, mean in means(net, own, batch.column(0)))])
+            over = like[like > 0.5]
+            yield pa.RecordBatch.from_arrays([pa.array([len(like)], pa.int64()), pa.array([over], pa.list_(pa.float64()))], ["n", "over"])
+
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))).select(F.col(text_col).alias("text"))
+    judged = durable(rows.mapInArrow(run, "n long, over array<double>"))
+    seen = judged.agg(F.sum("n").alias("n"), F.sum(F.size("over")).alias("over")).first()
+    if not seen.over:
+        return 0.5
+    # Of n values in order the one at n (1 - loss), counted from the first of those over a half.
+    rank = int(seen.n * (1 - loss)) - (seen.n - seen.over)
+    if rank < 0:
+        return 0.5
+    counts = judged.select(F.explode("over").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    return float(nth_value(counts, rank))
 
 
 def means(net: Net, own: list[list[np.ndarray]], texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -666,3 +667,22 @@ def test_lm_scores_of_equal_rows(spark):
     source = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = sorted((str(r.doc_id), r.n_tokens, r.n_backoff, round(r.log_prob, 4)) for r in LM.lm_scores(source, buckets=4).collect())
     assert got == [(i, n, back, round(p, 4)) for i, n, back, p in lm_by_hand([(i, t) for i, t in rows], 3, 1, False)]
+
+
+def test_gate_limit_is_of_all_held_out_texts(spark, monkeypatch):
+    from pluviant.llm import _spark
+
+    words = ["the cat sat on the mat", "der hund lief in den wald", "q7 zx 0f 9b 1c", "le chat dort ici"]
+    rows = [(k, f"{words[k % 4]} {k * k % 97} {words[(k // 7) % 4]}", "en" if k % 2 else "de") for k in range(400)]
+    docs = spark.createDataFrame([*rows, (400, None, "en"), (401, "12", "en"), (402, "a text", None)], "doc_id long, text string, lang string").repartition(3)
+    net = L.train([t.encode() for _, t, _ in rows[:60]] + [b"0f 1b 9c 7d"] * 20, [x for _, _, x in rows[:60]] + [L.NO_LANGUAGE] * 20, steps=30)
+    like = np.sort(np.concatenate([m[:, net.labels.index(L.NO_LANGUAGE)] for _, m in L.means(net, L.tables(net), pa.array([t for _, t, _ in rows]))]))
+    for loss in (0.001, 0.1, 0.4, 0.99):
+        assert L.limit_of(docs, net, "text", "lang", loss) == pytest.approx(max(0.5, like[int(len(like) * (1 - loss))]), rel=1e-9)
+    values = spark.createDataFrame([(v / 7, 1 + v % 3) for v in range(30_000)], "v double, c long")
+    each = np.repeat(np.arange(30_000) / 7, 1 + np.arange(30_000) % 3)
+    assert [_spark.nth_value(values, k) for k in (0, 31_234, len(each) - 1)] == [each[0], each[31_234], each[-1]]
+    seen = []
+    monkeypatch.setattr(L, "limit_of", lambda docs, *a: seen.append(docs.count()) or 0.5)
+    L.fit_gate(docs, "doc_id", "text", "lang", per_label=2)
+    assert seen == [docs.filter(L.held_out()).count()]
