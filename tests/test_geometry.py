@@ -182,3 +182,10 @@ def test_geometry_of_tracks_is_read_once(spark):
     out = regions.tracks_of_regions(t, table, geometry="geometry")
     assert sorted((r.uid, r.end_cindex, r.lon1, r.lat2) for r in out.collect()) == [(f"u{k}", 1, k + 0.5, 0.5) for k in range(3)]
     assert "POLYGON" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "geometry" not in plan
+
+
+def test_columns_made_of_a_geometry_read_it_once(spark):
+    rows = spark.createDataFrame([("POINT (1 2)",)], "t string").select(G.parts_of_wkt("t").alias("p"))
+    rows = rows.select("p", G.wkb_of("p").alias("wkb"), G.wkt_of("p").alias("wkt"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and rows.first().wkt == "POINT (1 2)"
