@@ -1,8 +1,8 @@
 """Byte-level BPE: texts to ids by ranked merges of byte arrays, and ids back to bytes.
 
-A task cuts its texts by the tokenizer's pattern and numbers the distinct pieces of a block of texts. Each distinct piece
-is one row: an array of ids that starts as its bytes, folded by Spark's array functions, the pair of the lowest rank first
-and the leftmost of equal ones. A text's row follows those of its block and holds its pieces' numbers, so no row is shuffled.
+A task cuts its texts by the tokenizer's pattern and numbers the distinct pieces of a block of texts. The distinct pieces are
+merged together, in rounds over one array of all their ids: in each round every piece merges the pair of the lowest rank, the
+leftmost of equal ones. Texts then gather their pieces' ids, so no row is shuffled.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text whose distinct pieces are folded once.
+#: Characters of text whose distinct pieces are merged once.
 BLOCK_BYTES = 32 << 20
+#: Distinct pieces that are merged together.
+PIECES = 1 << 15
 #: Ids of texts that are handed on together.
 TOGETHER = 1 << 20
-#: Pieces of more bytes are merged with a heap in the task, as each merge of an array copies it.
+#: Pieces of more bytes are merged with a heap, as each round copies what is left of all pieces.
 LONG_PIECE = 256
 #: Ids are below LIMIT; NONE is what a pair merges into that isn't one.
 LIMIT, NONE = 1 << 17, (1 << 31) - 1
@@ -37,7 +39,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Vocabulary(NamedTuple):
     """ranks by bytes, the ids of the 256 bytes, what two bytes merge into, and the pieces one after another with their
-    offsets by id. The first id without a piece is a border, which merges with nothing."""
+    offsets by id."""
 
     ranks: dict[bytes, int]
     of_byte: np.ndarray
@@ -64,9 +66,8 @@ def vocabulary(ranks: dict[bytes, int]) -> Vocabulary:
 
 
 def _slots(a, b, shift, factor: int):
-    """Group and slot of a pair of ids, given the group's shift; for numpy arrays and columns alike, so only sums, products and bits."""
-    bits = lambda x, n: x.bitwiseAND(F.lit(n - 1)) if isinstance(x, Column) else x & (n - 1)
-    return bits(a * 8191 + b, GROUPS), bits(shift + b * factor + a, SLOTS)
+    """Group and slot of a pair of ids, given the group's shift."""
+    return (a * 8191 + b) & (GROUPS - 1), (shift + b * factor + a) & (SLOTS - 1)
 
 
 def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -95,51 +96,52 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
     return shifts, np.where(slots < 0, 1 << 60, slots), factor  # no pair with a free slot's bits
 
 
-def _literal(spark: SparkSession, values: np.ndarray) -> Column:
-    """An array literal; values pass as one buffer, as a call for each takes minutes."""
-    gateway = spark.sparkContext._gateway
-    kind, view = (gateway.jvm.int, "asIntBuffer") if values.dtype == np.int32 else (gateway.jvm.long, "asLongBuffer")
-    out = gateway.new_array(kind, len(values))
-    getattr(gateway.jvm.java.nio.ByteBuffer.wrap(values.astype(values.dtype.newbyteorder(">")).tobytes()), view)().get(out)
-    return Column(gateway.jvm.org.apache.spark.sql.functions.lit(out))
+def merged_pieces(joined: np.ndarray, sizes: np.ndarray, words: Vocabulary, maps: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces given one after another as bytes, none empty, and how many ids each has.
 
-
-def folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Rows with `ids`, the ids of a piece's bytes between two borders, and `merges`, what each of them and the next one
-    merge into (NONE or more for nothing) -> the other columns and `ids` after all merges, without borders. Null ids stay null.
-
-    `aggregate` folds over the piece's bytes: the least of `merges` is the next merge, the first place that has it is merged,
-    and only the two pairs beside it are looked up anew.
+    In a round every piece that isn't done merges one pair, that of the lowest rank and the leftmost of equal ones; only the
+    two pairs beside it are looked up anew.
     """
-    *arrays, factor = rank_map(ranks)
-    shifts, slots = (_literal(pieces.sparkSession, x) for x in arrays)
-
-    def fold(maps: Column) -> Column:
-        def merged(a: Column, b: Column) -> Column:
-            group, _ = _slots(a, b, F.lit(0), factor)
-            _, slot = _slots(a, b, F.get(maps["shifts"], group), factor)
-            pair = F.shiftleft(a.cast("long"), 34) + F.shiftleft(b.cast("long"), 17)
-            return F.get(maps["slots"], slot).bitwiseXOR(pair)  # the id alone if the slot has this pair, else a great number
-
-        def further(state: Column, _: Column) -> Column:
-            ids, merges = state["ids"], state["merges"]
-
-            def merge(at: Column) -> Column:  # a border at either end means that there is always a neighbour
-                new = F.get(merges, at - 1).cast("int")
-                left, right = merged(F.get(ids, at - 2), new), merged(new, F.get(ids, at + 1))
-                others = lambda x: F.filter(x, lambda _, k: k != at)
-                joined = F.transform(others(ids), lambda x, k: F.when(k == at - 1, new).otherwise(x))
-                beside = F.transform(others(merges), lambda x, k: F.when(k == at - 2, left).when(k == at - 1, right).otherwise(x))
-                return F.struct(joined.alias("ids"), beside.alias("merges"))
-
-            least = F.array_min(merges)
-            return F.when(least >= LIMIT, state).otherwise(F.element_at(F.transform(F.array(F.array_position(merges, least).cast("int")), merge), 1))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size("ids") - 3), F.struct("ids", "merges"), further, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
-
-    maps = F.array(F.struct(shifts.alias("shifts"), slots.alias("slots")))
-    done = F.when(F.col("ids").isNotNull(), F.element_at(F.transform(maps, fold), 1))
-    return pieces.select(*[c for c in pieces.columns if c not in ("ids", "merges")], done.alias("ids"))
+    shifts, slots, factor = maps
+
+    def looked_up(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        group, _ = _slots(a, b, 0, factor)
+        _, slot = _slots(a, b, shifts[group], factor)
+        found = slots[slot] ^ (a << 34 | b << 17)  # the id alone if the slot has this pair, else a great number
+        return np.where(found < LIMIT, found, NONE)
+
+    left, size, ids = np.arange(len(sizes)), sizes.astype(np.int64), words.of_byte[joined]
+    merges = np.full(len(ids), NONE, np.int32)  # what an id and the next one of its piece merge into
+    merges[:-1] = words.of_two[joined[:-1], joined[1:]]
+    merges[np.cumsum(size) - 1] = NONE
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(left):
+        least = np.minimum.reduceat(merges, np.cumsum(size) - size)
+        if (over := least == NONE).any():
+            out = np.repeat(over, size)
+            done.append((left[over], size[over], ids[out]))
+            left, size, least, ids, merges = left[~over], size[~over], least[~over], ids[~out], merges[~out]
+            if not len(left):
+                break
+        ends = np.cumsum(size)
+        hit = np.flatnonzero(merges == np.repeat(least, size))
+        of = np.searchsorted(ends, hit, "right")
+        at = hit[np.concatenate([[True], of[1:] != of[:-1]])]
+        ids[at], merges[at] = least, NONE
+        right, before = at[at + 2 < ends], at[at > ends - size]
+        merges[right] = looked_up(ids[right], ids[right + 2])
+        merges[before - 1] = looked_up(ids[before - 1], ids[before])
+        stay = np.ones(len(ids), bool)
+        stay[at + 1] = False
+        ids, merges, size = ids[stay], merges[stay], size - 1
+    counts = np.zeros(len(sizes), np.int64)
+    for which, n, _ in done:
+        counts[which] = n
+    starts, every = np.cumsum(counts) - counts, np.zeros(counts.sum(), np.int32)
+    for which, n, found in done:
+        every[np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
+    return every, counts
 
 
 def merged_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -172,72 +174,23 @@ class Numbers(dict):
         return number
 
 
-def _cut(docs: DataFrame, words: Vocabulary, pattern: str, block: int) -> DataFrame:
-    """Of each block of texts: a row for each distinct piece (`ids` and `merges` as `folded` takes them, or `whole` if nothing
-    is to be merged any more), then one for each text (numbers of its pieces, and the columns of docs other than text)."""
-    import pyarrow as pa
-
-    keys = [f for f in docs.columns if f != "text"]
-    head = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
-    ranks, of_byte, of_two, border = words.ranks, words.of_byte, words.of_two, len(words.offsets)
-    schema = f"ids array<int>, merges array<long>, whole array<int>, pieces binary{', ' + head if head else ''}"
-
-    def listed(values: np.ndarray, sizes: np.ndarray, missing: np.ndarray) -> pa.ListArray:
-        offsets = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(sizes, out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(missing))
-
-    def rows(held: pa.RecordBatch, pieces: list[str], numbers: list[bytes]) -> pa.RecordBatch:
-        raw = [p.encode() for p in pieces]
-        done = [[ranks[p]] if p in ranks else merged_with_heap(p, ranks) if len(p) > LONG_PIECE else None for p in raw]
-        missing = np.array([d is not None for d in done], bool)
-        sizes = np.array([0 if d is not None else len(p) for p, d in zip(raw, done, strict=True)], np.int64)
-        joined = np.frombuffer(b"".join(p for p, d in zip(raw, done, strict=True) if d is None), np.uint8)
-        n, m, inner = len(raw), len(numbers), sizes[~missing]
-        ids, merges = np.full(len(joined) + 2 * len(inner), border, np.int32), np.full(len(joined) + len(inner), NONE, np.int64)
-        first = np.cumsum(inner) - inner  # of each piece's bytes
-        nth = np.repeat(np.arange(len(inner)), inner)
-        ids[np.arange(len(joined)) + 2 * nth + 1] = of_byte[joined]
-        inside = np.ones(len(joined), bool)
-        inside[first] = False
-        at = np.flatnonzero(inside)
-        merges[at + nth[at]] = of_two[joined[at - 1], joined[at]]
-        a, b = listed(ids, np.where(missing, 0, sizes + 2), missing), listed(merges, np.where(missing, 0, sizes + 1), missing)
-        blank = [pa.concat_arrays([pa.nulls(n, held.schema.field(k).type), held.column(k)]) for k in range(len(keys))]
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in (a, b)] + [pa.array(done + [None] * m, pa.list_(pa.int32())), pa.array([None] * n + numbers, pa.binary()), *blank],
-            ["ids", "merges", "whole", "pieces", *keys],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        cut = regex.compile(pattern).findall
-        number = Numbers()
-        numbers, size = [], 0
-        held: list[tuple[pa.RecordBatch, int, int]] = []  # rows from, to
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if numbers:
-                whole = pa.Table.from_batches([batch.slice(a, b - a) for batch, a, b in held]).combine_chunks()
-                out = rows(whole.to_batches()[0], list(number), numbers)
-                yield from (out.slice(k, 1 << 16) for k in range(0, len(out), 1 << 16))
-
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            own = batch.select(keys)
-            held.append((own, 0, 0))
-            for k, text in enumerate(texts):
-                got = text.as_py() or ""
-                numbers.append(np.fromiter(map(number.__getitem__, cut(got)), np.int32).tobytes())
-                held[-1] = (own, held[-1][1], k + 1)
-                size += len(got)
-                if size >= block:
-                    yield from flush()
-                    number, numbers, held, size = Numbers(), [], [(own, k + 1, k + 1)], 0
-        yield from flush()
-
-    return docs.select("text", *keys).mapInArrow(run, schema)
+def _ids_of(pieces: list[str], words: Vocabulary, maps: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct pieces, one after another, and how many each has."""
+    flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(pieces), PIECES):
+        raw = [p.encode() for p in pieces[k : k + PIECES]]
+        done = [[words.ranks[p]] if p in words.ranks else merged_with_heap(p, words.ranks) if len(p) > LONG_PIECE or not p else None for p in raw]
+        rest = [p for p, d in zip(raw, done, strict=True) if d is None]
+        folded, sizes = merged_pieces(np.frombuffer(b"".join(rest), np.uint8), np.array([len(p) for p in rest], np.int64), words, maps)
+        count, known = np.array([-1 if d is None else len(d) for d in done]), [x for d in done if d is not None for x in d]
+        whole = count >= 0
+        count[~whole] = sizes
+        of_known = np.repeat(whole, count)
+        ids = np.empty(len(of_known), np.int32)
+        ids[of_known], ids[~of_known] = known, folded
+        flat.append(ids)
+        counts.append(count)
+    return np.concatenate(flat), np.concatenate(counts)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
@@ -260,50 +213,49 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, made: Callab
     needn't pass to another worker."""
     import pyarrow as pa
 
-    words = vocabulary(ranks)
+    words, maps = vocabulary(ranks), rank_map(ranks)
     names = [c for c in docs.columns if c not in (text_col, *kinds)]
     safe = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"k{n}") for n, c in enumerate(names)])
     keys = [f"k{n}" for n in range(len(names))]
-    cut = _cut(safe, words, pattern, block)
-    done = folded(cut, ranks).withColumn("ids", F.coalesce("ids", "whole")).drop("whole")
     head = "".join(f", {k} {safe.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, sizes, starts = [], [], None  # of the block's pieces
-        for batch in batches:
-            pieces, ids = batch.column(batch.schema.get_field_index("pieces")), batch.column(batch.schema.get_field_index("ids"))
-            texts = np.flatnonzero(pieces.is_valid().to_numpy(zero_copy_only=False))
-            k = 0
-            while k < len(batch):
-                if not len(texts) or k < texts[0]:  # pieces up to the next text
-                    stop = int(texts[0]) if len(texts) else len(batch)
-                    if starts is not None:
-                        flat, sizes, starts = [], [], None
-                    part = ids.slice(k, stop - k)
-                    flat.append(part.flatten().to_numpy())
-                    sizes.append(part.value_lengths().to_numpy())
-                    k = stop
-                    continue
-                if starts is None:
-                    every, size = np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
-                    starts = np.cumsum(size) - size
-                gap = np.flatnonzero(np.diff(texts) > 1)
-                stop = int(texts[gap[0]] if len(gap) else texts[-1]) + 1
-                texts_ids, size_held, first = [], 0, k
-                for j in range(k, stop):
-                    numbers = np.frombuffer(pieces[j].as_buffer(), np.int32)
-                    lengths = size[numbers]
+        import regex
+
+        cut = regex.compile(pattern).findall
+        number = Numbers()
+        held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []  # rows without their texts, the numbers of each one's pieces
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            every, counts = _ids_of(list(number), words, maps)
+            starts = np.cumsum(counts) - counts
+            for own, numbers in held:
+                texts, total, first = [], 0, 0
+                for j, n in enumerate(numbers):
+                    lengths = counts[n]
                     ends = np.cumsum(lengths)
-                    total = int(ends[-1]) if len(ends) else 0
-                    found = every[np.repeat(starts[numbers] - (ends - lengths), lengths) + np.arange(total)]
-                    texts_ids.append(found)
-                    size_held += total
-                    if size_held >= TOGETHER or j == stop - 1:
-                        yield pa.RecordBatch.from_arrays([*made(texts_ids), *(batch.column(batch.schema.get_field_index(c)).slice(first, len(texts_ids)) for c in keys)], [*kinds, *keys])
-                        texts_ids, size_held, first = [], 0, j + 1
-                texts, k = texts[stop - k :], stop
-
-    out = done.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + head)
+                    texts.append(every[np.repeat(starts[n] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)])
+                    total += len(texts[-1])
+                    if total >= TOGETHER or j == len(numbers) - 1:
+                        yield pa.RecordBatch.from_arrays([*made(texts), *(c.slice(first, len(texts)) for c in own.columns)], [*kinds, *keys])
+                        texts, total, first = [], 0, j + 1
+
+        for batch in batches:
+            texts, own = batch.column(0), batch.select(keys)
+            first, numbers = 0, []
+            for k, text in enumerate(texts):
+                got = text.as_py() or ""
+                numbers.append(np.fromiter(map(number.__getitem__, cut(got)), np.int32))
+                size += len(got)
+                if size >= block:
+                    held.append((own.slice(first), numbers))
+                    yield from flush()
+                    number, held, size, first, numbers = Numbers(), [], 0, k + 1, []
+            held.append((own.slice(first), numbers))
+        yield from flush()
+
+    out = safe.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + head)
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, names, strict=True)], *kinds)
 
 

@@ -171,6 +171,15 @@ def test_heap_merges_like_the_fold(ranks, library):
         assert bpe.merged_with_heap(piece, ranks) == library._encode_single_piece(piece)
 
 
+def test_pieces_merged_together_are_those_of_the_library(spark, docs, ranks, library):
+    rng = random.Random(3)
+    pieces = ["".join(rng.choice("aaabcdeé the") for _ in range(rng.choice([1, 1, 2, 3, 9, 40]))).encode() for _ in range(500)]
+    ids, counts = bpe.merged_pieces(np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces))), bpe.vocabulary(ranks), bpe.rank_map(ranks))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library._encode_single_piece(p) for p in pieces]
+    plan = bpe.bpe_report(docs, PATH, P.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "lambda" not in plan  # no piece is folded by lambdas, which aren't compiled
+
+
 def test_every_pair_has_a_slot_of_its_own(ranks):
     shifts, slots, factor = bpe.rank_map(ranks)
     for piece, rank in list(ranks.items())[::97]:
