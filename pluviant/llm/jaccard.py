@@ -2,9 +2,10 @@
 
 1. A text's set holds the hashes of its shingles, in the order of the hash. Equal sets are one class.
 2. Two sets that are similar enough share one of the first tokens of either (as many as the similarity may miss, and one
-   more). Classes meet by those tokens; tokens with the same list of classes count once.
-3. Where classes meet, sizes and a parity bitmap of each set bound how much two sets can share. Pairs that pass connect
-   candidate clusters; only a spanning forest of them leaves a task.
+   more). Classes meet by those tokens; tokens with the same list of classes count once. Classes of a token that many have
+   meet by bands of size.
+3. Where classes meet, sizes, the token's places and a parity bitmap of each set bound how much two sets can share. Pairs
+   that pass connect candidate clusters; only a spanning forest of them leaves a task.
 4. The whole sets of a cluster come together. A prefix tree holds those already seen; the next one walks it, counting what
    it shares along each path once for all sets below, and leaves a subtree when sizes and what is left of both sides
    can't reach the similarity any more, or when everything below is in its own component already. What passes is linked.
@@ -17,6 +18,7 @@ lost and no task holds more than two blocks.
 from __future__ import annotations
 
 import hashlib
+import math
 from array import array
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ from .components import components
 #: Classes of a token, and tokens of a cluster, that a block holds.
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 2 << 20
+#: Bits of the map by which rows that nobody wants are left out before a shuffle; however many are wanted, 2 MB travel.
+WANTED_BITS = 1 << 24
 
 
 def shingle_sets(chunk: Chunk, size: int) -> Iterator[np.ndarray]:
@@ -249,6 +253,18 @@ def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
     return df.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")
 
 
+def _in_bands(met: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Rows (t, cid, n, c, most) with a band of sizes, and c as the rows of that band; 0 for all sizes if one block suffices.
+
+    A class is in the band of its own size and in those above it up to that of `most`, so it meets any larger one that it
+    allows in the larger one's band.
+    """
+    of = lambda x: F.floor(F.log(x) / (1e-9 - math.log(percent / 100)))
+    bands = met.filter(F.col("c") > block_sets).withColumn("band", F.explode(F.sequence(of(F.col("n")), of(F.greatest("n", "most"))))).drop("c")
+    counted = bands.join(bands.groupBy("t", "band").agg(F.count(F.lit(1)).alias("c")), ["t", "band"])
+    return met.filter(F.col("c") <= block_sets).withColumn("band", F.lit(0).cast("long")).unionByName(counted)
+
+
 def text_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """id, text -> id, key (digest of the set), n, map, first: one row for each row."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -269,6 +285,22 @@ def text_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, key binary, n int, map binary, first array<long>")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (id, text) that `wanted` has, and few others, by a map of hashed ids; the exact join is left to the caller."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
+    nth = place("wanted") + 1  # buckets of bitmaps begin with 1
+    bits = np.zeros(WANTED_BITS // 8, np.uint8)
+    for r in wanted.groupBy(F.bitmap_bucket_number(nth).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(nth)).alias("bits")).collect():
+        bits[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            yield batch.select(["id", "text"]).filter(pa.array((bits[h >> 3] >> (h & 7) & 1).astype(bool)))
+
+    return docs.select("id", "text", place("id").alias("h")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text string")
+
+
 def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
     """id, packed texts -> key, tokens (packed) of the whole set."""
 
@@ -285,32 +317,40 @@ def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def similar_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Classes (cid, key, rep, n, map, first; no empty set) -> node, component: cids of classes with a link to another one."""
-    tokens = classes.select("cid", F.explode("first").alias("t"))
-    lists = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("b")).filter("c > 1")
-    once = lists.groupBy("c", "a", "b").agg(F.min("t").alias("t")).select("t", "c")
-    # A class whose size fits no other of its token needs no bitmap there: in the order of sizes, a neighbour fits or none
-    # does. Groups of several blocks are not gathered for that.
-    met = tokens.join(once, "t").join(classes.select("cid", "n"), "cid").withColumn("apart", F.when(F.col("c") > block_sets, F.col("cid")))
-    by_size = W.partitionBy("t", "apart").orderBy("n")
-    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
-    met = met.withColumn("near", near | F.col("apart").isNotNull()).filter("near").drop("near", "apart").join(classes.select("cid", "map"), "cid")
-    met = _in_blocks(met, F.ceil(F.col("c") / block_sets).cast("long")).select("t", "cell", "n", "cid", "map")
+    tokens = classes.select("cid", F.posexplode("first").alias("i", "t"))
+    lists = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("a"), F.min("cid").alias("least")).filter("c > 1")
+    # Of tokens with the same classes the first in the order of the sets, which is unsigned, is the first that two of them share.
+    unsigned = lambda t: t.bitwiseXOR(F.lit(-(1 << 63)))
+    once = lists.groupBy("c", "a", "least").agg(unsigned(F.min(unsigned(F.col("t")))).alias("t")).select("t", "c")
+    # Both grow with the input, so neither is broadcast. `most`: if t, in place i, is the first token shared, the size of the
+    # largest set that what follows in this one suffices for.
+    met = tokens.join(once.hint("shuffle_hash"), "t").join(classes.select("cid", "n"), "cid")
+    met = stored(met.select("t", "cid", "n", "c", F.expr(f"int(({100 + percent} * bigint(n - i) - {percent} * bigint(n)) div {percent})").alias("most")))
+    cells = _in_bands(met, percent, block_sets)
+    # A class whose size and `most` fit no other of its cell needs no bitmap there: either one before it, in the order of
+    # sizes, allows its size, or it allows the size of the next one. Cells of several blocks are not gathered for that.
+    by_size = W.partitionBy("t", "band", "apart").orderBy("n", "most")
+    near = (F.max("most").over(by_size.rowsBetween(W.unboundedPreceding, -1)) >= F.col("n")) | (F.lead("n").over(by_size) <= F.col("most"))
+    cells = cells.withColumn("apart", F.when(F.col("c") > block_sets, F.col("cid"))).withColumn("near", near | F.col("apart").isNotNull()).filter("near")
+    cells = cells.drop("near", "apart", "most").join(classes.select("cid", "map"), "cid")
+    cells = _in_blocks(cells, F.ceil(F.col("c") / block_sets).cast("long")).select("t", "band", "cell", "n", "cid", "map")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[list[int], np.ndarray]]:
-            for _, rows in _grouped(batches, 2):
+            for _, rows in _grouped(batches, 3):
                 if len(rows) > 1:
-                    yield rows.column(3).to_pylist(), near_by_bitmap(rows.column(2).to_numpy().astype(np.int64), rows.column(4).to_pylist(), percent).root
+                    yield rows.column(4).to_pylist(), near_by_bitmap(rows.column(3).to_numpy().astype(np.int64), rows.column(5).to_pylist(), percent).root
 
         yield from _stars(each())
 
-    edges = met.repartition("t", "cell").sortWithinPartitions("t", "cell", "n").mapInArrow(meet, "u long, v long")
+    edges = cells.repartition("t", "band", "cell").sortWithinPartitions("t", "band", "cell", "n").mapInArrow(meet, "u long, v long")
     clusters = components(edges).select(F.col("node").alias("cid"), "component")
+    dropped(met)
     sized = clusters.join(classes.select("cid", "key", "rep", "n"), "cid")
     total = sized.groupBy("component").agg(F.sum("n").alias("total"))
     sized = durable(sized.join(total, "component").select("component", "cid", "key", "rep", "total"))
     wanted = sized.select(F.col("rep").alias("wanted")).distinct()
-    packed = packed_texts(docs).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")))
+    packed = packed_texts(_likely(docs, wanted)).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")))
     whole = _whole_sets(packed, size).join(sized.drop("rep"), "key")
     whole = _in_blocks(whole, F.ceil(F.col("total") / block_tokens).cast("long")).select("component", "cell", "cid", "tokens")
     links = _link_clusters(whole.repartition("component", "cell").sortWithinPartitions("component", "cell", "cid"), percent)

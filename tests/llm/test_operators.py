@@ -203,6 +203,36 @@ def test_jaccard(docs, clashing, corpus, size, percent, blocks):
     assert bag(got) == bag(components_by_hand(corpus, size, percent))
 
 
+def test_classes_of_a_common_token_meet_by_bands_of_size(spark):
+    rng = random.Random(5)
+    rows = [(7, k, n, 400, n + rng.randint(-n // 8, n * 3 // 17)) for k in range(400) for n in [rng.choice([1, 2, 3, 20, 100, 117, 118, 2000])]] + [(8, 1, 5, 2, 5), (8, 2, 900, 2, 900)]
+    got = J._in_bands(spark.createDataFrame(rows, "t long, cid long, n int, c long, most int"), 85, 10).collect()
+    bands = {}
+    for r in got:
+        bands.setdefault((r.t, r.band), []).append(r)
+    met = {(a.cid, b.cid) for (t, _), rs in bands.items() if t == 7 for a in rs for b in rs}
+    assert {(a[1], b[1]) for a in rows[:400] for b in rows[:400] if a[2] <= b[4] and b[2] <= a[4]} <= met
+    assert all(r.c == len(rs) for (t, _), rs in bands.items() if t == 7 for r in rs) and len(got) <= 802 and len(met) < 100_000
+    assert [(r.band, r.c) for r in got if r.t == 8] == [(0, 2), (0, 2)]
+
+
+def test_jaccard_of_sets_with_a_common_line(spark):
+    rng = random.Random(9)
+    line, corpus = [f"c{k}" for k in range(12)], []
+    for k in range(60):
+        own = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([1, 4, 20, 80]))]
+        corpus.append((2 * k, " ".join(own + line)))
+        corpus.append((2 * k + 1, " ".join(own[:-1] + line + [f"x{k}"] * rng.randint(0, 2))))
+    got = J.jaccard_components(spark.createDataFrame(corpus, "doc_id long, text string"), size=2, percent=70, block_sets=3, block_tokens=40)
+    assert bag(dicts(got)) == bag(components_by_hand(corpus, 2, 70))
+
+
+def test_few_but_wanted_rows_are_left(spark):
+    docs = spark.range(3000).selectExpr("case when id % 500 = 7 then null else struct(id, 'k' as k) end as id", "cast(id as string) as text")
+    got = [int(r.text) for r in J._likely(docs, docs.filter("text % 100 = 7").selectExpr("id as wanted").distinct()).collect()]
+    assert {k for k in range(3000) if k % 100 == 7} <= set(got) and len(got) == len(set(got)) < 60
+
+
 def test_jaccard_of_a_part_and_its_whole(spark):
     words = [f"w{k}" for k in range(100)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:30])), (3, " ".join(words[:20]))], "doc_id long, text string")
