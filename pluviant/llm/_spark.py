@@ -51,16 +51,21 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """id, k, text (k may be missing) -> id, k, size, packed: texts compressed, as a shuffle compresses them less well."""
+def packed_texts(docs: DataFrame, place: Column | None = None, bits=None) -> DataFrame:
+    """id, k, text (k may be missing) -> id, k, size, packed: texts compressed, as a shuffle compresses them less well.
+
+    With `bits`, a numpy array of bytes, only rows at whose `place` a bit is set."""
     import pyarrow as pa
 
     keys = [c for c in docs.columns if c != "text"]
-    docs = docs.select(*keys, "text")
+    docs = docs.select(*keys, "text", *([] if bits is None else [place.alias("place")]))
 
     def run(batches):
         press = pa.Codec("zstd", compression_level=1)
         for batch in batches:
+            if bits is not None:
+                h = batch.column(len(keys) + 1).to_numpy()
+                batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7) & 1).astype(bool)))
             texts = [t.as_buffer() if t.is_valid else pa.py_buffer(b"") for t in batch.column(len(keys))]
             packed = pa.array([press.compress(t, asbytes=True) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array([t.size for t in texts], pa.int64()), packed], [*keys, "size", "packed"])

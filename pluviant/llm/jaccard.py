@@ -286,19 +286,13 @@ def text_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (id, text) that `wanted` has, and few others, by a map of hashed ids; the exact join is left to the caller."""
+    """Packed texts of rows (id, text) that `wanted` has, and few others, by a map of hashed ids; the exact join is left to the caller."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
     nth = place("wanted") + 1  # buckets of bitmaps begin with 1
     bits = np.zeros(WANTED_BITS // 8, np.uint8)
     for r in wanted.groupBy(F.bitmap_bucket_number(nth).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(nth)).alias("bits")).collect():
         bits[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(2).to_numpy()
-            yield batch.select(["id", "text"]).filter(pa.array((bits[h >> 3] >> (h & 7) & 1).astype(bool)))
-
-    return docs.select("id", "text", place("id").alias("h")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text string")
+    return packed_texts(docs, place("id"), bits)  # in one pass, as another worker for each task takes memory
 
 
 def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -350,7 +344,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int
     total = sized.groupBy("component").agg(F.sum("n").alias("total"))
     sized = durable(sized.join(total, "component").select("component", "cid", "key", "rep", "total"))
     wanted = sized.select(F.col("rep").alias("wanted")).distinct()
-    packed = packed_texts(_likely(docs, wanted)).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")))
+    packed = _likely(docs, wanted).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")))
     whole = _whole_sets(packed, size).join(sized.drop("rep"), "key")
     whole = _in_blocks(whole, F.ceil(F.col("total") / block_tokens).cast("long")).select("component", "cell", "cid", "tokens")
     links = _link_clusters(whole.repartition("component", "cell").sortWithinPartitions("component", "cell", "cid"), percent)

@@ -229,8 +229,8 @@ def test_jaccard_of_sets_with_a_common_line(spark):
 
 def test_few_but_wanted_rows_are_left(spark):
     docs = spark.range(3000).selectExpr("case when id % 500 = 7 then null else struct(id, 'k' as k) end as id", "cast(id as string) as text")
-    got = [int(r.text) for r in J._likely(docs, docs.filter("text % 100 = 7").selectExpr("id as wanted").distinct()).collect()]
-    assert {k for k in range(3000) if k % 100 == 7} <= set(got) and len(got) == len(set(got)) < 60
+    got = [r.id and r.id.id for r in J._likely(docs, docs.filter("text % 100 = 7").selectExpr("id as wanted").distinct()).collect()]
+    assert {k if k % 500 != 7 else None for k in range(7, 3000, 100)} <= set(got) and got.count(None) == 6 and len(got) < 60
 
 
 def test_jaccard_of_a_part_and_its_whole(spark):
