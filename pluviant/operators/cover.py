@@ -39,7 +39,7 @@ def level_of(rings: list[Ring]) -> int:
     return min(max(math.ceil(math.log2(least)), LEVELS[0]), LEVELS[-1])
 
 
-def _spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For counts: the index of each, repeated, and 0, 1, ... within it."""
     at = np.repeat(np.arange(len(size)), size)
     return at, np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
@@ -51,12 +51,13 @@ def _distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.hypot(*(p - a - d * t[:, None]).T)
 
 
-def cells_of(rings: list[Ring], size: float) -> Iterator[tuple]:
-    """Of one part: (column, row, whole, reference x, y, whether that is inside, edges (n, 4)) of every cell that isn't outside."""
+def lines_of(rings: list[Ring], size: float) -> tuple[np.ndarray, ...]:
+    """Of one part, cells with a boundary: columns, rows, reference points (n, 2), whether these are inside, where their edges begin and end,
+    and the edges (m, 4) of one cell after those of another; then runs of whole cells: (row, first column, the column after the last)."""
     a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
     slack = 1e-9
     low, high = np.floor(np.minimum(a, b)[:, 1] / size - slack).astype(int), np.floor(np.maximum(a, b)[:, 1] / size + slack).astype(int)
-    edge, nth = _spread(high - low + 1)
+    edge, nth = spread(high - low + 1)
     row = low[edge] + nth
     # The part of the edge that is in the row's band, from one side to the other.
     p, q = a[edge], b[edge]
@@ -65,8 +66,8 @@ def cells_of(rings: list[Ring], size: float) -> Iterator[tuple]:
     cut = [np.where(rise == 0, end, np.clip((y * size - p[:, 1]) / safe, 0, 1)) for y, end in ((row, 0.0), (row + 1, 1.0))]
     xs = [p[:, 0] + (q[:, 0] - p[:, 0]) * t for t in cut]
     left, right = np.floor(np.minimum(*xs) / size - slack).astype(int), np.floor(np.maximum(*xs) / size + slack).astype(int)
-    bands = _grouped(row, edge)
-    at, nth = _spread(right - left + 1)
+    bands = row, edge
+    at, nth = spread(right - left + 1)
     column, line, edge = left[at] + nth, row[at], edge[at]
     order = np.lexsort((edge, column, line))
     column, line, edge = column[order], line[order], edge[order]
@@ -76,34 +77,46 @@ def cells_of(rings: list[Ring], size: float) -> Iterator[tuple]:
     corner = np.column_stack([column[first], line[first]]) * size
     away = np.array([np.minimum.reduceat(_distance(corner[cell] + size * place, a[edge], b[edge]), first) for place in PLACES])
     reference = corner + size * PLACES[away.argmax(0)]
-    for j, own in bands.items():
-        here = np.flatnonzero(line[first] == j)
-        known = inside_band(a[own], b[own], reference[here])
-        for k, within in zip(here, known, strict=True):
-            e = edge[first[k] : ends[k]]
-            yield int(column[first[k]]), int(j), False, *map(float, reference[k]), bool(within), np.column_stack([a[e], b[e]])
-        columns = column[first[here]]
-        gaps = np.flatnonzero(np.diff(columns) > 1)
-        middle = np.column_stack([(columns[gaps] + 1.5) * size, np.full(len(gaps), (j + 0.5) * size)])
-        for g in gaps[inside_band(a[own], b[own], middle)]:
-            for i in range(columns[g] + 1, columns[g + 1]):
-                yield int(i), int(j), True, 0.0, 0.0, True, np.zeros((0, 4))
-
-
-def _grouped(row: np.ndarray, edge: np.ndarray) -> dict[int, np.ndarray]:
-    order = np.argsort(row, kind="stable")
-    keys, at = np.unique(row[order], return_index=True)
-    return dict(zip(keys.tolist(), np.split(edge[order], at[1:]), strict=True))
+    columns, rows = column[first], line[first]
+    within = inside_bands(a, b, *bands, reference, rows)
+    gaps = np.flatnonzero((np.diff(columns) > 1) & (np.diff(rows) == 0))
+    middle = np.column_stack([(columns[gaps] + 1.5) * size, (rows[gaps] + 0.5) * size])
+    gaps = gaps[inside_bands(a, b, *bands, middle, rows[gaps])]
+    runs = list(zip(rows[gaps].tolist(), (columns[gaps] + 1).tolist(), columns[gaps + 1].tolist(), strict=True))
+    return columns, rows, reference, within, first, ends, np.column_stack([a[edge], b[edge]]), runs
+
+
+def cells_of(rings: list[Ring], size: float) -> Iterator[tuple]:
+    """Of one part: (column, row, whole, reference x, y, whether that is inside, edges (n, 4)) of every cell that isn't outside."""
+    columns, rows, reference, within, first, ends, edges, runs = lines_of(rings, size)
+    for k in range(len(columns)):
+        yield int(columns[k]), int(rows[k]), False, *map(float, reference[k]), bool(within[k]), edges[first[k] : ends[k]]
+    for j, start, stop in runs:
+        for i in range(start, stop):
+            yield int(i), int(j), True, 0.0, 0.0, True, np.zeros((0, 4))
+
+
+def closed_of(parts: list[list[Ring]] | None) -> list[list[Ring]]:
+    """Parts with their rings closed, without rings of fewer than three points."""
+    closed = [[r if (r[0] == r[-1]).all() else np.vstack([r, r[:1]]) for r in part if len(r) > 2] for part in parts or []]
+    return [part for part in closed if part]
 
 
-def inside_band(a: np.ndarray, b: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Whether points of a row of cells are inside, by the edges that reach into the row."""
+def inside_bands(a: np.ndarray, b: np.ndarray, row: np.ndarray, edge: np.ndarray, points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether points of rows of cells are inside, by the edges that reach into a point's row: `edge` has those of `row`."""
+    order = np.argsort(row, kind="stable")
+    edge = edge[order]
+    start, end = (np.searchsorted(row[order], rows, side) for side in ("left", "right"))
     out = np.zeros(len(points), bool)
-    for k in range(0, len(points), 512):
-        x, y = points[k : k + 512, 0, None], points[k : k + 512, 1, None]
-        spans = (a[:, 1] > y) != (b[:, 1] > y)
-        side = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (b[:, 1] - a[:, 1]) * (x - a[:, 0])
-        out[k : k + 512] = (spans & np.where(b[:, 1] > a[:, 1], side < 0, side > 0)).sum(1) % 2 == 1
+    # About a million pairs of a point and an edge at once.
+    block = np.cumsum(end - start) >> 20
+    for at in np.split(np.arange(len(points)), np.flatnonzero(np.diff(block)) + 1):
+        test, nth = spread(end[at] - start[at])
+        p, q = a[own := edge[start[at][test] + nth]], b[own]
+        x, y = points[at, 0][test], points[at, 1][test]
+        spans = (p[:, 1] > y) != (q[:, 1] > y)
+        side = (q[:, 0] - p[:, 0]) * (y - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x - p[:, 0])
+        out[at] = np.bincount(test[spans & np.where(q[:, 1] > p[:, 1], side < 0, side > 0)], minlength=len(at)) % 2 == 1
     return out
 
 
@@ -117,8 +130,7 @@ def cover(regions: DataFrame, id_col: str = "region", parts_col: str = "parts")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, parts in enumerate(unnested(batch.column(1))):
-                closed = [[r if (r[0] == r[-1]).all() else np.vstack([r, r[:1]]) for r in part if len(r) > 2] for part in parts or []]
-                closed = [part for part in closed if part]
+                closed = closed_of(parts)
                 if not closed:
                     continue
                 level = level_of([r for part in closed for r in part])
@@ -139,6 +151,21 @@ def cover(regions: DataFrame, id_col: str = "region", parts_col: str = "parts")
     return stored(rows.groupBy("region", "level", "ci", "cj").agg(F.max("whole").alias("whole"), F.collect_list(F.when(~F.col("whole"), test)).alias("tests")))
 
 
+def tested(test: np.ndarray, within: np.ndarray, edges: np.ndarray, left: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """For tests, by the edges (ax, ay, bx, by) of each (`test` is an edge's), whether the reference point is `left` of an edge, points p and
+    reference points r, which are `within` or not: whether the point is on an edge, or inside."""
+    own = sides(*edges, *(c[test] for c in p))
+    out = np.zeros(len(within), bool)
+    k = np.flatnonzero(own == 0)
+    (ax, ay, bx, by), (px, py) = (c[k] for c in edges), (c[test[k]] for c in p)
+    out[test[k[(px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx)) & (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))]]] = True
+    # Only edges whose line is between the points can be crossed.
+    k = np.flatnonzero((own > 0) != left)
+    (ax, ay, bx, by), (px, py), (rx, ry) = (c[k] for c in edges), (c[test[k]] for c in p), (c[test[k]] for c in r)
+    between = (sides(px, py, rx, ry, ax, ay) >= 0) != (sides(px, py, rx, ry, bx, by) >= 0)
+    return out | ((np.bincount(test[k[between]], minlength=len(within)) % 2 == 1) != within)
+
+
 def _hit(x: Column, y: Column, tests: Column) -> Column:
     """On an edge of a test, or with an odd number of its edges between the point and a reference point outside, an even one inside."""
     @F.arrow_udf("boolean")
@@ -148,12 +175,9 @@ def _hit(x: Column, y: Column, tests: Column) -> Column:
         flat = pc.list_flatten(tests)
         test = np.repeat(np.arange(len(flat)), number(pc.list_value_length(flat.field("edges"))))
         edges = pc.list_flatten(flat.field("edges"))
-        (ax, ay, bx, by), (rx, ry) = (number(edges.field(k)) for k in range(4)), (number(flat.field(k))[test] for k in range(2))
-        px, py = number(x)[row][test], number(y)[row][test]
-        own = sides(ax, ay, bx, by, px, py)
-        on = (own == 0) & (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx)) & (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))
-        between = ((sides(px, py, rx, ry, ax, ay) >= 0) != (sides(px, py, rx, ry, bx, by) >= 0)) & ((own > 0) != (sides(ax, ay, bx, by, rx, ry) > 0))
-        hit = (np.bincount(test[on], minlength=len(flat)) > 0) | ((np.bincount(test[between], minlength=len(flat)) % 2 == 1) != number(flat.field("within")).astype(bool))
+        sides_of, reference = [number(edges.field(k)) for k in range(4)], [number(flat.field(k)) for k in range(2)]
+        left = sides(*sides_of, *(c[test] for c in reference)) > 0
+        hit = tested(test, number(flat.field("within")).astype(bool), sides_of, left, [number(x)[row], number(y)[row]], reference)
         return pa.array(np.bincount(row[hit], minlength=len(tests)) > 0)
 
     return run(x, y, tests)

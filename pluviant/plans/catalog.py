@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..functions import geometry as G
 from ..functions.geo import centroid, envelope, is_valid_polygon, mercator_length_km, wkt_rings
-from ..operators import cover, frames, grid, motion, quantiles, regions, tracks, trend
+from ..operators import frames, grid, motion, quantiles, regions, tally, tracks, trend
 from ..sources import adapters as A
 from ..sources.readers import tracking_view
 from ..streaming.new_systems import new_systems
@@ -830,16 +830,12 @@ def region_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.clip(A.track_ship(spark, sf_dir), PARTS).select("uid", "cindex", "lon", "lat")
 
 
-def star_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A region of a thousand corners for each supplier: region, parts."""
-    k = F.col("s_suppkey")
+def star_of(k: Column) -> Column:
+    """Parts of a region of a thousand corners for each supplier's key."""
     cx, cy, size = (k * 37 % 3400) / 10.0 - 169.9629, (k * 53 % 1000) / 10.0 - 49.9871, 3.0 + k % 7  # no point is on a boundary
     turn = lambda m: 2 * F.lit(math.pi) * (m % 1000) / 1000.0
     corner = lambda m: F.struct((cx + size * (1 + 0.3 * F.cos(5 * turn(m))) * F.cos(turn(m))).alias("x"), (cy + size * (1 + 0.3 * F.cos(5 * turn(m))) * F.sin(turn(m))).alias("y"))
-    ring = F.transform(F.sequence(F.lit(0), F.lit(1000)), corner)
-    # Numbers are dealt before there are corners: a small file would be covered in one task.
-    dealt = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").repartition(4 * spark.sparkContext.defaultParallelism)
-    return dealt.select(k.alias("region"), F.array(F.array(ring)).alias("parts"))
+    return F.array(F.array(F.transform(F.sequence(F.lit(0), F.lit(1000)), corner)))
 
 
 @query("points_in_regions", """
@@ -850,7 +846,9 @@ v AS (SELECT *, 2 * pi() * m / 1000 AS t0, 2 * pi() * (m + 1) / 1000 AS t1 FROM
 e AS (SELECT *, size * (1 + 0.3 * cos(5 * t0)) * cos(t0) AS ax, size * (1 + 0.3 * cos(5 * t0)) * sin(t0) AS ay, size * (1 + 0.3 * cos(5 * t1)) * cos(t1) AS bx, size * (1 + 0.3 * cos(5 * t1)) * sin(t1) AS by_ FROM v)
 SELECT region, count(*) AS n, count(DISTINCT uid) AS n_uids FROM e WHERE (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) >= 0 GROUP BY 1""", (), ("track_ship",))
 def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cover.counts_in_regions(A.track_ship(spark, sf_dir).select("uid", "lon", "lat"), cover.cover(star_regions(spark, sf_dir)))
+    # Numbers are dealt before there are corners: a small file would be read in one task.
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("region")).repartition(4 * spark.sparkContext.defaultParallelism)
+    found = tally.counts_by_region(A.track_ship(spark, sf_dir).select("uid", "lon", "lat"), keys, star_of(F.col("region")))
     return found.withColumnRenamed("n_keys", "n_uids")
 
 
